@@ -1,6 +1,535 @@
-"""The queries of the engine's own operators."""
+"""The queries of the engine's own operators over the shared tables, and the SQL that gives the same results.
+
+Dense records are the embeddings; sparse multi-label records are the orders of lineitem: feature part mod 500, value
+quantity / 50, label supplier mod 50."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import tempfile
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import config, hashing
+from lodestone.operators import lsh, network, selection
+from lodestone.plans import model, oracle
+from lodestone.sources import arrays, params, sparse_text
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+K, L, H, NODES, BATCH = 2, 20, 40, 200, 128
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def dense(s: SparkSession, d: str, name: str = "id") -> DataFrame:
+    """(id, f, v) of the embeddings."""
+    return table(s, d, "embeddings").select(F.col("vec_id").alias(name), F.posexplode("embedding").alias("p", "e")).select(name, F.col("p").cast("long").alias("f"), F.col("e").cast("double").alias("v"))
+
+
+def labels(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("record_id"), F.col("label").cast("long").alias("label"))
+
+
+def sparse(s: SparkSession, d: str, name: str = "id") -> DataFrame:
+    return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias(name), (F.col("l_partkey") % 500).alias("f")).agg((F.sum("l_quantity") / 50).alias("v"))
+
+
+def sparse_labels(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("record_id"), (F.col("l_suppkey") % 50).alias("label")).distinct()
+
+
+# --- sources -------------------------------------------------------------------------------------------------------
+
+
+def lines(s: SparkSession, d: str) -> DataFrame:
+    """Sparse text lines of the orders (record_id, value), some with tokens that do not parse."""
+    li = table(s, d, "lineitem")
+    feats = li.groupBy("l_orderkey", (F.col("l_partkey") % 500).alias("f")).agg(F.sum("l_quantity").cast("long").alias("q")).groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", F.col("f").cast("string"), F.col("q").cast("string")))), " ").alias("fs"))
+    labs = li.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set((F.col("l_suppkey") % 50).cast("string"))), ",").alias("ls"))
+    odd = F.when(F.col("l_orderkey") % 7 == 0, F.lit(" x 9: :3  2:z")).otherwise("")
+    return labs.join(feats, "l_orderkey").select(F.col("l_orderkey").alias("record_id"), F.concat(F.when(F.col("l_orderkey") % 7 == 0, F.lit("q,,")).otherwise(""), "ls", F.lit(" "), "fs", odd).alias("value"))
+
+
+@query("WITH f AS (SELECT l_orderkey AS record_id, l_partkey % 500 AS f, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL), g AS (SELECT record_id, count(*) AS n_features, CAST(sum(f) AS BIGINT) AS feature_sum, CAST(sum(q) AS DOUBLE) AS value_sum FROM f GROUP BY ALL), h AS (SELECT l_orderkey AS record_id, count(DISTINCT l_suppkey % 50) AS n_labels FROM lineitem GROUP BY ALL) SELECT g.record_id, n_labels, n_features, feature_sum, value_sum FROM g JOIN h ON g.record_id = h.record_id")
+def sparse_text_parse(s: SparkSession, d: str) -> DataFrame:
+    r = sparse_text.parse(lines(s, d))
+    return r.selectExpr("record_id", "cast(size(labels) as long) as n_labels", "cast(size(features) as long) as n_features", "aggregate(features, 0L, (a, x) -> a + x.f) as feature_sum", "aggregate(features, 0D, (a, x) -> a + x.v) as value_sum")
+
+
+@query("SELECT l_orderkey AS record_id, CAST(max(CASE WHEN l_orderkey % 7 = 0 THEN 5 ELSE 0 END) AS BIGINT) AS n_rejected FROM lineitem GROUP BY ALL")
+def sparse_text_reject_count(s: SparkSession, d: str) -> DataFrame:
+    return sparse_text.parse(lines(s, d)).select("record_id", F.col("n_rejected").cast("long").alias("n_rejected"))
+
+
+BATCHED = "b AS (SELECT record_id, row_number() OVER (ORDER BY record_id) - 1 AS row_idx FROM (SELECT DISTINCT l_orderkey AS record_id FROM lineitem)), bb AS (SELECT record_id, row_idx, row_idx // 128 AS batch_id FROM b)"
+
+
+def batched(s: SparkSession, d: str) -> DataFrame:
+    return sparse_text.batches(table(s, d, "lineitem").select(F.col("l_orderkey").alias("record_id")).distinct(), BATCH)
+
+
+@query(f"WITH {BATCHED} SELECT record_id, row_idx, batch_id FROM bb")
+def batch_assign(s: SparkSession, d: str) -> DataFrame:
+    return batched(s, d).select("record_id", "row_idx", "batch_id")
+
+
+@query(f"WITH {BATCHED}, {oracle.SPARSE_LABELS} SELECT batch_id, count(DISTINCT bb.record_id) AS n_records, count(*) AS n_labels FROM bb JOIN st ON bb.record_id = st.record_id GROUP BY ALL")
+def batch_label_counts(s: SparkSession, d: str) -> DataFrame:
+    return batched(s, d).join(sparse_labels(s, d), "record_id").groupBy("batch_id").agg(F.countDistinct("record_id").alias("n_records"), F.count("*").alias("n_labels"))
+
+
+@query(f"WITH {BATCHED} SELECT batch_id, least((row_idx % 128) // 42, 2) AS worker, count(*) AS n FROM bb GROUP BY ALL")
+def batch_work_split(s: SparkSession, d: str) -> DataFrame:
+    """Three workers share a batch by contiguous chunks; the last one takes what is left."""
+    return batched(s, d).groupBy("batch_id", F.least(F.floor(F.col("row_idx") % BATCH / (BATCH // 3)), F.lit(2)).alias("worker")).agg(F.count("*").alias("n"))
+
+
+CONFIG = ["# comment", "K=2,6", "", "Lr = 0.001", "Unknown=1", "Epoch=abc", "ab", "noequals", "Batchsize=64", "K = 3,7", "logFile=a=b"]
+CONFIG_VALUES = ", ".join(f"({i}, '{x}')" for i, x in enumerate(CONFIG))
+CONFIG_KEYS = ", ".join(f"'{k}'" for k in config.KEYS)
+
+
+@query(f"WITH c(line_no, raw) AS (VALUES {CONFIG_VALUES}), t AS (SELECT line_no, trim(raw) AS line FROM c WHERE length(trim(raw)) >= 3 AND NOT starts_with(trim(raw), '#') AND contains(raw, '=')), k AS (SELECT line_no, trim(regexp_extract(line, '^([^=]*)=', 1)) AS key, trim(regexp_extract(line, '^[^=]*=(.*)$', 1)) AS value FROM t) SELECT key, arg_max(value, line_no) AS value FROM k WHERE key IN ({CONFIG_KEYS}) GROUP BY key")
+def config_parse(s: SparkSession, d: str) -> DataFrame:
+    return config.rows(s.createDataFrame(list(enumerate(CONFIG)), "line_no long, value string"))
+
+
+@query("SELECT w.w AS worker, w.w * 255616 AS start, least((w.w + 1) * 255616, 511104) AS stop FROM range(2) AS w(w)")
+def array_partition_ranges(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(w, a, b) for w, (a, b) in enumerate(config.ranges(511104, 2, 128))], "worker long, start long, stop long")
+
+
+@query("SELECT vec_id // 64 AS block, 'layer0_weights_' || (vec_id // 64 * 64) || '_' || least((vec_id // 64 + 1) * 64, (SELECT count(*) FROM embeddings)) AS key, min(vec_id) AS first_idx, max(vec_id) AS last_idx, count(*) AS n FROM embeddings GROUP BY ALL")
+def array_block_keys(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings").select("vec_id", params.block_of(F.col("vec_id"), 64).alias("block"))
+    return e.groupBy("block", params.block_key(F.lit("layer0_weights"), F.col("block"), e.count(), 64).alias("key")).agg(F.min("vec_id").alias("first_idx"), F.max("vec_id").alias("last_idx"), F.count("*").alias("n"))
+
+
+@query("SELECT row_number() OVER (ORDER BY (i * 2654435761 + 1234) % 2147483647, i) - 1 AS pos, i AS idx, i * i AS val FROM range(2000) AS t(i)")
+def array_shuffle(s: SparkSession, d: str) -> DataFrame:
+    return params.shuffled(params.array(s, 2000, F.col("id") * F.col("id")), 1234)
+
+
+@query("SELECT i AS idx, CASE WHEN i % 10 = 0 THEN -1 ELSE i * 2 END AS val FROM range(100, 1100) AS t(i)")
+def array_init_set(s: SparkSession, d: str) -> DataFrame:
+    a = params.array(s, 1000, F.col("id") * 2, offset=100)
+    return params.updated(a, s.range(100, 1100, 10).select(F.col("id").alias("idx"), F.lit(-1).cast("long").alias("val")))
+
+
+def _some(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").filter("label < 2").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.array(F.size("embedding").cast("long")).alias("shape"), F.lit("<f4").alias("dtype"), F.lit(False).alias("fortran"), F.transform("embedding", lambda x: x.cast("double")).alias("data"))
+
+
+ARRAYS = "SELECT 'v' || vec_id AS name, CAST(64 AS BIGINT) AS n, '<f4' AS dtype, CAST(embedding[1] AS DOUBLE) AS first_value, CAST(embedding[64] AS DOUBLE) AS last_value FROM embeddings WHERE label < 2"
+
+
+def _arrays(df: DataFrame) -> DataFrame:
+    return df.select("name", F.size("data").cast("long").alias("n"), "dtype", F.col("data")[0].alias("first_value"), F.element_at("data", -1).alias("last_value"))
+
+
+def _round(s: SparkSession, d: str, kind: str) -> DataFrame:
+    arrays.register(s)
+    where = tempfile.mkdtemp(prefix=f"lodestone-{kind}-")
+    _some(s, d).write.format(kind).mode("overwrite").save(where)
+    return _arrays(s.read.format(kind).load(where))
+
+
+@query(ARRAYS)
+def npy_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    return _round(s, d, "npy")
+
+
+@query(ARRAYS)
+def npz_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    return _round(s, d, "npz")
+
+
+@query("SELECT * FROM (VALUES ('a', CAST(4 AS BIGINT), '<f8', 0.0::DOUBLE, 3.0::DOUBLE), ('b', CAST(6 AS BIGINT), '<i8', 1.0::DOUBLE, 6.0::DOUBLE)) AS t(name, n, dtype, first_value, last_value)")
+def npz_append(s: SparkSession, d: str) -> DataFrame:
+    arrays.register(s)
+    where = tempfile.mkdtemp(prefix="lodestone-npz-") + "/x.npz"
+    arrays.save_npz(where, "a", np.arange(4.0))
+    arrays.save_npz(where, "b", np.arange(1, 7).reshape(2, 3), append=True)
+    return _arrays(s.read.format("npz").load(where))
+
+
+# --- hashes --------------------------------------------------------------------------------------------------------
+
+
+@query(None)
+def murmur3_long(s: SparkSession, d: str) -> DataFrame:
+    """Spark's own hash is this family's for long keys and seed 42."""
+    return table(s, d, "embeddings").select("vec_id", (F.hash("vec_id").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("h"))
+
+
+@query(None)
+def murmur3_text(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", hashing.murmur3_column(F.col("source").cast("binary"), 7).alias("h"))
+
+
+DEN = f"WITH {oracle.EMB}, {oracle.layout(64, H)}, {oracle.winners('emb')}, sig AS (SELECT id, bin, pos AS h FROM win)"
+
+
+@query(f"WITH {oracle.layout(500, 300)} SELECT perm, f, bin, pos FROM lay")
+def dwta_layout(s: SparkSession, d: str) -> DataFrame:
+    return hashing.layout(s, 500, 300)
+
+
+def dense_signature(s: SparkSession, d: str) -> DataFrame:
+    return hashing.dwta(dense(s, d), hashing.layout(s, 64, H))
+
+
+def sparse_signature(s: SparkSession, d: str) -> DataFrame:
+    return hashing.dwta(sparse(s, d), hashing.layout(s, 500, H))
+
+
+@query(f"{DEN} SELECT id, bin, h FROM sig")
+def dwta_dense(s: SparkSession, d: str) -> DataFrame:
+    return dense_signature(s, d)
+
+
+SPW = f"WITH {oracle.SPARSE}, {oracle.layout(500, H)}, {oracle.winners('sp')}, sig AS (SELECT id, bin, pos AS h FROM win)"
+
+
+@query(f"{SPW} SELECT id, bin, h FROM sig")
+def dwta_sparse(s: SparkSession, d: str) -> DataFrame:
+    return sparse_signature(s, d)
+
+
+@query(f"{SPW}, {oracle.probes(H)}, {oracle.densified('sig', H)} SELECT id, bin, h FROM den")
+def dwta_densified(s: SparkSession, d: str) -> DataFrame:
+    return hashing.densified(sparse_signature(s, d), H)
+
+
+@query(f"WITH {oracle.probes(H)} SELECT bin, attempt, target FROM prb")
+def densify_probe(s: SparkSession, d: str) -> DataFrame:
+    return hashing.probes(s, H)
+
+
+@query(f"WITH {oracle.EMB}, {oracle.layout(64, H)}, {oracle.winners('emb')} SELECT id, bin, f AS h FROM win")
+def wta_hash(s: SparkSession, d: str) -> DataFrame:
+    return hashing.wta(dense(s, d), hashing.layout(s, 64, H))
+
+
+@query(f"WITH {oracle.EMB}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, f) AS r FROM emb) SELECT id, {oracle.bins('f', H, 9)} AS bin, max(f) AS h FROM t WHERE r <= 30 GROUP BY ALL")
+def minhash_topk(s: SparkSession, d: str) -> DataFrame:
+    return hashing.minhash(dense(s, d), H, 9)
+
+
+MHS = f"mh AS (SELECT id, {oracle.bins('f', H, 9)} AS bin, max(f) AS h FROM sp GROUP BY ALL)"
+
+
+@query(f"WITH {oracle.SPARSE}, {MHS} SELECT id, bin, h FROM mh")
+def minhash_sparse(s: SparkSession, d: str) -> DataFrame:
+    return hashing.minhash(sparse(s, d), H, 9, None)
+
+
+SRP = f"WITH {oracle.SPARSE}, {oracle.srp(500, H)}, ss AS (SELECT x.id, g.bin, sum(g.sign * x.v) AS s FROM sp x JOIN sg g ON x.f = g.f GROUP BY ALL), ff AS (SELECT i.id, b.b AS bin FROM (SELECT DISTINCT id FROM sp) i, range({H}) AS b(b)), sr AS (SELECT ff.id, ff.bin, CAST(CASE WHEN round(coalesce(s, 0), 12) >= 0 THEN 0 ELSE 1 END AS BIGINT) AS h FROM ff LEFT JOIN ss ON ff.id = ss.id AND ff.bin = ss.bin)"
+
+
+def srp_signature(s: SparkSession, d: str) -> DataFrame:
+    x = sparse(s, d)
+    return hashing.srp(x, hashing.srp_layout(s, 500, H), x.select("id").distinct(), H)
+
+
+@query(f"{SRP} SELECT id, bin, h FROM sr")
+def srp_bits(s: SparkSession, d: str) -> DataFrame:
+    return srp_signature(s, d)
+
+
+@query(f"{DEN}, a AS (SELECT id, bin // 2 AS t, min(CASE WHEN h = (h * 3 + bin) % 8 THEN 1 ELSE 0 END) AS same FROM sig WHERE bin < 40 GROUP BY ALL) SELECT id, avg(same) AS rate FROM a GROUP BY id")
+def signature_collision(s: SparkSession, d: str) -> DataFrame:
+    sig = dense_signature(s, d)
+    return hashing.collision(sig, sig.withColumn("h", (F.col("h") * 3 + F.col("bin")) % 8), K, L)
+
+
+@query(f"{SPW}, {oracle.probes(H)}, {oracle.densified('sig', H)}, {oracle.address('den', K, L)} SELECT id, tbl, bucket FROM adr")
+def lsh_address_wta(s: SparkSession, d: str) -> DataFrame:
+    return hashing.address_wta(hashing.densified(sparse_signature(s, d), H), K, L)
+
+
+@query(f"{SRP}, {oracle.address('sr', 4, 10, 1)} SELECT id, tbl, bucket FROM adr")
+def lsh_address_srp(s: SparkSession, d: str) -> DataFrame:
+    return hashing.address_srp(srp_signature(s, d), 4, 10)
+
+
+@query(f"WITH {oracle.SPARSE}, {MHS}, {oracle.probes(H)}, {oracle.densified('mh', H)} SELECT id, bin // 2 AS tbl, CAST(sum(((((bin * 2654435761 + 33111) % 1073741823) * 2 + 1) * (h + 1)) % 4294967296) % 4294967296 % 512 AS BIGINT) AS bucket FROM den GROUP BY ALL")
+def lsh_address_minhash(s: SparkSession, d: str) -> DataFrame:
+    return hashing.address_minhash(hashing.densified(hashing.minhash(sparse(s, d), H, 9, None), H), K, L, 9)
+
+
+# --- tables --------------------------------------------------------------------------------------------------------
+
+ADR = f"{DEN}, {oracle.probes(H)}, {oracle.densified('sig', H)}, {oracle.address('den', K, L)}"
+SADR = f"{SPW}, {oracle.probes(H)}, {oracle.densified('sig', H)}, {oracle.address('den', K, L)}"
+
+
+def dense_address(s: SparkSession, d: str) -> DataFrame:
+    return hashing.address_wta(hashing.densified(dense_signature(s, d), H), K, L)
+
+
+def sparse_rows(s: SparkSession, d: str) -> DataFrame:
+    return lsh.rows(lsh_address_wta(s, d), F.col("id"))
+
+
+@query(f"{SADR} SELECT tbl, bucket, node, node AS seq FROM (SELECT tbl, bucket, id AS node, row_number() OVER (PARTITION BY tbl, bucket ORDER BY id DESC) AS r FROM adr) WHERE r <= 128")
+def bucket_fifo(s: SparkSession, d: str) -> DataFrame:
+    return lsh.fifo(sparse_rows(s, d))
+
+
+@query(f"{SADR}, rk AS (SELECT tbl, bucket, id AS node, row_number() OVER (PARTITION BY tbl, bucket ORDER BY id) AS c FROM adr), late AS (SELECT tbl, bucket, arg_max(node, c) AS node FROM rk WHERE c > 128 AND {lsh.DRAW} % c = 1 GROUP BY ALL) SELECT rk.tbl, rk.bucket, CASE WHEN late.node IS NOT NULL AND c - 1 = {lsh.SLOT} THEN late.node ELSE rk.node END AS node, CASE WHEN late.node IS NOT NULL AND c - 1 = {lsh.SLOT} THEN late.node ELSE rk.node END AS seq, CAST(c - 1 AS INT) AS place FROM rk LEFT JOIN late ON rk.tbl = late.tbl AND rk.bucket = late.bucket WHERE c <= 128")
+def bucket_reservoir(s: SparkSession, d: str) -> DataFrame:
+    return lsh.reservoir(sparse_rows(s, d))
+
+
+@query(f"{SADR}, e AS (SELECT tbl, bucket, count(*) AS n FROM adr GROUP BY ALL) SELECT tbl, count(*) AS n_buckets, CAST(sum(n) AS BIGINT) AS n_nodes, max(n) AS largest FROM e GROUP BY tbl")
+def bucket_stats(s: SparkSession, d: str) -> DataFrame:
+    return lsh.stats(sparse_rows(s, d))
+
+
+#: nodes of a wide layer over 64 inputs, hashed by their weights, and the probes of the embeddings
+WIDE = f"WITH {oracle.EMB}, {oracle.LABELS}, {oracle.layout(64, H)}, {oracle.layer('n', 2, NODES, 64)}, nv AS (SELECT node AS id, f, w AS v FROM nw), {oracle.winners('emb', 'w1')}, {oracle.winners('nv', 'w2')}, s1 AS (SELECT id, bin, pos AS h FROM w1), s2 AS (SELECT id, bin, pos AS h FROM w2), {oracle.probes(H)}, {oracle.densified('s1', H, 'd1')}, {oracle.densified('s2', H, 'd2')}, {oracle.address('d1', K, L, 2, 'qa')}, {oracle.address('d2', K, L, 2, 'na')}, bk AS (SELECT tbl, bucket, id AS node FROM (SELECT *, row_number() OVER (PARTITION BY tbl, bucket ORDER BY id DESC) AS r FROM na) WHERE r <= 128), hits AS (SELECT q.id, b.node, count(*) AS n FROM qa q JOIN bk b ON q.tbl = b.tbl AND q.bucket = b.bucket GROUP BY ALL), cand AS (SELECT record_id, node, CAST(sum(n) AS BIGINT) AS n FROM (SELECT id AS record_id, node, n FROM hits UNION ALL SELECT record_id, label, {L} FROM tgt) GROUP BY ALL), pm AS (SELECT n.n AS node, row_number() OVER (ORDER BY (n.n * 2654435761 + 1234) % 2147483647, n.n) - 1 AS pos FROM range({NODES}) AS n(n))"
+
+
+def wide(s: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return model.layer(s, 2, NODES, 64)
+
+
+def wide_buckets(s: SparkSession) -> DataFrame:
+    w, _ = wide(s)
+    sig = hashing.dwta(w.select(F.col("node").alias("id"), "f", F.col("w").alias("v")), hashing.layout(s, 64, H))
+    return lsh.fifo(lsh.rows(hashing.address_wta(hashing.densified(sig, H), K, L), F.col("id")))
+
+
+def wide_hits(s: SparkSession, d: str) -> DataFrame:
+    return lsh.probe(dense_address(s, d), wide_buckets(s))
+
+
+def wide_candidates(s: SparkSession, d: str) -> DataFrame:
+    return selection.candidates(wide_hits(s, d), labels(s, d), L)
+
+
+def nodes(s: SparkSession) -> DataFrame:
+    return s.range(NODES).withColumnRenamed("id", "node")
+
+
+@query(f"{WIDE} SELECT tbl, bucket, node, node AS seq FROM bk")
+def rehash_buckets(s: SparkSession, d: str) -> DataFrame:
+    return wide_buckets(s)
+
+
+@query(f"{WIDE} SELECT id, node, n FROM hits")
+def lsh_probe(s: SparkSession, d: str) -> DataFrame:
+    return wide_hits(s, d)
+
+
+@query(f"SELECT vec_id AS record_id, count(*) AS n, CAST(sum(n.n) AS BIGINT) AS node_sum FROM embeddings, range({NODES}) AS n(n) GROUP BY ALL")
+def select_dense(s: SparkSession, d: str) -> DataFrame:
+    return selection.dense(labels(s, d), nodes(s)).groupBy("record_id").agg(F.count("*").alias("n"), F.sum("node").alias("node_sum"))
+
+
+@query(f"{WIDE} SELECT record_id, node FROM cand WHERE n > 2")
+def select_threshold(s: SparkSession, d: str) -> DataFrame:
+    return selection.threshold(wide_candidates(s, d))
+
+
+@query(f"{WIDE}, hv AS (SELECT record_id, count(*) AS have FROM cand GROUP BY ALL), tn AS (SELECT node, CASE WHEN pos >= 66 THEN pos - 66 ELSE pos + {NODES} - 66 END AS turn FROM pm), sp AS (SELECT t.record_id, tn.node, row_number() OVER (PARTITION BY t.record_id ORDER BY tn.turn) AS r, h.have FROM tgt t CROSS JOIN tn JOIN hv h ON h.record_id = t.record_id WHERE h.have < 150 AND NOT EXISTS (SELECT 1 FROM cand c WHERE c.record_id = t.record_id AND c.node = tn.node)) SELECT record_id, node FROM cand UNION ALL SELECT record_id, node FROM sp WHERE r <= 100 - have")
+def select_sampling(s: SparkSession, d: str) -> DataFrame:
+    """The production bounds are 1500 and 1000; this layer of 200 nodes takes a tenth of them."""
+    return selection.sampling(labels(s, d), wide_candidates(s, d), nodes(s), NODES, NODES // 3, enough=150, fill=100)
+
+
+@query(f"{WIDE}, u AS (SELECT t.record_id, n.node, CASE WHEN n.node = t.label THEN 0 ELSE 1 END AS turn, n.pos FROM tgt t CROSS JOIN pm n), r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY turn, pos) AS r FROM u) SELECT record_id, node FROM r WHERE r <= 20")
+def select_random(s: SparkSession, d: str) -> DataFrame:
+    return selection.random(labels(s, d), labels(s, d), nodes(s), NODES, 20)
+
+
+@query(f"WITH {oracle.EMB}, {oracle.LABELS}, {oracle.layer('n', 2, NODES, 64)}, {oracle.forward('emb', 'n', 'zz', False)}, r AS (SELECT z.record_id, z.node, row_number() OVER (PARTITION BY z.record_id ORDER BY CASE WHEN z.node = t.label THEN 0 ELSE 1 END, round(z.z, 9) DESC, z.node) AS r FROM zz z JOIN tgt t ON z.record_id = t.record_id) SELECT record_id, node FROM r WHERE r <= 10")
+def select_topk(s: SparkSession, d: str) -> DataFrame:
+    w, b = wide(s)
+    return selection.topk(network.preactivation(dense(s, d, "record_id"), w, b), labels(s, d), 10)
+
+
+# --- forward, loss, gradients, updates -----------------------------------------------------------------------------
+
+TWO = f"WITH {oracle.two_layers()}"
+ONE_BATCH = f"{TWO}, {oracle.delta('128')}, {oracle.BACK}"
+
+
+def two_layers(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    (w1, b1), (w2, b2) = model.layer(s, 0, 16, 64), model.layer(s, 1, 10, 16)
+    x = dense(s, d, "record_id")
+    h = network.hidden(x, w1, b1)
+    z = network.preactivation(h, w2, b2)
+    return {"x": x, "h": h, "z": z, "w1": w1, "b1": b1, "w2": w2, "b2": b2, "y": labels(s, d)}
+
+
+@query(f"{TWO} SELECT id AS record_id, f, round(v, 6) AS v FROM hid")
+def forward_relu(s: SparkSession, d: str) -> DataFrame:
+    return two_layers(s, d)["h"].select("record_id", "f", F.round("v", 6).alias("v"))
+
+
+@query(f"{TWO} SELECT record_id, node, round(z, 6) AS z, round(p, 6) AS p FROM pp")
+def softmax_full(s: SparkSession, d: str) -> DataFrame:
+    return network.softmax(two_layers(s, d)["z"]).select("record_id", "node", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
+
+
+@query(f"{WIDE}, act AS (SELECT record_id, node FROM cand WHERE n > 2), zd AS (SELECT a.record_id, a.node, sum(w.w * x.v) AS s FROM act a JOIN emb x ON x.id = a.record_id JOIN nw w ON w.node = a.node AND w.f = x.f GROUP BY ALL), zz AS (SELECT z.record_id, z.node, z.s + b.b AS z FROM zd z JOIN nb b ON b.node = z.node), {oracle.SOFTMAX} SELECT record_id, node, round(p, 6) AS p FROM pp")
+def softmax_active(s: SparkSession, d: str) -> DataFrame:
+    w, b = wide(s)
+    z = network.preactivation(dense(s, d, "record_id"), w, b, selection.threshold(wide_candidates(s, d)))
+    return network.softmax(z).select("record_id", "node", F.round("p", 6).alias("p"))
+
+
+@query(f"{TWO} SELECT count(*) AS n, round(avg(-ln(greatest(p.p, 1e-12))), 6) AS loss FROM pp p JOIN tgt t ON p.record_id = t.record_id AND p.node = t.label")
+def log_loss(s: SparkSession, d: str) -> DataFrame:
+    n = two_layers(s, d)
+    return network.log_loss(network.softmax(n["z"]), n["y"]).select("n", F.round("loss", 6).alias("loss"))
+
+
+def deltas(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    n = two_layers(s, d)
+    n["delta"] = network.output_delta(network.softmax(n["z"]), n["y"], BATCH)
+    n["back"] = network.hidden_delta(n["delta"], n["w2"], n["h"])
+    return n
+
+
+@query(f"{ONE_BATCH} SELECT record_id, node, round(delta, 8) AS delta FROM dd")
+def delta_output(s: SparkSession, d: str) -> DataFrame:
+    return deltas(s, d)["delta"].select("record_id", "node", F.round("delta", 8).alias("delta"))
+
+
+@query(f"{ONE_BATCH} SELECT record_id, node, round(delta, 8) AS delta FROM hdd")
+def delta_hidden(s: SparkSession, d: str) -> DataFrame:
+    return deltas(s, d)["back"].select("record_id", "node", F.round("delta", 8).alias("delta"))
+
+
+GRADS = "g2 AS (SELECT d.node, h.f, sum(d.delta * h.v) AS g FROM dd d JOIN hid h ON h.id = d.record_id WHERE h.v <> 0 AND d.delta <> 0 GROUP BY ALL), g1 AS (SELECT d.node, x.f, sum(d.delta * x.v) AS g FROM hdd d JOIN emb x ON x.id = d.record_id WHERE x.v <> 0 AND d.delta <> 0 GROUP BY ALL)"
+
+
+@query(f"{ONE_BATCH}, {GRADS} SELECT node, f, round(g, 7) AS g FROM g2")
+def grad_output(s: SparkSession, d: str) -> DataFrame:
+    n = deltas(s, d)
+    return network.gradient(n["delta"], n["h"]).select("node", "f", F.round("g", 7).alias("g"))
+
+
+@query(f"{ONE_BATCH}, {GRADS} SELECT node, f, round(g, 7) AS g FROM g1")
+def grad_first(s: SparkSession, d: str) -> DataFrame:
+    n = deltas(s, d)
+    return network.gradient(n["back"], n["x"]).select("node", "f", F.round("g", 7).alias("g"))
+
+
+@query(f"{ONE_BATCH} SELECT node, round(sum(delta), 7) AS g FROM dd GROUP BY node")
+def grad_bias(s: SparkSession, d: str) -> DataFrame:
+    return network.bias_gradient(deltas(s, d)["delta"]).select("node", F.round("g", 7).alias("g"))
+
+
+def adam_sql(lr: float, steps: int) -> str:
+    """Steps with the same gradient, as columns m, v, w of one expression after another."""
+    out = f"{ONE_BATCH}, {GRADS}, u0 AS (SELECT c.node, c.f, c.w, coalesce(g.g, 0) AS g, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM cw c LEFT JOIN g2 g ON c.node = g.node AND c.f = g.f)"
+    for t in range(1, steps + 1):
+        out += f", a{t} AS (SELECT node, f, w, g, {network.BETA1}::DOUBLE * m + {1 - network.BETA1}::DOUBLE * g AS m, {network.BETA2}::DOUBLE * v + {1 - network.BETA2}::DOUBLE * g * g AS v FROM u{t - 1}), u{t} AS (SELECT node, f, w + {network.step_size(lr, t)!r}::DOUBLE * m / (sqrt(v) + 1e-8::DOUBLE) AS w, g, m, v FROM a{t})"
+    return f"{out} SELECT node, f, round(w, 7) AS w, round(m, 7) AS m FROM u{steps}"
+
+
+def adam_steps(s: SparkSession, d: str, steps: int) -> DataFrame:
+    n = deltas(s, d)
+    g, w = network.gradient(n["delta"], n["h"]), model.moments(n["w2"])
+    for t in range(1, steps + 1):
+        w = network.adam(w, g, ["node", "f"], 1e-2, t)
+    return w.select("node", "f", F.round("w", 7).alias("w"), F.round("m", 7).alias("m"))
+
+
+@query(adam_sql(1e-2, 1))
+def adam_step1(s: SparkSession, d: str) -> DataFrame:
+    return adam_steps(s, d, 1)
+
+
+@query(adam_sql(1e-2, 2))
+def adam_step2(s: SparkSession, d: str) -> DataFrame:
+    return adam_steps(s, d, 2)
+
+
+@query(f"{ONE_BATCH}, {GRADS} SELECT c.node, c.f, round(c.w + 0.1::DOUBLE * coalesce(g.g, 0), 7) AS w FROM cw c LEFT JOIN g2 g ON c.node = g.node AND c.f = g.f")
+def sgd_step(s: SparkSession, d: str) -> DataFrame:
+    n = deltas(s, d)
+    return network.sgd(n["w2"], network.gradient(n["delta"], n["h"]), ["node", "f"], 0.1).select("node", "f", F.round("w", 7).alias("w"))
+
+
+PRED = f"{TWO}, pr AS (SELECT record_id, node AS predicted FROM (SELECT record_id, node, row_number() OVER (PARTITION BY record_id ORDER BY round(z, 9) DESC, node) AS r FROM zz) WHERE r = 1), ht AS (SELECT p.record_id, p.predicted, p.predicted = t.label AS hit FROM pr p JOIN tgt t ON p.record_id = t.record_id)"
+
+
+@query(f"{PRED} SELECT record_id, predicted FROM pr")
+def predict_argmax(s: SparkSession, d: str) -> DataFrame:
+    return network.predicted(two_layers(s, d)["z"])
+
+
+@query(f"{PRED} SELECT count(*) AS n, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS correct, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS accuracy FROM ht")
+def accuracy_p1(s: SparkSession, d: str) -> DataFrame:
+    n = two_layers(s, d)
+    return network.accuracy(network.hits(network.predicted(n["z"]), n["y"]))
+
+
+@query(f"{PRED}, rw AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // 128 AS batch_id FROM embeddings) SELECT batch_id, count(*) AS n, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM ht JOIN rw ON rw.vec_id = ht.record_id GROUP BY batch_id")
+def eval_batches(s: SparkSession, d: str) -> DataFrame:
+    n = two_layers(s, d)
+    hit = network.hits(network.predicted(n["z"]), n["y"])
+    return hit.join(sparse_text.batches(n["y"].select("record_id"), BATCH), "record_id").groupBy("batch_id").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("correct"))
+
+
+@query(f"{PRED} SELECT record_id, predicted FROM pr")
+def packed_predict(s: SparkSession, d: str) -> DataFrame:
+    """The same predictions by blocks of matrix products: hidden activations are packed rows, the output layer one matrix."""
+    n = two_layers(s, d)
+    rows = n["h"].groupBy("record_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "v"))), lambda x: x["v"]).alias("embedding"))
+    i, j = np.arange(10)[:, None], np.arange(16)[None, :]
+    w = ((i * 7919 + j * 104729 + 1299709) % 2003 - 1001) / 10010.0
+    b = ((np.arange(10) * 31 + 17) % 101 - 50) / 1000.0
+    return network.packed_forward(rows, w, b).select("record_id", "predicted")
+
+
+# --- control -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT i AS iter, i // 121 AS epoch, i % 50 = 49 AS rehash, i % 1000 = 49 AS rebuild, i % 1000 = 0 AS evaluate, i % 6946 = 6945 AS reshuffle FROM range(1210) AS t(i)")
+def schedule_flags(s: SparkSession, d: str) -> DataFrame:
+    return config.schedule(s, 1210, 121, config.Config())
+
+
+@query(None)
+def train_epoch_metrics(s: SparkSession, d: str) -> DataFrame:
+    """Loss of three dense steps and one with sampled output nodes; a step's loss is that before its update."""
+    c = config.Config(lr=0.01, batch_size=BATCH, k=(2, 2), l=(4, 4))
+    net = model.Network(s, c, 64, 16, 10)
+    rows = sparse_text.batches(labels(s, d).select("record_id"), BATCH)
+    rows = model.kept(rows)
+    out = model.train(net, dense(s, d, "record_id"), labels(s, d), rows, 3)
+    out += [{**m, "iter": 3 + m["iter"]} for m in model.train(net, dense(s, d, "record_id"), labels(s, d), rows, 1, sparse=True)]
+    return s.createDataFrame([(m["iter"], m["n"], round(m["loss"], 6)) for m in out], "iter long, n long, loss double")
+
+
+@query("SELECT 'k' || vec_id AS key, CASE WHEN vec_id % 5 = 0 THEN 'new' ELSE 'old' END AS dtype, CAST(CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS ts FROM embeddings")
+def param_version_swap(s: SparkSession, d: str) -> DataFrame:
+    """Key-value rows, a fifth of them put again: the second version is what readers see."""
+    store = params.Store(s, (s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-store-")) + "/kv-" + next(tempfile._get_candidate_names()))
+    e = table(s, d, "embeddings")
+    first = e.select(F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("key"), F.lit("old").alias("dtype"), F.lit(0).cast("long").alias("ts"))
+    store.upsert("kv", first)
+    store.upsert("kv", e.filter("vec_id % 5 = 0").select(F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("key"), F.lit("new").alias("dtype"), F.lit(1).cast("long").alias("ts")))
+    return store.read("kv")
