@@ -61,6 +61,8 @@ def grams(text: str) -> np.ndarray:
 
 
 def counted(sorted_grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(sorted_grams):
+        return sorted_grams, np.empty(0, np.int64)
     first = np.flatnonzero(np.concatenate([[True], sorted_grams[1:] != sorted_grams[:-1]]))
     return sorted_grams[first], np.diff(np.append(first, len(sorted_grams)))
 

@@ -33,9 +33,9 @@ def literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def with_spans(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with t (the text, null as empty) and spans: array<struct<kind, start, end, text, score>>, by kind, then start."""
-    out = df.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+def _marked(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """row (a struct of the kept columns, whatever their names), t (the text, null as empty) and spans."""
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     out = out.withColumns({f"m_{k}": F.expr(f"case when {test} then regexp_extract_all(t, {literal(pattern)}, 0) else cast(array() as array<string>) end") for k, pattern, test, *_ in KINDS})
     out = out.withColumns({f"p_{k}": F.expr(f"case when size(m_{k}) > 0 then slice(split(t, {literal(pattern)}, -1), 1, size(m_{k})) else cast(array() as array<string>) end") for k, pattern, *_ in KINDS})
     kind_type = "array<struct<kind:string,start:int,end:int,text:string,before:string>>"
@@ -51,7 +51,12 @@ def with_spans(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
         f"transform(filter(s_{k}, s -> {check}), s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'text', s.text, 'score', {weight}D + case when rlike(s.before, {literal(rf'(?<![a-z])(?:{pro})(?![a-z])')}) then 0.1D else 0D end - case when rlike(s.before, {literal(rf'(?<![a-z])(?:{con})(?![a-z])')}) then 0.3D else 0D end))"
         for k, _, _, check, weight, pro, con in KINDS
     ]
-    return out.select(*keep, "t", F.expr(f"concat({', '.join(checked)})").alias("spans"))
+    return out.select("row", "t", F.expr(f"concat({', '.join(checked)})").alias("spans"))
+
+
+def with_spans(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns and spans: array<struct<kind, start, end, text, score>>, by kind, then start."""
+    return _marked(df, text_col, keep).select(*[F.col("row")[c].alias(c) for c in keep], "spans")
 
 
 def listed(spans: Column) -> Column:
@@ -75,11 +80,11 @@ def redact(df: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars")
     """The table with each span of its text replaced by its kind in angle brackets and n_chars counted anew; overlapping spans become
     one, of the first one's kind. Texts without spans stay as they are, nulls included."""
     names = df.columns
-    marked = with_spans(df, text_col, tuple(names))
+    marked = _marked(df, text_col, tuple(names))
     build = (
         "aggregate(array_sort(spans, (a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 else 0 end), named_struct('pos', 0, 'out', cast(array() as array<string>)), "
         "(acc, x) -> case when x.start >= acc.pos then named_struct('pos', x.end, 'out', concat(acc.out, array(substring(t, acc.pos + 1, x.start - acc.pos), concat('<', upper(x.kind), '>')))) "
         "else named_struct('pos', greatest(acc.pos, x.end), 'out', acc.out) end, acc -> concat(array_join(acc.out, ''), substring(t, acc.pos + 1)))"
     )
-    clean = marked.withColumn("__clean", F.expr(f"case when size(spans) > 0 then {build} else `{text_col}` end"))
-    return clean.select(*[F.col("__clean").alias(c) if c == text_col else F.length("__clean").cast("long").alias(c) if c == n_chars_col else F.col(c) for c in names])
+    clean = marked.select("row", F.expr(f"case when size(spans) > 0 then {build} else row.`{text_col}` end").alias("clean"))
+    return clean.select(*[F.col("clean").alias(c) if c == text_col else F.length("clean").cast("long").alias(c) if c == n_chars_col else F.col("row")[c].alias(c) for c in names])
