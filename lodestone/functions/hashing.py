@@ -72,7 +72,7 @@ def densified(signature: DataFrame, hashes: int, ids: DataFrame | None = None) -
     full = ids.crossJoin(F.broadcast(spark.range(hashes).withColumnRenamed("id", "bin")))  # `hashes` rows, a setting
     empty = full.join(signature, ["id", "bin"], "left_anti")
     borrowed = (
-        empty.join(F.broadcast(probes(spark, hashes)), "bin")  # hashes * PROBES rows, a setting
+        empty.join(F.broadcast(probes(spark, hashes).groupBy("bin", "target").agg(F.min("attempt").alias("attempt"))), "bin")  # at most hashes * PROBES rows, a setting; a target's first attempt is the one that counts
         .join(signature.select("id", F.col("bin").alias("target"), "h"), ["id", "target"])
         .groupBy("id", "bin").agg(F.min_by("h", "attempt").alias("h"))
     )
