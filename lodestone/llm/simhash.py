@@ -50,16 +50,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp bigint): the fingerprint's 64 bits as a signed number, for every row."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The kept columns (the id alone if not said) and fp bigint, the fingerprint's 64 bits as a signed number, for every row."""
+    src = df.select(*[F.col(f"`{c}`") for c in keep or (id_col,)], F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint((x.as_py() or "").encode()) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            fp = np.fromiter((fingerprint((x.as_py() or "").encode()) for x in b.column(b.num_columns - 1)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
 
-    src = df.select(F.col(id_col), F.col(text_col).cast("string").alias("t"))
-    return src.mapInArrow(run, f"{id_col} {src.schema[0].dataType.simpleString()}, fp long")
+    from pyspark.sql import types as T
+
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
