@@ -24,12 +24,20 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of smallest doc_id; of repeated rows of that id the first in order of columns."""
-    groups = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    kept = docs.join(groups, "doc_id", "left_semi").select(*docs.columns)
-    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """One document of each group of near copies, that of smallest doc_id. Of rows that repeat that id, one that is in the group
+    stays, that of smallest fingerprint; among rows of equal id and fingerprint any one. Documents without an id leave."""
+    kept = F.col("doc_id") == F.col("component_id")
+    verdict = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("__n"), F.min(F.when(kept, F.col("fp"))).alias("__fp"))
+    verdict = common.checkpoint(verdict.filter("__fp is not null").withColumnRenamed("doc_id", "__id"))
+    once = docs.join(verdict.filter("__n = 1"), F.col("doc_id") == F.col("__id"), "left_semi").select(*docs.columns)
+    repeated = verdict.filter("__n > 1").select("__id", "__fp")
+    if repeated.isEmpty():
+        return once
+    rows = docs.join(repeated.select("__id"), F.col("doc_id") == F.col("__id"), "left_semi")
+    packed = rows.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    marked = simhash.fingerprints(packed, keep=("doc_id", "row"))
+    same = marked.join(repeated, (F.col("doc_id") == F.col("__id")) & (F.col("fp") == F.col("__fp")), "left_semi")
+    return once.unionByName(same.dropDuplicates(["doc_id"]).select("row.*"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
