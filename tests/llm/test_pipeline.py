@@ -34,7 +34,21 @@ def test_run(spark):
 
 def test_edges(spark, edges, nothing):
     for start in (edges, nothing):
-        now = start.select("doc_id", "text", "lang", "source", "n_chars")
-        for _, stage in cp.STAGES:
+        now = start
+        for i, (_, stage) in enumerate(cp.STAGES):
             now = stage(spark, now, DATA)
+            assert i == len(cp.STAGES) - 1 or now.columns == start.columns
         assert now.count() <= start.count() * 2
+
+
+def test_repeated_ids(spark):
+    """Of rows that share an id, the one in the kept group stays; one that is a copy of a smaller document goes."""
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight"
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (4, a + " iota")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in cp.deduplicate(spark, docs, DATA).collect())
+    from lodestone.llm import simhash
+
+    fp = {t: simhash.fingerprint(t.encode()) for _, t in rows}
+    assert (fp[a] ^ fp[b]).bit_count() > 2 and (fp[a] ^ fp[a + " iota"]).bit_count() > 2
+    assert got == [(1, a), (2, b), (4, a + " iota")]
