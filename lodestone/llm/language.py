@@ -104,10 +104,11 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.setdefault(label, []).append(g := grams(text or ""))
                 size += len(g)
-                if size > 4 << 20:
+                if size > 1 << 20:
                     yield from out()
                     size = 0
         yield from out()
+        common.give_back()
 
     total = drawn.select("label", "t").mapInArrow(run, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "gram"))
@@ -151,6 +152,7 @@ def predict(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "text
                 p = b.slice(s, e - s)
                 got = [model.predict(t.as_py()) for t in p.column(p.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*p.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*p.schema.names[:-1], "lang_pred", "score"])
+        common.give_back()
 
     from pyspark.sql import types as T
 

@@ -58,6 +58,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             fp = np.fromiter((fingerprint((x.as_py() or "").encode()) for x in b.column(b.num_columns - 1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
+        common.give_back()
 
     from pyspark.sql import types as T
 
