@@ -253,6 +253,7 @@ class Tokenizer:
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
+common.HELD.append(_TOKENIZERS)
 
 
 def tokenizer(definition: str) -> Tokenizer:
@@ -286,7 +287,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ..
                 np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([*(c[s:e] for c in b.columns[:-1]), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*keep, "n_tokens", "ids"])
-        common.give_back()
+        common.give_back(but=_TOKENIZERS)
 
     return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 

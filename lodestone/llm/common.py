@@ -128,8 +128,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def give_back() -> None:
-    """Return freed memory to the system at the end of a task: Python workers live on, idle, between stages."""
+#: large caches that operators keep in a Python worker, each cleared when a task of another operator ends there
+HELD: list[dict] = []
+
+
+def give_back(but: dict | None = None) -> None:
+    """Return memory to the system at the end of a task, but the caller's cache: Python workers live on, idle, between stages."""
+    for cache in HELD:
+        if cache is not but:
+            cache.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
     if trim is not None:
