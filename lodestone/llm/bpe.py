@@ -38,7 +38,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 CUT = regex.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 CROWDED = regex.compile(rf"[{SPACE.replace(' ', '', 1)}] | [{SPACE.replace(' ', '', 1)}]")
-CACHE = 1 << 19
+CACHE = 1 << 17
 LATIN = "\u0250"  # below it, isalpha() and \p{L} agree in every Unicode version
 NEVER = 1 << 30
 
@@ -252,8 +252,7 @@ class Tokenizer:
         yield machine.decode(b"", final=True)
 
 
-_TOKENIZERS: dict[str, Tokenizer] = {}
-common.HELD.append(_TOKENIZERS)
+_TOKENIZERS: dict[str, Tokenizer] = common.HELD.setdefault("bpe", {})
 
 
 def tokenizer(definition: str) -> Tokenizer:
@@ -287,9 +286,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ..
                 np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([*(c[s:e] for c in b.columns[:-1]), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*keep, "n_tokens", "ids"])
-        common.give_back(but=_TOKENIZERS)
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return common.in_arrow(src, run, T.StructType([*src.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]), "bpe")
 
 
 def round_trip(df: DataFrame, path: str) -> DataFrame:
@@ -311,4 +309,4 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
                 text_sha.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.in_arrow(src, run, f"doc_id {src.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe")

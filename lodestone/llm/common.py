@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that the vectorised passes take at a time; one longer text is taken alone.
 CHUNK_BYTES = 1 << 20
@@ -128,14 +129,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: large caches that operators keep in a Python worker, each cleared when a task of another operator ends there
-HELD: list[dict] = []
+#: Arrow batches of texts in bytes; Spark's default lets one grow to the whole of a usual partition, in the JVM and in Python
+BATCH_BYTES = "4m"
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: large caches that operators keep in a Python worker, by operator, each cleared when a task of another one begins or ends there
+HELD: dict[str, dict] = {}
 
-def give_back(but: dict | None = None) -> None:
-    """Return memory to the system at the end of a task, but the caller's cache: Python workers live on, idle, between stages."""
-    for cache in HELD:
-        if cache is not but:
+
+def give_back(but: str | None = None) -> None:
+    """Return memory to the system, but the cache of operator `but`: Python workers live on, idle, between stages."""
+    for name, cache in HELD.items():
+        if name != but:
             cache.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
@@ -143,6 +148,22 @@ def give_back(but: dict | None = None) -> None:
         trim(0)
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, operator: str | None = None) -> DataFrame:
+    """df.mapInArrow in small batches, whose tasks return memory, but the cache of `operator`, when they begin and end.
+
+    The size of batches is a setting of the session, made here only where the session has none of its own."""
+    conf = df.sparkSession.conf
+    if _BATCH_KEY not in conf.getAll:
+        conf.set(_BATCH_KEY, BATCH_BYTES)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(but=operator)
+        yield from run(batches)
+        give_back(but=operator)
+
+    return df.mapInArrow(task, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -108,9 +108,8 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
                     yield from out()
                     size = 0
         yield from out()
-        common.give_back()
 
-    total = drawn.select("label", "t").mapInArrow(run, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    total = common.in_arrow(drawn.select("label", "t"), run, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "gram"))
     best = total.withColumn("rank", rank).filter(F.col("rank") <= top).collect()  # TOP rows a language
     profiles: dict[str, list[int]] = {}
@@ -152,11 +151,10 @@ def predict(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "text
                 p = b.slice(s, e - s)
                 got = [model.predict(t.as_py()) for t in p.column(p.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*p.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*p.schema.names[:-1], "lang_pred", "score"])
-        common.give_back()
 
     from pyspark.sql import types as T
 
-    return src.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return common.in_arrow(src, run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

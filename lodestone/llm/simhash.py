@@ -58,11 +58,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             fp = np.fromiter((fingerprint((x.as_py() or "").encode()) for x in b.column(b.num_columns - 1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=[*b.schema.names[:-1], "fp"])
-        common.give_back()
 
     from pyspark.sql import types as T
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("fp", T.LongType())]))
+    return common.in_arrow(src, run, T.StructType([*src.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -126,7 +125,8 @@ def links(fps: DataFrame, radius: int = RADIUS, many: int = MANY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     n = common.partitions(fps.sparkSession)
-    return keyed.repartition(n, "i", "t", "key").sortWithinPartitions("i", "t", "key").mapInArrow(run, "a long, b long")
+    placed = keyed.repartition(n, "i", "t", "key").sortWithinPartitions("i", "t", "key")
+    return common.in_arrow(placed, run, "a long, b long")
 
 
 def spanning(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
