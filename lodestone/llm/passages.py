@@ -6,7 +6,8 @@ of n documents makes n - 1 links, not n squared. Links of a document pair are ch
 ends in a link is found by a Fenwick tree over the other text's places, each link worth its words, less a cost for the gap
 and for the drift between the two texts. Chains are cut where a gap is over GAP words. Then the words of both texts around each chain are
 aligned: exactly between links, by edit distance where they differ, and along the diagonal beyond the ends until the score
-has dropped. Passages of at least LEAST words a side and LIKE of words in common are kept.
+has dropped. Every stretch of that alignment of at least LEAST words a side and LIKE of words in common is kept, so a chain over
+passages with other words between them gives a row for each of them.
 
 Result: one row per passage of a document that a document of smaller doc_id has too: doc_id, ref_doc_id, places in words
 (ends exclusive), matched words, identity. Membership of a passage is by its ref; two documents with a passage of a third
@@ -142,49 +143,94 @@ def candidates(links: DataFrame, k: int = GRAM) -> DataFrame:
     return links.repartition(n, "doc", "ref").sortWithinPartitions("doc", "ref", "pos", "ref_pos").mapInArrow(run, "doc long, ref long, xs array<int>, ys array<int>")
 
 
-def common_words(a: np.ndarray, b: np.ndarray) -> int:
-    """Words that the best alignment of two short runs has in common, each in order."""
-    if not len(a) or not len(b):
-        return 0
-    if len(a) == len(b) and (a == b).all():
-        return len(a)
-    same = (a[:, None] == b[None, :]).tolist()
-    row = [0] * (len(b) + 1)
-    for hit in same:
-        last = 0
-        for j, h in enumerate(hit, 1):
-            last, row[j] = row[j], last + 1 if h else max(row[j], row[j - 1])
-    return row[-1]
-
-
-def extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(length, matches) of the best run of a and b from their start on one diagonal; it ends where the score drops too far."""
+def common_words(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Places in a and in b of the words that the best alignment of two short runs has in common, each in order."""
+    most, head = min(len(a), len(b)), 0
+    while head < most and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    u, v = a[head : len(a) - tail], b[head : len(b) - tail]
+    x, y = list(range(head)), list(range(head))
+    if len(u) and len(v):
+        rows = [[0] * (len(v) + 1)]
+        for hit in (u[:, None] == v[None, :]).tolist():
+            over, row = rows[-1], [0]
+            for j, h in enumerate(hit, 1):
+                row.append(over[j - 1] + 1 if h else max(over[j], row[-1]))
+            rows.append(row)
+        i, j, back = len(u), len(v), []
+        while rows[i][j]:
+            if rows[i - 1][j] == rows[i][j]:
+                i -= 1
+            elif rows[i][j - 1] == rows[i][j]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                back.append((i, j))
+        x += [head + i for i, _ in back[::-1]]
+        y += [head + j for _, j in back[::-1]]
+    return x + list(range(len(a) - tail, len(a))), y + list(range(len(b) - tail, len(b)))
+
+
+def extended(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the matches in the best run of a and b from their start on one diagonal; it ends where the score drops too far."""
     n = min(len(a), len(b))
-    if not n:
-        return 0, 0
     same = a[:n] == b[:n]
     score = np.cumsum(np.where(same, 1.0, -2.0))
     over = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > DROP)
     score = score[: over[0]] if len(over) else score
     if not len(score) or score.max() <= 0:
-        return 0, 0
+        return np.empty(0, np.int64)
     best = int(len(score) - 1 - score[::-1].argmax())
-    return best + 1, int(same[: best + 1].sum())
-
-
-def aligned(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = GRAM) -> tuple[int, int, int, int, int]:
-    """(x0, x1, y0, y1, matches) of the passage around a chain; places are those of the slices a and b."""
-    matches, x, y = 0, int(xs[0]), int(ys[0])
-    x0, y0 = x, y
-    for i, j in zip(xs[1:].tolist(), ys[1:].tolist(), strict=True):
-        matches += common_words(a[x:i], b[y:j])
+    return np.flatnonzero(same[: best + 1])
+
+
+def aligned(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the matching words of the slices a and b around a chain, ascending in both."""
+    x, y = int(xs[0]), int(ys[0])
+    back = extended(a[:x][::-1], b[:y][::-1])[::-1]
+    px, py = [x - 1 - back], [y - 1 - back]
+    for i, j in zip([*xs[1:].tolist(), int(xs[-1]) + k], [*ys[1:].tolist(), int(ys[-1]) + k], strict=True):
+        u, v = common_words(a[x:i], b[y:j])
+        px.append(np.array(u, np.int64) + x)
+        py.append(np.array(v, np.int64) + y)
         x, y = i, j
-    matches += common_words(a[x : x + k], b[y : y + k])
-    x1, y1 = x + k, y + k
-    n, m = extended(a[x1:], b[y1:])
-    x1, y1, matches = x1 + n, y1 + n, matches + m
-    n, m = extended(a[:x0][::-1], b[:y0][::-1])
-    return x0 - n, x1, y0 - n, y1, matches + m
+    on = extended(a[x:], b[y:])
+    return np.concatenate([*px, x + on]), np.concatenate([*py, y + on])
+
+
+def stretches(x: np.ndarray, y: np.ndarray, least: int = LEAST, like: float = LIKE) -> list[tuple[int, int]]:
+    """(first, last) matches of the fewest stretches that cover every match which lies in a stretch of at least `least` words a side
+    and `like` of words in common; each is as long as its start allows. Stretches that share good parts may overlap.
+
+    A stretch that ends or begins inside a run of matches is never maximal, so only the ends of runs are tried."""
+    m = np.arange(len(x))
+    if not len(x):
+        return []
+    step = (np.diff(x) != 1) | (np.diff(y) != 1)
+    first, last = np.flatnonzero(np.concatenate([[True], step])), np.flatnonzero(np.concatenate([step, [True]]))
+    found: list[tuple[int, int]] = []
+    for p in first.tolist():
+        q = last[np.searchsorted(last, p) :]
+        u, v, n = x[q] - x[p] + 1, y[q] - y[p] + 1, m[q] - p + 1
+        good = np.flatnonzero((np.minimum(u, v) >= least) & (n >= like * np.maximum(u, v)))
+        if len(good) and (not found or q[good[-1]] > found[-1][1]):
+            found.append((p, int(q[good[-1]])))
+            if len(good) and good[-1] == len(q) - 1:
+                break
+    out: list[tuple[int, int]] = []
+    done, at = -1, 0
+    while at < len(found):
+        # of the stretches that hold the first match not covered yet, the one that reaches farthest
+        while at + 1 < len(found) and found[at + 1][0] <= done + 1:
+            at += 1
+        if found[at][1] > done:
+            out.append(found[at])
+            done = found[at][1]
+        at += 1
+    return out
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, like: float = LIKE) -> DataFrame:
@@ -225,10 +271,10 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 held.setdefault(side, (at, np.frombuffer(raw, np.uint16)))
                 if 0 in held and 1 in held and 2 in held and side == 1:
                     (x_at, u), (y_at, v), (d, r, px, py) = held[0], held[1], held[2]
-                    x0, x1, y0, y1, m = aligned(u, v, px - x_at, py - y_at)
-                    long = max(x1 - x0, y1 - y0)
-                    if min(x1 - x0, y1 - y0) >= least and m >= like * long:
-                        rows.append((d, r, x0 + x_at, x1 + x_at, y0 + y_at, y1 + y_at, m, m / long))
+                    mx, my = aligned(u, v, px - x_at, py - y_at)
+                    for i, j in stretches(mx, my, least, like):
+                        x0, x1, y0, y1, m = int(mx[i]), int(mx[j]) + 1, int(my[i]), int(my[j]) + 1, j - i + 1
+                        rows.append((d, r, x0 + x_at, x1 + x_at, y0 + y_at, y1 + y_at, m, m / max(x1 - x0, y1 - y0)))
                     held = {}
             if rows:
                 got = list(zip(*rows, strict=True))

@@ -262,6 +262,40 @@ def test_op9(spark, docs, edges, nothing):
     assert passages.repeated_passages(nothing).count() == 0
 
 
+def test_op9_cuts_chains(spark):
+    rng = np.random.default_rng(9)
+
+    def prose(n):
+        return ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+
+    def pair(*parts):
+        """Texts that share every other part, from the first on; the others are each text's own."""
+        shared = [prose(n) if i % 2 == 0 else None for i, n in enumerate(parts)]
+        return [" ".join(sum((prose(n) if s is None else s for s, n in zip(shared, parts, strict=True)), prose(lead))) for lead in (10, 25)]
+
+    kinds = [((55, 30, 55), [(25, 80), (110, 165)]), ((50, 30, 50, 30, 50), [(25, 75), (105, 155), (185, 235)]), ((60, 30, 8), [(25, 85)])]
+    cases = {10 * n: (pair(*parts), want) for n, (parts, want) in enumerate(kinds * 8)}  # seeds lie elsewhere each time
+    made = spark.createDataFrame([(i + j, t) for i, (texts, _) in cases.items() for j, t in enumerate(texts)], "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in passages.repeated_passages(made).collect():
+        got[r.ref_doc_id].append((r.start_word, r.end_word))
+    assert {i: sorted(v) for i, v in got.items()} == {i: want for i, (_, want) in cases.items()}
+
+
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3)), min_size=1, max_size=40))
+@settings(max_examples=100, deadline=None)
+def test_stretches(steps):
+    x, y = np.cumsum(np.array(steps), axis=0).T
+
+    def good(p, q):
+        u, v = x[q] - x[p] + 1, y[q] - y[p] + 1
+        return min(u, v) >= 10 and q - p + 1 >= 0.8 * max(u, v)
+
+    got = passages.stretches(x, y, 10, 0.8)
+    want = {i for q in range(len(x)) for p in range(q) if good(p, q) for i in range(p, q + 1)}
+    assert all(good(p, q) for p, q in got) and {i for p, q in got for i in range(p, q + 1)} == want
+
+
 def test_chains():
     x, y = np.arange(0, 50, 10), np.array([3, 13, 200, 33, 43])
     assert passages.chains(x, y)[0] == [0, 1, 3, 4]
