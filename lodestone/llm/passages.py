@@ -1,8 +1,9 @@
 """Repeated passages across documents by collinear chaining.
 
-Seeds: the winnowed k-word grams of each text (every run of WINDOW + GRAM - 1 words has one), the first place of each
-gram in a text. A gram that occurs in several documents links each occurrence to the one in the smallest doc_id, so a gram
-of n documents makes n - 1 links, not n squared. Links of a document pair are chained: in order of place, the best chain that
+Seeds: the winnowed k-word grams of each text (every run of WINDOW + GRAM - 1 words has one), at all their places, and each seed
+together with the next one, which every exact run of LEAST words has. A seed or pair that occurs in several documents links
+each occurrence to the first in the smallest doc_id, so n occurrences make fewer than n links, not n squared. Pairs tell
+passages from their parts: where each seed of a passage occurs in some smaller document, those across two parts don't. Links of a document pair are chained: in order of place, the best chain that
 ends in a link is found by a Fenwick tree over the other text's places, each link worth its words, less a cost for the gap
 and for the drift between the two texts. Chains are cut where a gap is over GAP words. Then the words of both texts around each chain are
 aligned: exactly between links, by edit distance where they differ, and along the diagonal beyond the ends until the score
@@ -46,20 +47,24 @@ def seeds_of(h: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray,
     keys = (full & ~np.uint64(0xFFFFFFFF)) | (np.uint64(0xFFFFFFFF) - np.arange(len(full), dtype=np.uint64))
     best = sliding_min(keys, w)
     at = np.unique((np.uint64(0xFFFFFFFF) - (best & np.uint64(0xFFFFFFFF))).astype(np.int64))
-    _, first = np.unique(full[at], return_index=True)
-    at = at[np.sort(first)]
     return full[at], at
 
 
+def keys_of(h: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places): a text's seeds, then each seed together with the next one, at the first one's place."""
+    full, at = seeds_of(h, k, w)
+    return np.concatenate([full, common.rolling(full, 2)]), np.concatenate([at, at[:-1]])
+
+
 def seeds(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
-    """(h, doc, pos) of all seeds; docs has doc and text."""
+    """(h, doc, pos) of all seeds and pairs of seeds; docs has doc and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text, doc = common.filled(b.column(1)), b.column(0).to_numpy()
             for s, e in common.string_chunks(text):
                 h, cuts = common.word_hashes(text[s:e])
-                found = [seeds_of(h[i:j], k, w) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                found = [keys_of(h[i:j], k, w) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                 n = np.array([len(p) for _, p in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found]).view(np.int64)), pa.array(np.repeat(doc[s:e], n)), pa.array(np.concatenate([f[1] for f in found]).astype(np.int32))], names=["h", "doc", "pos"])
 
@@ -94,7 +99,7 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = GRAM, gap: int = GAP) -> list[
         for i in (best[1], other[1]):
             if i >= 0 and ys[i] < ys[j]:
                 dx, dy = xs[j] - xs[i], ys[j] - ys[i]
-                if dx <= gap + k and dy <= gap + k and (v := value[i] - COST * (dx + dy) - DRIFT * abs(dx - dy)) > got:
+                if 0 < dx <= gap + k and dy <= gap + k and (v := value[i] - COST * (dx + dy) - DRIFT * abs(dx - dy)) > got:
                     got, prior[j] = v, i
         value[j] = k + got
         at, mine, his = rs[j], (value[j] + up, j), (value[j] + down, j)
@@ -124,6 +129,8 @@ def candidates(links: DataFrame, k: int = GRAM) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             x, y = np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+            new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])  # a seed and its pair often link the same places
+            x, y = x[new], y[new]
             found = chains(x, y, k)
             return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(found), pa.int64()), pa.array([now[1]] * len(found), pa.int64()), pa.array([x[c] for c in found], pa.list_(pa.int32())), pa.array([y[c] for c in found], pa.list_(pa.int32()))], names=["doc", "ref", "xs", "ys"])
 
@@ -237,7 +244,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per repeated passage; see the module's text."""
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
     found = seeds(docs)
-    shared = found.groupBy("h").agg(F.min("doc").alias("ref"), F.max("doc").alias("most"), F.min_by("pos", "doc").alias("ref_pos")).filter("ref <> most").select("h", "ref", "ref_pos")
+    shared = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("least"), F.max("doc").alias("most")).filter("least.doc <> most").select("h", F.col("least.doc").alias("ref"), F.col("least.pos").alias("ref_pos"))
     links = found.join(shared, "h").filter("doc <> ref").select("doc", "ref", "pos", "ref_pos")
     cand = common.checkpoint(candidates(links).withColumn("c", F.monotonically_increasing_id()))
 

@@ -282,6 +282,28 @@ def test_op9_cuts_chains(spark):
     assert {i: sorted(v) for i, v in got.items()} == {i: want for i, (_, want) in cases.items()}
 
 
+def test_op9_parts_in_smaller_documents(spark):
+    rng = np.random.default_rng(10)
+
+    def prose(n):
+        return ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+
+    lines = [prose(30) for _ in range(4)]
+    whole = sum(lines, [])
+    texts = {i: prose(20) + line + prose(20) for i, line in enumerate(lines)}
+    texts |= {11: prose(15) + whole + prose(15), 12: prose(40) + whole + prose(5)}  # each line is in a smaller document, their sequence is not
+    again = prose(60)
+    texts |= {21: prose(10) + again, 22: again + prose(70) + again}  # two copies in one document
+    own = [prose(30), prose(30)]
+    texts |= {31: own[1] + prose(90) + own[0] + prose(90) + own[0] + own[1], 32: prose(12) + own[0] + own[1]}  # its lines occur before, apart
+    for n in range(100, 340, 10):  # two lines of smaller documents; seeds lie elsewhere each time
+        own = [prose(30), prose(30)]
+        texts |= {n: prose(20) + own[0] + prose(20), n + 1: prose(20) + own[1] + prose(20), n + 2: prose(20) + own[0] + own[1] + prose(9), n + 3: prose(30) + own[0] + own[1]}
+    got = {(r.doc_id, r.ref_doc_id, r.start_word, r.end_word, r.ref_start_word) for r in passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()}
+    assert {(12, 11, 40, 160, 15), (22, 21, 0, 60, 10), (22, 21, 130, 190, 10), (32, 31, 12, 72, 240)} <= got
+    assert {(n + 3, n + 2, 30, 90, 20) for n in range(100, 340, 10)} <= got
+
+
 @given(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3)), min_size=1, max_size=40))
 @settings(max_examples=100, deadline=None)
 def test_stretches(steps):
