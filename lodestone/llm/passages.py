@@ -4,15 +4,16 @@ Seeds: the winnowed k-word grams of each text (every run of WINDOW + GRAM - 1 wo
 together with the next one, which every exact run of LEAST words has. A seed or pair that occurs in several documents links
 each occurrence to the first in the smallest doc_id, so n occurrences make fewer than n links, not n squared. Pairs tell
 passages from their parts: where each seed of a passage occurs in some smaller document, those across two parts don't. Links of a document pair are chained: in order of place, the best chain that
-ends in a link is found by a Fenwick tree over the other text's places, each link worth its words, less a cost for the gap
-and for the drift between the two texts. Chains are cut where a gap is over GAP words. Then the words of both texts around each chain are
+ends in a link is found among the links at most GAP words before it in both texts, each link worth its words, less a cost for the
+gap and for the drift between the two texts. Then the words of both texts around each chain are
 aligned: exactly between links, by edit distance where they differ, and along the diagonal beyond the ends until the score
 has dropped. Every stretch of that alignment of at least LEAST words a side and LIKE of words in common is kept, so a chain over
 passages with other words between them gives a row for each of them.
 
 Result: one row per passage of a document that a document of smaller doc_id has too: doc_id, ref_doc_id, places in words
 (ends exclusive), matched words, identity. Membership of a passage is by its ref; two documents with a passage of a third
-link through it. Where parts of one passage have different smallest documents, each part is extended by alignment.
+link through it. Of a pair's rows, one inside another in the document is that passage again, as in texts of one line many times
+over, and left out; copies at other places of the document have rows of their own. Where parts of one passage have different smallest documents, each part is extended by alignment.
 
 Defined results. Null texts and rows with a null id have no passages. Rows with equal doc_id are not compared with one
 another; repeats inside one document are not reported. Words are [^\\x20\\x09-\\x0D]+ with A-Z lowered. An empty table gives
@@ -20,6 +21,7 @@ no rows; texts are read whole; only the id and text columns are read."""
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,14 +52,17 @@ def seeds_of(h: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray,
     return full[at], at
 
 
-def keys_of(h: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, places): a text's seeds, then each seed together with the next one, at the first one's place."""
+def keys_of(h: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, places, whether it is the key's first place): a text's seeds, then each seed together with the next one, at the first one's place."""
     full, at = seeds_of(h, k, w)
-    return np.concatenate([full, common.rolling(full, 2)]), np.concatenate([at, at[:-1]])
+    keys = np.concatenate([full, common.rolling(full, 2)])
+    first = np.zeros(len(keys), bool)
+    first[np.unique(keys, return_index=True)[1]] = True
+    return keys, np.concatenate([at, at[:-1]]), first
 
 
 def seeds(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
-    """(h, doc, pos) of all seeds and pairs of seeds; docs has doc and text."""
+    """(h, doc, pos, first) of all seeds and pairs of seeds; docs has doc and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,50 +70,35 @@ def seeds(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
             for s, e in common.string_chunks(text):
                 h, cuts = common.word_hashes(text[s:e])
                 found = [keys_of(h[i:j], k, w) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                n = np.array([len(p) for _, p in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found]).view(np.int64)), pa.array(np.repeat(doc[s:e], n)), pa.array(np.concatenate([f[1] for f in found]).astype(np.int32))], names=["h", "doc", "pos"])
+                n = np.array([len(f[1]) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found]).view(np.int64)), pa.array(np.repeat(doc[s:e], n)), pa.array(np.concatenate([f[1] for f in found]).astype(np.int32)), pa.array(np.concatenate([f[2] for f in found]))], names=["h", "doc", "pos", "first"])
 
-    return docs.mapInArrow(run, "h long, doc long, pos int")
+    return docs.mapInArrow(run, "h long, doc long, pos int, first boolean")
 
 
 def chains(x: np.ndarray, y: np.ndarray, k: int = GRAM, gap: int = GAP) -> list[list[int]]:
     """Index lists of collinear chains of the links (x ascending), best first, cut at wide gaps. Each link is in one chain at most.
 
-    A chain's value is k a link, less COST a word of gap in either text and DRIFT a word by which the gaps differ. The cost of
-    drift has two forms, by which text runs ahead; each is a sum of a part of either link, so a prefix maximum finds the
-    best link before: one tree over y serves links of smaller drift, one in reverse order of drift the others. Both trees keep
-    a bound on the cost, and the better of the two is taken."""
-    n = len(x)
-    rank = np.empty(n, np.int64)
-    rank[np.argsort(y, kind="stable")] = np.arange(1, n + 1)
-    ahead, behind = [(-1e18, -1)] * (n + 1), [(-1e18, -1)] * (n + 1)
+    A chain's value is k a link, less COST a word of gap in either text and DRIFT a word by which the gaps differ. Only links within
+    the gap can come before another: a window over x holds them in order of y, and all of its links within the gap in y are tried,
+    so the best of them is found however much a chain further back is worth. The window's size doesn't depend on the texts' length."""
+    n, reach = len(x), gap + k
     value, prior = [0.0] * n, [-1] * n
-    xs, ys, rs = x.tolist(), y.tolist(), rank.tolist()
+    xs, ys = x.tolist(), y.tolist()
+    window: list[tuple[int, int]] = []  # (y, link), ascending
+    behind = 0
     for j in range(n):
-        best, at = (-1e18, -1), rs[j] - 1
-        other = (-1e18, -1)
-        while at > 0:
-            if ahead[at] > best:
-                best = ahead[at]
-            if behind[at] > other:
-                other = behind[at]
-            at &= at - 1
-        up, down = (COST + DRIFT) * xs[j] + (COST - DRIFT) * ys[j], (COST - DRIFT) * xs[j] + (COST + DRIFT) * ys[j]
+        while xs[behind] < xs[j] - reach:
+            del window[bisect.bisect_left(window, (ys[behind], behind))]
+            behind += 1
         got = 0.0
-        # both forms are lower bounds on the cost; take the real cost of the links they name
-        for i in (best[1], other[1]):
-            if i >= 0 and ys[i] < ys[j]:
-                dx, dy = xs[j] - xs[i], ys[j] - ys[i]
-                if 0 < dx <= gap + k and dy <= gap + k and (v := value[i] - COST * (dx + dy) - DRIFT * abs(dx - dy)) > got:
-                    got, prior[j] = v, i
+        for at in range(bisect.bisect_left(window, (ys[j] - reach, -1)), bisect.bisect_left(window, (ys[j], -1))):
+            i = window[at][1]
+            dx, dy = xs[j] - xs[i], ys[j] - ys[i]
+            if dx > 0 and (v := value[i] - COST * (dx + dy) - DRIFT * abs(dx - dy)) > got:
+                got, prior[j] = v, i
         value[j] = k + got
-        at, mine, his = rs[j], (value[j] + up, j), (value[j] + down, j)
-        while at <= n:
-            if mine > ahead[at]:
-                ahead[at] = mine
-            if his > behind[at]:
-                behind[at] = his
-            at += at & -at
+        bisect.insort(window, (ys[j], j))
     used, out = [False] * n, []
     for j in sorted(range(n), key=lambda i: (-value[i], i)):
         chain: list[int] = []
@@ -121,8 +111,22 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = GRAM, gap: int = GAP) -> list[
     return out
 
 
+def spans(chains_: list[np.ndarray], k: int = GRAM) -> list[dict]:
+    """The words around chains, {at, to}, in order and apart: each up to BEYOND words past the ends of the chains in it."""
+    out: list[dict] = []
+    for at, to in sorted((max(0, int(c[0]) - BEYOND), int(c[-1]) + k + BEYOND) for c in chains_):
+        if out and at <= out[-1]["to"]:
+            out[-1]["to"] = max(out[-1]["to"], to)
+        else:
+            out.append({"at": at, "to": to})
+    return out
+
+
 def candidates(links: DataFrame, k: int = GRAM) -> DataFrame:
-    """(doc, ref, xs, ys): the chains of each pair, from rows (doc, ref, pos, ref_pos)."""
+    """(doc, ref, xs, ys, around, ref_around): the chains of each pair and the words around them, from rows (doc, ref, pos, ref_pos)."""
+    span = "array<struct<at: int, to: int>>"
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("to", pa.int32())]))
+    many = pa.list_(pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -132,7 +136,8 @@ def candidates(links: DataFrame, k: int = GRAM) -> DataFrame:
             new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])  # a seed and its pair often link the same places
             x, y = x[new], y[new]
             found = chains(x, y, k)
-            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(found), pa.int64()), pa.array([now[1]] * len(found), pa.int64()), pa.array([x[c] for c in found], pa.list_(pa.int32())), pa.array([y[c] for c in found], pa.list_(pa.int32()))], names=["doc", "ref", "xs", "ys"])
+            px, py = [x[c] for c in found], [y[c] for c in found]
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int64()), pa.array([px], many), pa.array([py], many), pa.array([spans(px, k)], kind), pa.array([spans(py, k)], kind)], names=["doc", "ref", "xs", "ys", "around", "ref_around"])
 
         for b in batches:
             doc, ref, x, y = (b.column(i).to_numpy() for i in range(4))
@@ -147,7 +152,7 @@ def candidates(links: DataFrame, k: int = GRAM) -> DataFrame:
             yield close()
 
     n = common.partitions(links.sparkSession)
-    return links.repartition(n, "doc", "ref").sortWithinPartitions("doc", "ref", "pos", "ref_pos").mapInArrow(run, "doc long, ref long, xs array<int>, ys array<int>")
+    return links.repartition(n, "doc", "ref").sortWithinPartitions("doc", "ref", "pos", "ref_pos").mapInArrow(run, f"doc long, ref long, xs array<array<int>>, ys array<array<int>>, around {span}, ref_around {span}")
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
@@ -244,7 +249,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per repeated passage; see the module's text."""
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
     found = seeds(docs)
-    shared = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("least"), F.max("doc").alias("most")).filter("least.doc <> most").select("h", F.col("least.doc").alias("ref"), F.col("least.pos").alias("ref_pos"))
+    shared = found.filter("first").groupBy("h").agg(F.min("doc").alias("ref"), F.max("doc").alias("most"), F.min_by("pos", "doc").alias("ref_pos")).filter("ref <> most").select("h", "ref", "ref_pos")
+    shared = common.checkpoint(shared)  # so that the join's sides are plain exchanges, of which Spark splits a seed's many places
     links = found.join(shared, "h").filter("doc <> ref").select("doc", "ref", "pos", "ref_pos")
     cand = common.checkpoint(candidates(links).withColumn("c", F.monotonically_increasing_id()))
 
@@ -256,12 +262,14 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 h = (h >> np.uint64(48)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([b.column(0)[s:e], pa.array([h[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc", "words"])
 
-    def asked(side: int, doc: str, places: str) -> DataFrame:
-        return cand.select(F.col(doc).alias("doc"), "c", F.lit(side).alias("side"), F.greatest(F.lit(0), F.element_at(places, 1) - BEYOND).alias("at"), (F.element_at(places, -1) + GRAM + BEYOND).alias("to"))
-
-    asks = asked(0, "doc", "xs").unionByName(asked(1, "ref", "ys"))
+    asks = cand.select("doc", "c", F.lit(0).alias("side"), "around").unionByName(cand.select(F.col("ref").alias("doc"), "c", F.lit(1).alias("side"), F.col("ref_around").alias("around")))
     text = docs.mapInArrow(words, "doc long, words binary")
-    slices = asks.join(text, "doc").select("c", "side", "at", F.expr("substring(words, 2 * at + 1, 2 * (to - at))").alias("words"))
+    slices = asks.join(text, "doc").select("c", "side", "around", F.expr("transform(around, i -> substring(words, 2 * i.at + 1, 2 * (i.to - i.at)))").alias("words"))
+
+    def place(around: list[dict], raw: list[bytes], chain: np.ndarray) -> tuple[int, np.ndarray]:
+        """The place and the words of the slice that a chain lies in."""
+        i = bisect.bisect_right([s["at"] for s in around], int(chain[0])) - 1
+        return around[i]["at"], np.frombuffer(raw[i], np.uint16)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
@@ -269,27 +277,34 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
             rows = []
-            for c, side, at, raw, doc, ref, xs, ys in zip(*cols, strict=True):
+            for c, side, around, raw, doc, ref, xs, ys in zip(*cols, strict=True):
                 if c != now:
                     held, now = {}, c
                 if side == 2:
-                    held[2] = (doc, ref, np.array(xs), np.array(ys))
+                    held[2] = (doc, ref, xs, ys)
                     continue
-                held.setdefault(side, (at, np.frombuffer(raw, np.uint16)))
+                held.setdefault(side, (around, raw))
                 if 0 in held and 1 in held and 2 in held and side == 1:
-                    (x_at, u), (y_at, v), (d, r, px, py) = held[0], held[1], held[2]
-                    mx, my = aligned(u, v, px - x_at, py - y_at)
-                    for i, j in stretches(mx, my, least, like):
-                        x0, x1, y0, y1, m = int(mx[i]), int(mx[j]) + 1, int(my[i]), int(my[j]) + 1, j - i + 1
-                        rows.append((d, r, x0 + x_at, x1 + x_at, y0 + y_at, y1 + y_at, m, m / max(x1 - x0, y1 - y0)))
+                    (d, r, xs, ys), mine = held[2], []
+                    for px, py in zip(map(np.array, xs), map(np.array, ys), strict=True):
+                        (x_at, u), (y_at, v) = place(*held[0], px), place(*held[1], py)
+                        mx, my = aligned(u, v, px - x_at, py - y_at)
+                        for i, j in stretches(mx, my, least, like):
+                            x0, x1, y0, y1, m = int(mx[i]), int(mx[j]) + 1, int(my[i]), int(my[j]) + 1, j - i + 1
+                            mine.append((d, r, x0 + x_at, x1 + x_at, y0 + y_at, y1 + y_at, m, m / max(x1 - x0, y1 - y0)))
+                    done = -1
+                    for row in sorted(mine, key=lambda g: (g[2], -g[3], -g[6], g)):
+                        if row[3] > done:
+                            rows.append(row)
+                            done = row[3]
                     held = {}
             if rows:
                 got = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(got[i], pa.int64()) for i in range(7)), pa.array(got[7], pa.float64())], names=[id_col, "ref_doc_id", "start_word", "end_word", "ref_start_word", "ref_end_word", "n_matched", "identity"])
 
-    empty = [F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("ref"), F.lit(None).cast("array<int>").alias("xs"), F.lit(None).cast("array<int>").alias("ys")]
-    heads = cand.select("c", F.lit(2).alias("side"), F.lit(0).alias("at"), F.lit(None).cast("binary").alias("words"), "doc", "ref", "xs", "ys")
-    parts = slices.select("c", "side", "at", "words", *empty).unionByName(heads)
+    empty = [F.lit(None).cast(cand.schema[c].dataType).alias(c) for c in ("doc", "ref", "xs", "ys")]
+    heads = cand.select("c", F.lit(2).alias("side"), F.lit(None).cast(cand.schema["around"].dataType).alias("around"), F.lit(None).cast("array<binary>").alias("words"), "doc", "ref", "xs", "ys")
+    parts = slices.select("c", "side", "around", "words", *empty).unionByName(heads)
     n = common.partitions(df.sparkSession)
     out = f"{id_col} long, ref_doc_id long, start_word long, end_word long, ref_start_word long, ref_end_word long, n_matched long, identity double"
     return parts.repartition(n, "c").sortWithinPartitions("c", F.expr("case side when 2 then -1 else side end")).mapInArrow(align, out).distinct()

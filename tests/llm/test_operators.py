@@ -323,6 +323,25 @@ def test_chains():
     assert passages.chains(x, y)[0] == [0, 1, 3, 4]
 
 
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=40, unique=True))
+@settings(max_examples=100, deadline=None)
+def test_chains_against_all_pairs(links):
+    x, y = np.array(sorted(links)).T
+    value = []
+    for j in range(len(x)):
+        near = [i for i in range(j) if 0 < x[j] - x[i] <= 18 and 0 < y[j] - y[i] <= 18]
+        value.append(8 + max([0.0, *(value[i] - passages.COST * (x[j] - x[i] + y[j] - y[i]) - passages.DRIFT * abs(x[j] - x[i] - y[j] + y[i]) for i in near)]))
+    best = passages.chains(x, y, 8, 10)[0]
+    steps = sum(passages.COST * (x[j] - x[i] + y[j] - y[i]) + passages.DRIFT * abs(x[j] - x[i] - y[j] + y[i]) for i, j in zip(best, best[1:], strict=False))
+    assert 8 * len(best) - steps == pytest.approx(max(value))
+
+
+def test_a_long_chain_hides_no_later_one():
+    x = np.concatenate([np.arange(0, 240, 8), [300, 310, 331, 341]])
+    y = np.concatenate([np.arange(0, 240, 8), [300, 310, 332, 342]])
+    assert [30, 31, 32, 33] in passages.chains(x, y)
+
+
 def test_op10(docs, edges, nothing):
     rows = docs.collect()
     count = collections.Counter()
