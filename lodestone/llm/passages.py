@@ -13,7 +13,7 @@ passages with other words between them gives a row for each of them.
 Result: one row per passage of a document that a document of smaller doc_id has too: doc_id, ref_doc_id, places in words
 (ends exclusive), matched words, identity. Membership of a passage is by its ref; two documents with a passage of a third
 link through it. Of a pair's rows, one inside another in the document is that passage again, as in texts of one line many times
-over, and left out; copies at other places of the document have rows of their own. Where parts of one passage have different smallest documents, each part is extended by alignment.
+over, and left out, and so are its overlapping places that others cover; copies at other places of the document have rows of their own. Where parts of one passage have different smallest documents, each part is extended by alignment.
 
 Defined results. Null texts and rows with a null id have no passages. Rows with equal doc_id are not compared with one
 another; repeats inside one document are not reported. Words are [^\\x20\\x09-\\x0D]+ with A-Z lowered. An empty table gives
@@ -245,6 +245,20 @@ def stretches(x: np.ndarray, y: np.ndarray, least: int = LEAST, like: float = LI
     return out
 
 
+def apart(rows: list[tuple]) -> list[tuple]:
+    """Rows (doc, ref, x0, x1, y0, y1, ...) of a pair without those inside another in the document, and without those overlapping places
+    of one ref passage, as in text of one line many times over, that the others of it cover."""
+    done, places = -1, {}
+    for row in sorted(rows, key=lambda g: (g[2], -g[3], -g[6], g)):
+        if row[3] > done:
+            done = row[3]
+            mine = places.setdefault(row[4:6], [])
+            while len(mine) > 1 and row[2] <= mine[-2][3]:
+                mine.pop()
+            mine.append(row)
+    return [row for mine in places.values() for row in mine]
+
+
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, like: float = LIKE) -> DataFrame:
     """One row per repeated passage; see the module's text."""
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
@@ -292,11 +306,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         for i, j in stretches(mx, my, least, like):
                             x0, x1, y0, y1, m = int(mx[i]), int(mx[j]) + 1, int(my[i]), int(my[j]) + 1, j - i + 1
                             mine.append((d, r, x0 + x_at, x1 + x_at, y0 + y_at, y1 + y_at, m, m / max(x1 - x0, y1 - y0)))
-                    done = -1
-                    for row in sorted(mine, key=lambda g: (g[2], -g[3], -g[6], g)):
-                        if row[3] > done:
-                            rows.append(row)
-                            done = row[3]
+                    rows += apart(mine)
                     held = {}
             if rows:
                 got = list(zip(*rows, strict=True))

@@ -318,6 +318,13 @@ def test_stretches(steps):
     assert all(good(p, q) for p, q in got) and {i for p, q in got for i in range(p, q + 1)} == want
 
 
+def test_rows_of_repeated_lines():
+    places = [(2, 1, i, i + 50, 0, 50, 50, 1.0) for i in range(0, 201, 2)]
+    copies = [(2, 1, 300, 350, 0, 50, 50, 1.0), (2, 1, 310, 340, 90, 120, 30, 1.0)]
+    got = passages.apart(places + copies)
+    assert {i for r in got for i in range(r[2], r[3])} == {*range(250), *range(300, 350)} and copies[0] in got and len(got) == 6
+
+
 def test_chains():
     x, y = np.arange(0, 50, 10), np.array([3, 13, 200, 33, 43])
     assert passages.chains(x, y)[0] == [0, 1, 3, 4]
