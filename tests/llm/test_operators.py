@@ -142,11 +142,28 @@ def test_bpe_stream(tokenizer):
             out += encoder.feed(s[i : i + 5].encode())
             most = max(most, len(encoder.text))
         assert out + encoder.finish() == theirs.encode(s, add_special_tokens=False).ids
-        assert most <= ours.v.lookahead()
+        assert most <= ours.v.lookahead() + ours.v.longest + encoder.window
+    parts = ["<|endoftext|>", "a b", " \n \n c", "x" * 900, "\t\r\n d  e", "é" * 400, "word, " * 50, "don't stop.\u3000now", "<|endoftext|", " ", "\n"]
+    mixed = ["".join(rng.choice(parts, 8)) for _ in range(40)]
+    assert [np.frombuffer(ours.encode(s), "<u4").tolist() for s in mixed] == [e.ids for e in theirs.encode_batch(mixed, add_special_tokens=False)]
     ids = [int(i) for i in rng.integers(0, 50257, 500)]
     assert "".join(ours.decode(ids)) == theirs.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_segments_and_cache(tokenizer, monkeypatch):
+    """Texts cut into many segments, stretches without a place to cut, and a cache that forgets: the ids stay the same."""
+    _, theirs = tokenizer
+    for name, value in (("SEGMENT", 40), ("LANES", 64), ("LANE", 12), ("WORD", 9)):
+        monkeypatch.setattr(bpe, name, value)
+    ours, rng = bpe.Tokenizer(bpe.read_definition(queries.vocabulary_path()), cache=5), np.random.default_rng(12)
+    parts = ["alpha ", "beta, ", "gamma\n", "  ", "x" * 100, "1234567890" * 9, "<|endoftext|>", "Ünïcode ", "\t", "a.b-c;" * 30, "extraordinarily "]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 60))) for _ in range(60)]
+    got = [b""] * len(texts)
+    for row, ids in ours.flow(texts):
+        got[row] += ids
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_op5(edges, nothing, tokenizer):
     for r in bpe.round_trip(edges, queries.vocabulary_path()).join(edges.select("doc_id", "text").distinct(), "doc_id").collect():
         ids = tokenizer[1].encode(r.text or "", add_special_tokens=False).ids
