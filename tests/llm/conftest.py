@@ -16,13 +16,16 @@ EDGES = [
     (7, "x" * 300_000, "en", "src1", 300_000),
     (8, "Ünïcode 😀 text", "de", None, 14),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, t string, spans string, bucket int, id long, h long"
+EXTRA = "fp long, t string, spans string, bucket int, id long, h long, score string, lang_pred int, __text string, __id string, __n int, copies string, row string, root int, component_id string, held_out string, k string, n string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + EXTRA
+
+VALUES = [1 if x.split()[1] in ("int", "long") else "x" for x in EXTRA.split(", ")]
 
 
 @pytest.fixture(scope="session")
 def edges(spark):
     """Nulls, empty, long, equal and repeated texts, with extra columns whose names operators use inside."""
-    return spark.createDataFrame([(*r, 1, "x", "y", 2, 3, 4) for r in EDGES], SCHEMA)
+    return spark.createDataFrame([(*r, *VALUES) for r in EDGES], SCHEMA)
 
 
 @pytest.fixture(scope="session")

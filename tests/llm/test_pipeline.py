@@ -41,6 +41,16 @@ def test_edges(spark, edges, nothing):
         assert now.count() <= start.count() * 2
 
 
+def test_documents_without_an_id(spark):
+    """Texts of their own stay, one of each group of copies, whether or not the others have an id."""
+    rows = [(None, "one two three four five"), (None, "six seven eight nine ten"), (None, "six seven eight nine ten"), (3, "alpha beta gamma delta"), (None, "alpha beta gamma delta"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t or ""), "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred int")
+    got = sorted(((r.doc_id, r.text or "") for r in cp.deduplicate(spark, docs, DATA).collect()), key=str)
+    assert got == sorted([(None, "one two three four five"), (None, "six seven eight nine ten"), (3, "alpha beta gamma delta"), (None, "")], key=str)
+    named = cp.identify(spark, docs, DATA)
+    assert named.columns == docs.columns and sorted(r.text for r in named.collect()) == sorted(t for _, t in rows if t)
+
+
 def test_repeated_ids(spark):
     """Of rows that share an id, the one in the kept group stays; one that is a copy of a smaller document goes."""
     a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight"
