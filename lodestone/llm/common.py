@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,15 +121,31 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """The table cut from its lineage in spark.checkpoint.dir; only where no folder is set, as in tests, in a folder of our own."""
+    """The table cut from its lineage in spark.checkpoint.dir. Where no folder is set, as in tests, a local session gets one of its own; a cluster has to say one."""
     spark = df.sparkSession
     ctx = spark.sparkContext
     if ctx.getCheckpointDir() is None:
-        where = ctx.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-checkpoint-")
-        ctx.setCheckpointDir(where)
+        where = ctx.getConf().get("spark.checkpoint.dir")
+        if not where and not re.fullmatch(r"local(\[.*\])?", ctx.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        ctx.setCheckpointDir(where or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def draw(*cols: str) -> Column:
+    """A 62-bit number of the values, to be held against threshold(); fine enough for any number of rows."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << 62))
+
+
+def threshold(share: float) -> int:
+    return min(1 << 62, round(share * (1 << 62)))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """The table as one column `row`, so that no name of its own can meet a name of an operator's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 #: Arrow batches of texts in bytes; Spark's default lets one grow to the whole of a usual partition, in the JVM and in Python
 BATCH_BYTES = "4m"
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -5,7 +5,7 @@ ranked by frequency. A language's profile is the ranking over its labelled texts
 text's TOP most frequent grams, how far each one's rank lies from its rank in the profile, TOP where the profile lacks it;
 the nearest language is predicted. score is 1 - distance / (TOP x grams).
 
-Profiles are fitted on a bounded sample: about SAMPLE labelled texts of each language, drawn by a hash of id and text.
+Profiles are fitted on a bounded sample: about SAMPLE labelled texts of each language, drawn by a 62-bit hash of id and text (equal rows are drawn together).
 
 Defined results. `und` with score 0 for a text that is null or has no letter, and for all texts when no labelled text has
 a letter. Ties between languages go to the first by name, ties between grams to the smaller hash. Repeated rows give
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestone.llm import common
@@ -86,8 +87,8 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
     share = {r.label: min(1.0, sample / r.n) for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not share:
         return {}
-    chance = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 24)))])[F.col("label")]
-    drawn = known.filter(F.pmod(F.xxhash64("id", F.length("t")), F.lit(1 << 24)) < chance)
+    least = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, common.threshold(v))])[F.col("label")]
+    drawn = known.filter(common.draw("id", "t") < least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -141,20 +142,18 @@ class Model:
 
 
 def predict(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", top: int = TOP) -> DataFrame:
-    """The table's columns with lang_pred and score added."""
-    src = df.withColumns({"__text": F.col(text_col).cast("string")})
+    """(row, lang_pred, score): each row of the table as one column, whatever the names in it, beside its prediction."""
+    src = common.packed(df).select("row", F.col(f"row.`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(profiles, top)
         for b in batches:
-            for s, e in common.string_chunks(common.filled(b.column(b.num_columns - 1)), 8 * common.CHUNK_BYTES):
+            for s, e in common.string_chunks(common.filled(b.column(1)), 8 * common.CHUNK_BYTES):
                 p = b.slice(s, e - s)
-                got = [model.predict(t.as_py()) for t in p.column(p.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*p.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*p.schema.names[:-1], "lang_pred", "score"])
+                got = [model.predict(t.as_py()) for t in p.column(1)]
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["row", "lang_pred", "score"])
 
-    from pyspark.sql import types as T
-
-    return common.in_arrow(src, run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return common.in_arrow(src, run, T.StructType([src.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -165,4 +164,4 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify(df: DataFrame) -> DataFrame:
     """op6: (doc_id, held_out, lang_pred, score); learns from rows that are not held out."""
     profiles = fit(df, ~held_out())
-    return predict(df.select("doc_id", "text"), profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(df.select("doc_id", "text"), profiles).select(F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "lang_pred", "score")

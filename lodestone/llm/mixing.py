@@ -110,10 +110,11 @@ def mix(df: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, hundr
 def mixed(df: DataFrame, **options: object) -> DataFrame:
     """The documents of the mixture, with the columns of the table: each as often as the mixture takes it.
 
-    Rows are matched by doc_id; rows that share one are taken alike."""
-    taken = mix(df, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    some = df.join(taken.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return some.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*df.columns)
+    Rows are matched by doc_id, null ids with one another; rows that share one are taken alike."""
+    taken = mix(df, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    some = common.packed(df).join(taken, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")))
+    each = some.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return each.select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
 ORACLE = """

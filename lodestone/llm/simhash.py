@@ -148,11 +148,12 @@ def spanning(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_duplicates(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id, fp) for every row; component_id is the smallest id that links reach, itself included."""
+    """(id, fingerprint, component_id, fp, root) for every row; component_id is the smallest id that links reach, itself included, root the
+    smallest fp, which names the class also where no row of it has an id."""
     marked = common.checkpoint(fingerprints(df, id_col, text_col))
     least = marked.groupBy("fp").agg(F.min(id_col).alias("low"))
     roots = common.components(links(least.select("fp"), radius))
     classed = least.join(roots, least.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = common.checkpoint(classed.join(lowest, "root").select(F.col("fp").alias("fp2"), "component_id"))
-    return marked.join(by_fp, marked.fp == by_fp.fp2, "left").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    by_fp = common.checkpoint(classed.join(lowest, "root").select(F.col("fp").alias("fp2"), "component_id", "root"))
+    return marked.join(by_fp, marked.fp == by_fp.fp2, "left").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root")

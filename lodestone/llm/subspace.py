@@ -161,7 +161,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     plans: dict[int, Plan] = {}
     for dim, n in sorted(sizes.items()):
         share = min(1.0, SAMPLE / n)
-        some = distinct.filter(F.size("v") == dim).filter(F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(SAMPLE)
+        some = distinct.filter(F.size("v") == dim).filter(common.draw("uid") < common.threshold(share)).limit(SAMPLE)
         plans[dim] = Plan(dim, cosine, np.array([r.v for r in some.select("v").collect()], np.float64).reshape(-1, dim), n, chunk)
 
     def vectors(b: pa.RecordBatch, col: int) -> tuple[np.ndarray, np.ndarray]:
