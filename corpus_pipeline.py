@@ -15,43 +15,67 @@ from lodestone.llm import bpe, common, language, mixing, pii, queries, simhash
 BUDGET = 100
 
 
+def columns(df: DataFrame, row: str, names: list[str]) -> DataFrame:
+    return df.select(*[F.col(row)[c].alias(c) for c in names])
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; lang is the predicted one where it was null. Learns from labelled documents."""
+    """Documents with a recognised language; lang is the predicted one where it was null. Learns from labelled documents.
+
+    Null, empty and letterless texts are rejected (all texts stay where no labelled text has a letter); a null id counts as not held out;
+    ties go to the first language by name; repeated rows stay repeated; an empty table gives none; other columns, of whatever name, pass unread."""
     profiles = language.fit(docs, ~language.held_out())
     named = language.predict(docs, profiles)
     kept = named.filter(F.col("lang_pred") != "und") if profiles else named
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    lang = F.coalesce(F.col("row")["lang"], F.col("lang_pred"))
+    return kept.select(*[lang.alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of smallest doc_id. Of rows that repeat that id, one that is in the group
-    stays, that of smallest fingerprint; among rows of equal id and fingerprint any one. Documents without an id leave."""
-    kept = F.col("doc_id") == F.col("component_id")
-    verdict = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("__n"), F.min(F.when(kept, F.col("fp"))).alias("__fp"))
-    verdict = common.checkpoint(verdict.filter("__fp is not null").withColumnRenamed("doc_id", "__id"))
-    once = docs.join(verdict.filter("__n = 1"), F.col("doc_id") == F.col("__id"), "left_semi").select(*docs.columns)
-    repeated = verdict.filter("__n > 1").select("__id", "__fp")
-    if repeated.isEmpty():
+    """One document of each group of near copies, that of smallest doc_id; a null id is larger than all others.
+
+    Of a group's rows that share the id, that of smallest fingerprint stays, and of equal fingerprints any one. Rows that share an id
+    but not a group are judged apart. Null and empty texts are copies of one another; texts are read whole; an empty table gives no rows; other
+    columns, of whatever name, pass unread."""
+    near = common.checkpoint(simhash.near_duplicates(docs).select("doc_id", "component_id", "fp", "root"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = near.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(kept).alias("kept"))
+    ids = common.checkpoint(ids)
+    rows = common.packed(docs)
+    once = columns(rows.join(ids.filter("n = 1 and kept").select(F.col("doc_id").alias("id")), F.col("row.doc_id") == F.col("id"), "left_semi"), "row", docs.columns)
+    many = ids.filter("n > 1").select(F.col("doc_id").alias("id"))
+    unclear = near.join(many, F.col("doc_id") == F.col("id"), "left_semi").unionByName(near.filter("doc_id is null"))
+    if unclear.isEmpty():
         return once
-    rows = docs.join(repeated.select("__id"), F.col("doc_id") == F.col("__id"), "left_semi")
-    packed = rows.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    marked = simhash.fingerprints(packed, keep=("doc_id", "row"))
-    same = marked.join(repeated, (F.col("doc_id") == F.col("__id")) & (F.col("fp") == F.col("__fp")), "left_semi")
-    return once.unionByName(same.dropDuplicates(["doc_id"]).select("row.*"))
+    # of each group, the kept row's id and fingerprint; then one row of those that have both
+    chosen = unclear.filter(kept).groupBy("root").agg(F.first("component_id").alias("id"), F.min("fp").alias("fp1"))
+    some = rows.join(many, F.col("row.doc_id") == F.col("id"), "left_semi").unionByName(rows.filter("row.doc_id is null"))
+    marked = simhash.fingerprints(some.select("row", F.col("row.text").alias("text")), keep=("row",))
+    same = marked.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("fp1")), "left_semi")
+    return once.unionByName(columns(same.withColumn("doc_id", F.col("row.doc_id")).dropDuplicates(["doc_id", "fp"]), "row", docs.columns))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind."""
+    """Personal data replaced by its kind; n_chars counts the new text.
+
+    Null and empty texts and texts without personal data stay as they are; every row stays, repeated ones and those without an id too; very long
+    texts are read whole, in time in proportion to them; an empty table gives none; other columns pass unread."""
     return pii.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the target weights of their sources."""
+    """Documents by the target weights of their sources, each as often as its leaf's budget says.
+
+    Null languages and sources are names of their own; null and wordless texts have no tokens and are taken in whole epochs; ties in
+    the order go by doc_id; rows that share an id (null ids share one) are taken alike; an empty table gives none; other columns pass unread."""
     return mixing.mixed(docs, hundredths=BUDGET)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids)."""
+    """(doc_id, lang, source, n_tokens, ids).
+
+    A null or empty text has no ids; repeated rows and rows without an id stay; texts are read whole; an empty table gives none; of other
+    columns none is kept."""
     return bpe.encode(docs, queries.vocabulary_path(), keep=("doc_id", "lang", "source"))
 
 
