@@ -4,10 +4,11 @@ Seeds: the winnowed k-word grams of each text (every run of WINDOW + GRAM - 1 wo
 together with the next one, which every exact run of LEAST words has. A seed or pair that occurs in several documents links
 each occurrence to the first in the smallest doc_id, so n occurrences make fewer than n links, not n squared. Pairs tell
 passages from their parts: where each seed of a passage occurs in some smaller document, those across two parts don't. Links of a document pair are chained: in order of place, the best chain that
-ends in a link is found among the links at most GAP words before it in both texts, each link worth its words, less a cost for the
-gap and for the drift between the two texts. Then the words of both texts around each chain are
-aligned: exactly between links, by edit distance where they differ, and along the diagonal beyond the ends until the score
-has dropped. Every stretch of that alignment of at least LEAST words a side and LIKE of words in common is kept, so a chain over
+ends in a link is found among the links at most GAP words before it in both texts, each link worth its words, less a cost for each word
+of gap in either text: a Fenwick tree over places in the second text, in which links stay for as long as they lie within the gap in the first,
+gives the largest of a range. Chains of one diagonal are joined where the words between them agree too (their seeds may have smaller
+documents). Then the words of both texts around each chain are aligned: exactly between links, by edit distance where they differ, and along the
+diagonal beyond the ends until the score has dropped, for BEYOND words at most: what lies further has links of its own, to this or a smaller document. Every stretch of that alignment of at least LEAST words a side and LIKE of words in common is kept, so a chain over
 passages with other words between them gives a row for each of them.
 
 Result: one row per passage of a document that a document of smaller doc_id has too: doc_id, ref_doc_id, places in words
@@ -22,7 +23,8 @@ no rows; texts are read whole; only the id and text columns are read."""
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from lodestone.llm import common
 from lodestone.llm.winnowing import sliding_min
 
 GRAM, WINDOW, LEAST, LIKE, GAP, BEYOND = 8, 16, 50, 0.8, 40, 96
-COST, DRIFT, DROP = 0.1, 0.5, 12.0
+COST, DROP = 0.1, 12.0
 
 
 def seeds_of(h: np.ndarray, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -76,29 +78,78 @@ def seeds(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     return docs.mapInArrow(run, "h long, doc long, pos int, first boolean")
 
 
+class Fenwick:
+    """The place of the largest value in any range of places, where values may also fall."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.value, self.best = n, [-1.0] * n, list(range(-1, n))  # best[p]: of the p & -p places up to p - 1
+
+    def put(self, at: int, value: float) -> None:
+        v, best, down = self.value, self.best, value < self.value[at]
+        v[at] = value
+        p = at + 1
+        while p <= self.n:
+            if down:
+                top, q, stop = p - 1, p - 1, p - (p & -p)
+                while q > stop:
+                    if v[best[q]] > v[top]:
+                        top = best[q]
+                    q -= q & -q
+                best[p] = top
+            elif value >= v[best[p]]:
+                best[p] = at
+            p += p & -p
+
+    def largest(self, low: int, end: int) -> int:
+        """Of low <= place < end; -1 if the range is empty."""
+        v, best, top, p = self.value, self.best, -1, end
+        while p > low:
+            if p - (p & -p) >= low:
+                at, p = best[p], p - (p & -p)
+            else:
+                p -= 1
+                at = p
+            if top < 0 or v[at] > v[top]:
+                top = at
+        return top
+
+
 def chains(x: np.ndarray, y: np.ndarray, k: int = GRAM, gap: int = GAP) -> list[list[int]]:
-    """Index lists of collinear chains of the links (x ascending), best first, cut at wide gaps. Each link is in one chain at most.
+    """Index lists of collinear chains of the links (x, then y ascending), best first. Each link is in one chain at most.
 
-    A chain's value is k a link, less COST a word of gap in either text and DRIFT a word by which the gaps differ. Only links within
-    the gap can come before another: a window over x holds them in order of y, and all of its links within the gap in y are tried,
-    so the best of them is found however much a chain further back is worth. The window's size doesn't depend on the texts' length."""
+    A chain's value is k a link, less COST a word of gap in either text. Only links within the gap can come before another: the
+    tree holds those within it in x, and is asked for the range within it in y, so the best of them is found however much a
+    chain further back is worth."""
     n, reach = len(x), gap + k
     value, prior = [0.0] * n, [-1] * n
     xs, ys = x.tolist(), y.tolist()
-    window: list[tuple[int, int]] = []  # (y, link), ascending
-    behind = 0
+    places = np.unique(y)
+    rank, low = np.searchsorted(places, y).tolist(), np.searchsorted(places, y - reach).tolist()
+    tree = Fenwick(len(places))
+    held: list[deque[int]] = [deque() for _ in range(len(places))]  # links of a place, each worth more than those after it
+    worth = [0.0] * n  # a link's value, and the cost of all words up to it, which a later link takes off again
+    behind = entered = 0
     for j in range(n):
+        while xs[entered] < xs[j]:
+            mine = held[rank[entered]]
+            while mine and worth[mine[-1]] <= worth[entered]:
+                mine.pop()
+            mine.append(entered)
+            if len(mine) == 1:
+                tree.put(rank[entered], worth[entered])
+            entered += 1
         while xs[behind] < xs[j] - reach:
-            del window[bisect.bisect_left(window, (ys[behind], behind))]
+            mine = held[rank[behind]]
+            if mine and mine[0] == behind:
+                mine.popleft()
+                tree.put(rank[behind], worth[mine[0]] if mine else -1.0)
             behind += 1
-        got = 0.0
-        for at in range(bisect.bisect_left(window, (ys[j] - reach, -1)), bisect.bisect_left(window, (ys[j], -1))):
-            i = window[at][1]
-            dx, dy = xs[j] - xs[i], ys[j] - ys[i]
-            if dx > 0 and (v := value[i] - COST * (dx + dy) - DRIFT * abs(dx - dy)) > got:
-                got, prior[j] = v, i
-        value[j] = k + got
-        bisect.insort(window, (ys[j], j))
+        at = tree.largest(low[j], rank[j])
+        got = tree.value[at] - COST * (xs[j] + ys[j]) if at >= 0 and held[at] else 0.0
+        if got > 0:
+            prior[j] = held[at][0]
+        value[j] = k + max(got, 0.0)
+        worth[j] = value[j] + COST * (xs[j] + ys[j])
     used, out = [False] * n, []
     for j in sorted(range(n), key=lambda i: (-value[i], i)):
         chain: list[int] = []
@@ -111,10 +162,23 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = GRAM, gap: int = GAP) -> list[
     return out
 
 
-def spans(chains_: list[np.ndarray], k: int = GRAM) -> list[dict]:
-    """The words around chains, {at, to}, in order and apart: each up to BEYOND words past the ends of the chains in it."""
+def bridges(px: list[np.ndarray], py: list[np.ndarray], k: int = GRAM) -> list[tuple[int, int]]:
+    """(chain, next chain) that begins where the first one's diagonal goes on."""
+    out: list[tuple[int, int]] = []
+    open_: dict[int, int] = {}  # of each diagonal, the last chain that ended on it
+    for c in sorted(range(len(px)), key=lambda c: (int(px[c][0]), int(py[c][0]))):
+        before = open_.get(int(py[c][0] - px[c][0]))
+        if before is not None and px[before][-1] + k <= px[c][0]:
+            out.append((before, c))
+        open_[int(py[c][-1] - px[c][-1])] = c
+    return out
+
+
+def spans(chains_: list[np.ndarray], between: list[tuple[int, int]], k: int = GRAM) -> list[dict]:
+    """The words around chains, {at, to}, in order and apart: each up to BEYOND words past the ends of the chains in it, and those between bridged chains."""
     out: list[dict] = []
-    for at, to in sorted((max(0, int(c[0]) - BEYOND), int(c[-1]) + k + BEYOND) for c in chains_):
+    places = [(max(0, int(c[0]) - BEYOND), int(c[-1]) + k + BEYOND) for c in chains_] + [(int(chains_[c][-1]), int(chains_[d][0])) for c, d in between]
+    for at, to in sorted(places):
         if out and at <= out[-1]["to"]:
             out[-1]["to"] = max(out[-1]["to"], to)
         else:
@@ -122,6 +186,23 @@ def spans(chains_: list[np.ndarray], k: int = GRAM) -> list[dict]:
     return out
 
 
+def joined(px: list[np.ndarray], py: list[np.ndarray], same: Callable[[int, int, int, int], np.ndarray], k: int = GRAM) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The chains, with bridged ones joined where the words between them agree; same(x0, x1, y0, y1) compares words pair by pair."""
+    after = dict(bridges(px, py, k))
+    whole = {c: ([px[c]], [py[c]]) for c in range(len(px))}
+    head = list(range(len(px)))
+    for c in sorted(after, key=lambda c: int(px[c][0])):
+        d = after[c]
+        equal = same(int(px[c][-1]) + k, int(px[d][0]), int(py[c][-1]) + k, int(py[d][0]))
+        score = np.cumsum(np.where(equal, 1.0, -2.0))
+        if not len(score) or (np.maximum.accumulate(np.maximum(score, 0)) - score).max() <= DROP:
+            x, y = whole.pop(d)
+            whole[head[c]][0].extend(x)
+            whole[head[c]][1].extend(y)
+            head[d] = head[c]
+    return [(np.concatenate(x), np.concatenate(y)) for x, y in whole.values()]
+
+
 def candidates(links: DataFrame, k: int = GRAM) -> DataFrame:
     """(doc, ref, xs, ys, around, ref_around): the chains of each pair and the words around them, from rows (doc, ref, pos, ref_pos)."""
     span = "array<struct<at: int, to: int>>"
@@ -137,7 +218,8 @@ def candidates(links: DataFrame, k: int = GRAM) -> DataFrame:
             x, y = x[new], y[new]
             found = chains(x, y, k)
             px, py = [x[c] for c in found], [y[c] for c in found]
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int64()), pa.array([px], many), pa.array([py], many), pa.array([spans(px, k)], kind), pa.array([spans(py, k)], kind)], names=["doc", "ref", "xs", "ys", "around", "ref_around"])
+            over = bridges(px, py, k)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int64()), pa.array([px], many), pa.array([py], many), pa.array([spans(px, over, k)], kind), pa.array([spans(py, over, k)], kind)], names=["doc", "ref", "xs", "ys", "around", "ref_around"])
 
         for b in batches:
             doc, ref, x, y = (b.column(i).to_numpy() for i in range(4))
@@ -205,7 +287,10 @@ def aligned(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, k: int
     back = extended(a[:x][::-1], b[:y][::-1])[::-1]
     px, py = [x - 1 - back], [y - 1 - back]
     for i, j in zip([*xs[1:].tolist(), int(xs[-1]) + k], [*ys[1:].tolist(), int(ys[-1]) + k], strict=True):
-        u, v = common_words(a[x:i], b[y:j])
+        if i - x == j - y > GAP + k:  # joined along a diagonal
+            u = v = np.flatnonzero(a[x:i] == b[y:j])
+        else:
+            u, v = common_words(a[x:i], b[y:j])
         px.append(np.array(u, np.int64) + x)
         py.append(np.array(v, np.int64) + y)
         x, y = i, j
@@ -300,7 +385,12 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 held.setdefault(side, (around, raw))
                 if 0 in held and 1 in held and 2 in held and side == 1:
                     (d, r, xs, ys), mine = held[2], []
-                    for px, py in zip(map(np.array, xs), map(np.array, ys), strict=True):
+
+                    def same(x0: int, x1: int, y0: int, y1: int) -> np.ndarray:
+                        (x_at, u), (y_at, v) = place(*held[0], [x0]), place(*held[1], [y0])  # noqa: B023
+                        return u[x0 - x_at : x1 - x_at] == v[y0 - y_at : y1 - y_at]
+
+                    for px, py in joined(list(map(np.array, xs)), list(map(np.array, ys)), same):
                         (x_at, u), (y_at, v) = place(*held[0], px), place(*held[1], py)
                         mx, my = aligned(u, v, px - x_at, py - y_at)
                         for i, j in stretches(mx, my, least, like):
