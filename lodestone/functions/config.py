@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,6 +131,13 @@ def worker(argv0: str) -> int:
     return int(m[1]) - 1
 
 
+def command_line(argv: list[str], base: Config | None = None) -> tuple[int, Config]:
+    """The worker number and the configuration of `w<N> test_path train_path`; paths given override those of the configuration."""
+    c = base or Config()
+    given = {name: path for name, path in zip(("test_data", "train_data"), argv[1:3], strict=False)}
+    return worker(argv[0]), replace(c, **given)
+
+
 def ranges(size: int, workers: int, div: int) -> list[tuple[int, int]]:
     """Contiguous equal ranges of an array, the last one with what is left; blocks are multiples of div."""
     block = math.ceil(math.ceil(size / div) / workers) * div
@@ -139,6 +146,3 @@ def ranges(size: int, workers: int, div: int) -> list[tuple[int, int]]:
         raise ValueError("a worker would have no elements")
     return out
 
-
-def names() -> list[str]:
-    return [f.name for f in fields(Config)]

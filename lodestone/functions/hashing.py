@@ -6,12 +6,10 @@ from an integer formula, so every engine makes the same ones."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 SEED, SLOTS, PROBES, TOP = 33111, 8, 100, 30
@@ -66,23 +64,24 @@ def probes(spark: SparkSession, hashes: int, attempts: int = PROBES, factor: int
 
 
 def densified(signature: DataFrame, hashes: int, ids: DataFrame | None = None) -> DataFrame:
-    """(id, bin, h) for all bins: an empty one takes the hash of the first filled bin of its probe sequence, 0 if there is none."""
+    """(id, bin, h) for all bins: an empty one takes the hash of the first filled bin of its probe sequence, 0 if there is none.
+
+    An id's filled bins are gathered once (`hashes` at most, a setting); each bin takes the one it meets first, itself before all."""
     spark = signature.sparkSession
-    ids = signature.select("id").distinct() if ids is None else ids
-    full = ids.crossJoin(F.broadcast(spark.range(hashes).withColumnRenamed("id", "bin")))  # `hashes` rows, a setting
-    empty = full.join(signature, ["id", "bin"], "left_anti")
-    borrowed = (
-        empty.join(F.broadcast(probes(spark, hashes).groupBy("bin", "target").agg(F.min("attempt").alias("attempt"))), "bin")  # at most hashes * PROBES rows, a setting; a target's first attempt is the one that counts
-        .join(signature.select("id", F.col("bin").alias("target"), "h"), ["id", "target"])
-        .groupBy("id", "bin").agg(F.min_by("h", "attempt").alias("h"))
-    )
-    return full.join(signature.unionByName(borrowed), ["id", "bin"], "left").select("id", "bin", F.coalesce("h", F.lit(0)).cast("long").alias("h"))
-
-
-def minhash_bins(f: Column, hashes: int, range_pow: int, seed: int = SEED) -> Column:
-    """The bin of a feature: its mixed value in 2**range_pow, cut into `hashes` equal runs."""
+    bins = spark.range(hashes)
+    met = probes(spark, hashes).groupBy("bin", "target").agg(F.min("attempt").alias("attempt")).unionByName(bins.select(F.col("id").alias("bin"), F.col("id").alias("target"), F.lit(0).cast("long").alias("attempt")))
+    cells = bins.select(F.col("id").alias("bin")).crossJoin(bins.select(F.col("id").alias("target"))).join(met.groupBy("bin", "target").agg(F.min("attempt").alias("attempt")), ["bin", "target"], "left")
+    one = cells.agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "target", "attempt"))), lambda x: x["attempt"]).alias("first"))  # one row of hashes squared numbers, a setting
+    own = signature.groupBy("id").agg(F.collect_list(F.struct("bin", "h")).alias("own"))
+    own = own if ids is None else ids.select("id").join(own, "id", "left")
+    pick = f"transform(sequence(0L, {hashes - 1}L), b -> named_struct('bin', b, 'h', coalesce(array_min(filter(transform(own, x -> named_struct('a', first[cast(b * {hashes} + x.bin as int)], 'h', x.h)), x -> x.a is not null)).h, 0)))"
+    return own.crossJoin(F.broadcast(one)).select("id", F.explode(F.expr(pick)).alias("x")).select("id", "x.bin", F.col("x.h").cast("long").alias("h"))
+
+
+def minhash_bins(f: Column, hashes: int, range_pow: int) -> Column:
+    """The bin of a feature: its Murmur3 (of 8 bytes, seed 42) in 2**range_pow, cut into `hashes` equal runs."""
     size = 1 << range_pow
-    return F.floor((order(f, F.lit(0), seed) % size) / math.ceil(size / hashes))
+    return F.floor(F.hash(f.cast("long")).cast("long").bitwiseAND(F.lit(size - 1)) / math.ceil(size / hashes))
 
 
 def minhash(vectors: DataFrame, hashes: int, range_pow: int, top: int | None = TOP) -> DataFrame:
@@ -158,15 +157,51 @@ def murmur3(data: bytes, seed: int) -> int:
     return h ^ (h >> 16)
 
 
-def murmur3_column(value: Column, seed: int) -> Column:
-    """Murmur3 of a binary column with any seed, as a bigint."""
-
-    @pandas_udf("long")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda b: None if b is None else murmur3(b, seed))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that it uses more than once."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
-    return run(value)
 
-
-REGISTRY = {"dwta": dwta, "wta": wta, "minhash": minhash, "srp": srp}
+def murmur3_column(value: Column, seed: int) -> Column:
+    """Murmur3 of a binary column with any seed, as a bigint: column arithmetic over groups of four bytes, products taken in halves so
+    that none leaves 64 bits. Null stays null."""
+    mask = F.lit(0xFFFFFFFF)
+
+    def times(a: Column, b: int) -> Column:
+        low, high = a.bitwiseAND(F.lit(0xFFFF)) * F.lit(b), F.shiftright(a, 16) * F.lit(b)
+        return (low + F.shiftleft(high.bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(mask)
+
+    def turned(a: Column, by: int) -> Column:
+        return F.shiftleft(a, by).bitwiseOR(F.shiftright(a, 32 - by)).bitwiseAND(mask)
+
+    def scrambled(w: Column) -> Column:
+        return _let(times(w, 0xCC9E2D51), lambda k: times(turned(k, 15), 0x1B873593))
+
+    def step(h: Column, w: Column) -> Column:
+        return _let(h.bitwiseXOR(scrambled(w)), lambda x: (turned(x, 13) * F.lit(5) + F.lit(0xE6546B64)).bitwiseAND(mask))
+
+    n = F.octet_length(value).cast("int")
+    whole, groups = F.floor(n / 4).cast("int"), F.ceil(n / 4).cast("int")
+    padded = F.rpad(F.hex(value), F.greatest(groups * 8, F.lit(1)), F.lit("0"))
+
+    def word(i: Column) -> Column:
+        return F.conv(F.concat(*[padded.substr(i * 8 + F.lit(1 + 2 * b), F.lit(2)) for b in (3, 2, 1, 0)]), 16, 10).cast("long")
+
+    words = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(groups, F.lit(1)) - 1), word)).otherwise(F.array().cast("array<bigint>"))
+    body = F.aggregate(F.slice(words, F.lit(1), whole), F.lit(seed & 0xFFFFFFFF).cast("long"), step)
+    tailed = _let(body, lambda h: F.when(groups > whole, h.bitwiseXOR(scrambled(F.get(words, whole)))).otherwise(h).bitwiseXOR(n.cast("long")))
+    for by, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        tailed = _let(_let(tailed, lambda h, by=by: h.bitwiseXOR(F.shiftright(h, by))), lambda h, factor=factor: times(h, factor))
+    return F.when(value.isNotNull(), _let(tailed, lambda h: h.bitwiseXOR(F.shiftright(h, 16))))
+
+
+def addresses(family: str, rows: DataFrame, ids: DataFrame, dim: int, k: int, l: int, range_pow: int, bits: int = 2) -> DataFrame:  # noqa: E741
+    """(id, tbl, bucket) of vectors (id, f, v) of a layer with `dim` inputs, by the family's name; ids lists all of them, those without a feature too."""
+    spark, hashes = rows.sparkSession, k * l
+    if family == "srp":
+        return address_srp(srp(rows, srp_layout(spark, dim, hashes), ids, hashes), k, l)
+    if family == "minhash":
+        return address_minhash(densified(minhash(rows, hashes, range_pow), hashes, ids), k, l, range_pow)
+    # of WTA the digit is the winner within its bin: a feature's number would not fit one
+    found = dwta(rows, layout(spark, dim, hashes)) if family == "dwta" else wta(rows, layout(spark, dim, hashes)).withColumn("h", F.col("h") % SLOTS)
+    return address_wta(densified(found, hashes, ids), k, l, bits)

@@ -12,17 +12,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BETA1, BETA2, EPS, NORM = 0.9, 0.999, 1e-8, 1e-7
+PACKED = 256 << 20
 
 
-def preactivation(x: DataFrame, w: DataFrame, b: DataFrame, active: DataFrame | None = None) -> DataFrame:
+def dots(x: DataFrame, w: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """(record_id, node, z): dot products of activations and weights that carry the bias as a feature of value 1."""
+    met = x.join(w, "f") if active is None else active.join(x, "record_id").join(w, ["node", "f"])
+    return met.groupBy("record_id", "node").agg(F.sum(F.col("w") * F.col("v")).alias("z"))
+
+
+def preactivation(x: DataFrame, w: DataFrame, b: DataFrame, active: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
     """(record_id, node, z): dot products with the weights plus the bias, of the active nodes or of all.
 
-    A record without a common feature has the bias alone when its active nodes are given."""
+    A record without a common feature has the bias alone when its active nodes, or the records, are given; else it is not known here."""
+    if active is None and records is not None:
+        one = records.select("record_id", F.lit(-1).cast("long").alias("f"), F.lit(1.0).alias("v"))
+        return dots(x.select("record_id", "f", "v").unionByName(one), w.select("node", "f", "w").unionByName(b.select("node", F.lit(-1).cast("long").alias("f"), F.col("b").alias("w"))))
     if active is None:
-        dots = x.join(w, "f").groupBy("record_id", "node").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
-        return dots.join(b, "node").select("record_id", "node", (F.col("s") + F.col("b")).alias("z"))
-    dots = active.join(x, "record_id").join(w, ["node", "f"]).groupBy("record_id", "node").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
-    return active.join(dots, ["record_id", "node"], "left").join(b, "node").select("record_id", "node", (F.coalesce("s", F.lit(0.0)) + F.col("b")).alias("z"))
+        met = x.join(w, "f").groupBy("record_id", "node").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
+        return met.join(b, "node").select("record_id", "node", (F.col("s") + F.col("b")).alias("z"))
+    met = active.join(x, "record_id").join(w, ["node", "f"]).groupBy("record_id", "node").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
+    return active.join(met, ["record_id", "node"], "left").join(b, "node").select("record_id", "node", (F.coalesce("s", F.lit(0.0)) + F.col("b")).alias("z"))
 
 
 def relu(z: Column) -> Column:
@@ -103,11 +113,14 @@ def log_loss(p: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def packed_forward(x: DataFrame, weights: object, bias: object, vector_col: str = "embedding", id_col: str = "record_id") -> DataFrame:
-    """(record_id, predicted, z) of dense rows by blocks of matrix products; the layer's matrix goes out as one broadcast of its own,
-    fixed size. This is the fast path for dense layers of any width that fits an executor."""
+    """(record_id, predicted, z) of dense rows by blocks of matrix products; the layer's matrix goes out as one broadcast, of at most PACKED
+    bytes. This is the fast path for dense layers up to that size; preactivation() is the way beyond it."""
     import numpy as np
     import pyarrow as pa
 
+    if 8 * np.size(weights) > PACKED:
+        raise ValueError("the matrix is too large to broadcast; use preactivation()")
+
     shared = x.sparkSession.sparkContext.broadcast((np.asarray(weights, np.float64), np.asarray(bias, np.float64)))
 
     def run(batches):  # noqa: ANN001, ANN202

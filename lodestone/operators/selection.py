@@ -36,13 +36,13 @@ def permutation(nodes: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     return nodes.select("node", (F.row_number().over(Window.orderBy(place(F.col("node"), n, seed), "node")) - 1).cast("long").alias("pos"))
 
 
-def sampling(records: DataFrame, found: DataFrame, nodes: DataFrame, n: int, start: int, enough: int = ENOUGH, fill: int = FILL) -> DataFrame:
+def sampling(records: DataFrame, found: DataFrame, nodes: DataFrame, n: int, start: int, enough: int = ENOUGH, fill: int = FILL, seed: int = SEED) -> DataFrame:
     """All candidates; a record with fewer than `enough` gets nodes of the permutation, from place `start` on, around, until it has `fill`.
 
     A record misses at most fill - count nodes, and at most count of the first fill places of the rotation are candidates: so the
     first `fill` places are enough, and the join is records x fill, never records x nodes."""
     counts = records.select("record_id").join(found.groupBy("record_id").agg(F.count("*").alias("have")), "record_id", "left").select("record_id", F.coalesce("have", F.lit(0)).alias("have"))
-    turn = permutation(nodes, n).select("node", F.when(F.col("pos") >= start, F.col("pos") - start).otherwise(F.col("pos") + n - start).alias("turn")).filter(F.col("turn") < fill)
+    turn = permutation(nodes, n, seed).select("node", F.when(F.col("pos") >= start, F.col("pos") - start).otherwise(F.col("pos") + n - start).alias("turn")).filter(F.col("turn") < fill)
     short = counts.filter((F.col("have") < enough) & (F.col("have") < fill))
     spare = short.crossJoin(F.broadcast(turn)).join(found.select("record_id", "node"), ["record_id", "node"], "left_anti")  # at most `fill` rows broadcast, a setting
     rank = F.row_number().over(Window.partitionBy("record_id").orderBy("turn"))

@@ -5,8 +5,9 @@ quantity / 50, label supplier mod 50."""
 
 from __future__ import annotations
 
-import tempfile
+import os
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -133,10 +134,10 @@ def array_init_set(s: SparkSession, d: str) -> DataFrame:
 
 
 def _some(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "embeddings").filter("label < 2").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.array(F.size("embedding").cast("long")).alias("shape"), F.lit("<f4").alias("dtype"), F.lit(False).alias("fortran"), F.transform("embedding", lambda x: x.cast("double")).alias("data"))
+    return table(s, d, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.array(F.size("embedding").cast("long")).alias("shape"), F.lit("<f4").alias("dtype"), F.lit(False).alias("fortran"), F.transform("embedding", lambda x: x.cast("double")).alias("data"))
 
 
-ARRAYS = "SELECT 'v' || vec_id AS name, CAST(64 AS BIGINT) AS n, '<f4' AS dtype, CAST(embedding[1] AS DOUBLE) AS first_value, CAST(embedding[64] AS DOUBLE) AS last_value FROM embeddings WHERE label < 2"
+ARRAYS = "SELECT 'v' || vec_id AS name, CAST(64 AS BIGINT) AS n, '<f4' AS dtype, CAST(embedding[1] AS DOUBLE) AS first_value, CAST(embedding[64] AS DOUBLE) AS last_value FROM embeddings"
 
 
 def _arrays(df: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def _arrays(df: DataFrame) -> DataFrame:
 
 def _round(s: SparkSession, d: str, kind: str) -> DataFrame:
     arrays.register(s)
-    where = tempfile.mkdtemp(prefix=f"lodestone-{kind}-")
+    where = params.scratch(s, kind)
     _some(s, d).write.format(kind).mode("overwrite").save(where)
     return _arrays(s.read.format(kind).load(where))
 
@@ -163,22 +164,74 @@ def npz_roundtrip(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT * FROM (VALUES ('a', CAST(4 AS BIGINT), '<f8', 0.0::DOUBLE, 3.0::DOUBLE), ('b', CAST(6 AS BIGINT), '<i8', 1.0::DOUBLE, 6.0::DOUBLE)) AS t(name, n, dtype, first_value, last_value)")
 def npz_append(s: SparkSession, d: str) -> DataFrame:
     arrays.register(s)
-    where = tempfile.mkdtemp(prefix="lodestone-npz-") + "/x.npz"
+    where = arrays.local(params.scratch(s, "npz"))
+    os.makedirs(where)
+    where += "/x.npz"
     arrays.save_npz(where, "a", np.arange(4.0))
     arrays.save_npz(where, "b", np.arange(1, 7).reshape(2, 3), append=True)
     return _arrays(s.read.format("npz").load(where))
 
 
+@query("SELECT 'big' AS name, vec_id - (SELECT min(vec_id) FROM embeddings) AS place, '<i8' AS dtype, 9007199254740993 + vec_id AS value FROM embeddings")
+def npy_exact(s: SparkSession, d: str) -> DataFrame:
+    """Whole numbers beyond the exact doubles, through the raw bytes of an NPY file."""
+    arrays.register(s)
+    where = params.scratch(s, "npy")
+    ids = table(s, d, "embeddings").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # one array is what the file is
+    digits = "concat_ws('', transform(ids, i -> hex(unhex(lpad(hex(9007199254740993L + i), 16, '0')))))"
+    swapped = "concat_ws('', transform(sequence(0, size(ids) * 8 - 1), p -> substr(h, 2 * (p - p % 8 + 7 - p % 8) + 1, 2)))"
+    rows = ids.select("ids", F.expr(digits).alias("h")).select(F.lit("big").alias("name"), F.array(F.size("ids").cast("long")).alias("shape"), F.lit("<i8").alias("dtype"), F.lit(False).alias("fortran"), F.array().cast("array<double>").alias("data"), F.unhex(F.expr(swapped)).alias("raw"))
+    rows.write.format("npy").mode("overwrite").save(where)
+    back = s.read.format("npy").load(where).select("name", "dtype", F.expr("sequence(0L, shape[0] - 1)").alias("at"), F.hex("raw").alias("h"))
+    each = back.select("name", "dtype", "h", F.explode("at").alias("place"))
+    value = "cast(conv(concat(" + ", ".join(f"substr(h, cast(16 * place + {15 - 2 * i} as int), 2)" for i in range(8)) + "), 16, 10) as bigint)"
+    return each.select("name", "place", "dtype", F.expr(value).alias("value"))
+
+
+@query("SELECT 'b' AS name, CAST(6 AS BIGINT) AS n, '<i8' AS dtype, 1.0::DOUBLE AS first_value, 6.0::DOUBLE AS last_value")
+def npz_variable(s: SparkSession, d: str) -> DataFrame:
+    """One variable of an archive of two."""
+    arrays.register(s)
+    where = arrays.local(params.scratch(s, "npz"))
+    os.makedirs(where)
+    arrays.save_npz(f"{where}/x.npz", "a", np.arange(4.0))
+    arrays.save_npz(f"{where}/x.npz", "b", np.arange(1, 7).reshape(2, 3), append=True)
+    return _arrays(s.read.format("npz").option("variable", "b").load(f"{where}/x.npz"))
+
+
+@query("WITH o AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), r AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS row_idx FROM o), f AS (SELECT l_orderkey AS k, count(DISTINCT l_partkey % 500) AS n_features FROM lineitem GROUP BY ALL), l AS (SELECT l_orderkey AS k, CAST(count(DISTINCT l_suppkey % 50) AS BIGINT) AS n_labels FROM lineitem GROUP BY ALL) SELECT row_idx, n_labels, n_features, CASE WHEN r.k % 7 = 0 THEN 5 ELSE 0 END AS n_rejected FROM r JOIN f ON r.k = f.k JOIN l ON r.k = l.k")
+def text_scan(s: SparkSession, d: str) -> DataFrame:
+    """The orders' lines as text files, each with a header and a blank line, scanned again."""
+    where = params.scratch(s, "text")
+    top = table(s, d, "lineitem").agg(F.max("l_orderkey")).first()[0]
+    body = lines(s, d).withColumn("part", F.floor(F.col("record_id") * 4 / (top + 1)).cast("int"))
+    ends = body.groupBy("part").agg(F.min("record_id").alias("record_id"))
+    heads = ends.select("part", "record_id", F.lit(0).alias("kind"), F.lit("records features labels").alias("value")).unionByName(ends.select("part", "record_id", F.lit(1).alias("kind"), F.lit("  ").alias("value")))
+    whole = body.select("part", "record_id", F.lit(2).alias("kind"), "value").unionByName(heads)
+    whole.repartition("part").sortWithinPartitions("part", "record_id", "kind").select("part", "value").write.partitionBy("part").text(where)
+    r = sparse_text.read(s, f"{where}/part=*")
+    return r.select("row_idx", F.size("labels").cast("long").alias("n_labels"), F.size("features").cast("long").alias("n_features"), "n_rejected")
+
+
+@query("SELECT vec_id AS idx, CASE WHEN vec_id // 64 = 1 THEN -vec_id ELSE vec_id * vec_id END AS val FROM embeddings")
+def array_block_write_back(s: SparkSession, d: str) -> DataFrame:
+    """An array in blocks of 64; block 1 is read by itself and written back changed."""
+    store = params.Store(s, params.scratch(s, "store"))
+    store.put_array("a", table(s, d, "embeddings").select(F.col("vec_id").alias("idx"), (F.col("vec_id") * F.col("vec_id")).alias("val")), 64)
+    store.put_block("a", 1, store.block("a", 1).select("idx", (-F.col("idx")).alias("val")))
+    return store.array("a")
+
+
 # --- hashes --------------------------------------------------------------------------------------------------------
 
 
-@query(None)
+@query(f"WITH mk AS (SELECT vec_id AS key FROM embeddings), {oracle.murmur_long('mk')} SELECT key AS vec_id, h FROM mur")
 def murmur3_long(s: SparkSession, d: str) -> DataFrame:
     """Spark's own hash is this family's for long keys and seed 42."""
     return table(s, d, "embeddings").select("vec_id", (F.hash("vec_id").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("h"))
 
 
-@query(None)
+@query(f"WITH mk AS (SELECT source AS key FROM documents), {oracle.murmur_ascii('mk', 7)} SELECT doc_id, h FROM documents LEFT JOIN mur ON source = key")
 def murmur3_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", hashing.murmur3_column(F.col("source").cast("binary"), 7).alias("h"))
 
@@ -227,12 +280,12 @@ def wta_hash(s: SparkSession, d: str) -> DataFrame:
     return hashing.wta(dense(s, d), hashing.layout(s, 64, H))
 
 
-@query(f"WITH {oracle.EMB}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, f) AS r FROM emb) SELECT id, {oracle.bins('f', H, 9)} AS bin, max(f) AS h FROM t WHERE r <= 30 GROUP BY ALL")
+@query(f"WITH {oracle.EMB}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, f) AS r FROM emb), {oracle.bins(H, 9, 64)} SELECT id, bin, max(t.f) AS h FROM t JOIN mb ON t.f = mb.f WHERE r <= 30 GROUP BY ALL")
 def minhash_topk(s: SparkSession, d: str) -> DataFrame:
     return hashing.minhash(dense(s, d), H, 9)
 
 
-MHS = f"mh AS (SELECT id, {oracle.bins('f', H, 9)} AS bin, max(f) AS h FROM sp GROUP BY ALL)"
+MHS = f"{oracle.bins(H, 9, 500)}, mh AS (SELECT id, bin, max(sp.f) AS h FROM sp JOIN mb ON sp.f = mb.f GROUP BY ALL)"
 
 
 @query(f"WITH {oracle.SPARSE}, {MHS} SELECT id, bin, h FROM mh")
@@ -512,22 +565,58 @@ def schedule_flags(s: SparkSession, d: str) -> DataFrame:
     return config.schedule(s, 1210, 121, config.Config())
 
 
-@query(None)
+TRAIN = config.Config(lr=0.01, batch_size=BATCH, k=(2, 2), l=(4, 4), range_pow=(6, 6), sizes=(16, 10), input_dim=64, sparsity=(1.0, 1.0, 1.0, 1.0), epoch=1)
+STEPS = 16  # batches that the SQL covers; one without records changes nothing that counts
+
+
+def training_sql() -> str:
+    """An epoch of dense steps unrolled: activations, softmax, deltas, gradients and Adam of both layers, batch after batch."""
+    b1, b2, eps = network.BETA1, network.BETA2, network.EPS
+    out = (
+        f"WITH {oracle.EMB}, {oracle.LABELS}, {oracle.layer('a', 0, 16, 64)}, {oracle.layer('c', 1, 10, 16)}, rw AS (SELECT vec_id AS id, (row_number() OVER (ORDER BY vec_id) - 1) // {BATCH} AS batch_id FROM embeddings), "
+        f"whole AS (SELECT batch_id FROM rw GROUP BY batch_id HAVING count(*) = {BATCH}), bt AS MATERIALIZED (SELECT id, batch_id FROM rw WHERE batch_id IN (SELECT batch_id FROM whole)), "
+        "t0 AS MATERIALIZED (SELECT 0 AS layer, node, f, w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM aw UNION ALL SELECT 0, node, -1, b, 0, 0 FROM ab UNION ALL SELECT 1, node, f, w, 0, 0 FROM cw UNION ALL SELECT 1, node, -1, b, 0, 0 FROM cb)"
+    )
+    for t in range(STEPS):
+        p, q = f"t{t}", f"s{t}"
+        out += (
+            f", {q}x AS MATERIALIZED (SELECT e.id, e.f, e.v FROM emb e JOIN bt ON bt.id = e.id WHERE bt.batch_id = {t} UNION ALL SELECT id, -1, 1.0 FROM bt WHERE batch_id = {t})"
+            f", {q}h AS MATERIALIZED (SELECT x.id, w.node AS f, greatest(sum(w.w * x.v), 0.0) AS v FROM {q}x x JOIN {p} w ON w.f = x.f AND w.layer = 0 GROUP BY ALL UNION ALL SELECT id, -1, 1.0 FROM bt WHERE batch_id = {t})"
+            f", {q}z AS MATERIALIZED (SELECT h.id, w.node, sum(w.w * h.v) AS z FROM {q}h h JOIN {p} w ON w.f = h.f AND w.layer = 1 GROUP BY ALL)"
+            f", {q}e AS (SELECT *, exp(z - greatest(max(z) OVER (PARTITION BY id), 0.0)) AS e FROM {q}z)"
+            f", {q}p AS MATERIALIZED (SELECT id, node, e / (sum(e) OVER (PARTITION BY id) + {network.NORM}::DOUBLE) AS p FROM {q}e)"
+            f", {q}d AS MATERIALIZED (SELECT p.id, p.node, (CASE WHEN g.label IS NOT NULL THEN 1.0 ELSE 0.0 END - p.p) / {BATCH} AS delta FROM {q}p p LEFT JOIN tgt g ON g.record_id = p.id AND g.label = p.node)"
+            f", {q}b AS MATERIALIZED (SELECT d.id, w.f AS node, sum(d.delta * w.w) AS delta FROM {q}d d JOIN {p} w ON w.layer = 1 AND w.node = d.node JOIN {q}h h ON h.id = d.id AND h.f = w.f WHERE w.f >= 0 AND h.v > 0 GROUP BY ALL)"
+            f", {q}g AS MATERIALIZED (SELECT 1 AS layer, d.node, h.f, sum(d.delta * h.v) AS g FROM {q}d d JOIN {q}h h ON h.id = d.id GROUP BY ALL UNION ALL SELECT 0, b.node, x.f, sum(b.delta * x.v) FROM {q}b b JOIN {q}x x ON x.id = b.id GROUP BY ALL)"
+            f", {q}m AS (SELECT o.layer, o.node, o.f, o.w, {b1}::DOUBLE * o.m + {1 - b1}::DOUBLE * coalesce(g.g, 0) AS m, {b2}::DOUBLE * o.v + {1 - b2}::DOUBLE * coalesce(g.g, 0) * coalesce(g.g, 0) AS v FROM {p} o LEFT JOIN {q}g g ON g.layer = o.layer AND g.node = o.node AND g.f = o.f)"
+            f", t{t + 1} AS MATERIALIZED (SELECT layer, node, f, w + {network.step_size(TRAIN.lr, t + 1)!r}::DOUBLE * m / (sqrt(v) + {eps}::DOUBLE) AS w, m, v FROM {q}m)"
+        )
+    each = " UNION ALL ".join(f"SELECT {t} AS iter, count(*) AS n, avg(-ln(greatest(p.p, 1e-12))) AS loss FROM s{t}p p JOIN tgt g ON g.record_id = p.id AND g.label = p.node" for t in range(STEPS))
+    return out + f" SELECT iter::BIGINT AS iter, n, round(loss, 5) AS loss FROM ({each}) WHERE n > 0"
+
+
+def metrics(s: SparkSession, rows: list[dict]) -> DataFrame:
+    return s.createDataFrame([(m["iter"], m["n"], round(m["loss"], 5)) for m in rows if m["kind"] == "train"], "iter long, n long, loss double")
+
+
+@query(training_sql())
 def train_epoch_metrics(s: SparkSession, d: str) -> DataFrame:
-    """Loss of three dense steps and one with sampled output nodes; a step's loss is that before its update."""
-    c = config.Config(lr=0.01, batch_size=BATCH, k=(2, 2), l=(4, 4))
-    net = model.Network(s, c, 64, 16, 10)
-    rows = sparse_text.batches(labels(s, d).select("record_id"), BATCH)
-    rows = model.kept(rows)
-    out = model.train(net, dense(s, d, "record_id"), labels(s, d), rows, 3)
-    out += [{**m, "iter": 3 + m["iter"]} for m in model.train(net, dense(s, d, "record_id"), labels(s, d), rows, 1, sparse=True)]
-    return s.createDataFrame([(m["iter"], m["n"], round(m["loss"], 6)) for m in out], "iter long, n long, loss double")
+    """Loss of each step of a dense epoch over all whole batches; a step's loss is that before its update."""
+    net = model.Network(s, TRAIN)
+    return metrics(s, model.train(net, model.kept(dense(s, d, "record_id")), labels(s, d), labels(s, d)))
+
+
+@query(None)
+def train_sampled_metrics(s: SparkSession, d: str) -> DataFrame:
+    """The same with output nodes from hash tables."""
+    net = model.Network(s, replace(TRAIN, sparsity=(1.0, 0.5, 1.0, 1.0), epoch=1))
+    return metrics(s, model.train(net, model.kept(dense(s, d, "record_id")), labels(s, d), labels(s, d)))
 
 
 @query("SELECT 'k' || vec_id AS key, CASE WHEN vec_id % 5 = 0 THEN 'new' ELSE 'old' END AS dtype, CAST(CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS ts FROM embeddings")
 def param_version_swap(s: SparkSession, d: str) -> DataFrame:
     """Key-value rows, a fifth of them put again: the second version is what readers see."""
-    store = params.Store(s, (s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-store-")) + "/kv-" + next(tempfile._get_candidate_names()))
+    store = params.Store(s, params.scratch(s, "store"))
     e = table(s, d, "embeddings")
     first = e.select(F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("key"), F.lit("old").alias("dtype"), F.lit(0).cast("long").alias("ts"))
     store.upsert("kv", first)

@@ -1,9 +1,13 @@
-"""Layers, initial parameters and the training loop."""
+"""Layers, initial parameters, the training loop and its schedule.
+
+All parameters are one table (layer, node, f, w, m, v): weights by input feature, biases at feature BIAS, with Adam moments. A record
+carries feature BIAS with value 1, so dot products include the bias, records without any feature have it alone, and the
+bias's gradient is a weight's. A step is one plan for the output probabilities and one for the new table."""
 
 from __future__ import annotations
 
-import tempfile
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +15,11 @@ from pyspark.sql import functions as F
 from lodestone.functions import hashing
 from lodestone.functions.config import Config
 from lodestone.operators import lsh, network, selection
+from lodestone.sources import params, sparse_text
+
+BIAS = -1
+#: Batches of the evaluations within an epoch and after one, and the iterations between two node permutations
+EVALUATE, AFTER_EPOCH, RESHUFFLE = 20, 50, 6946
 
 
 def weight(layer: int, node: Column, f: Column) -> Column:
@@ -38,91 +47,196 @@ def moments(df: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The table cut from its lineage, in spark.checkpoint.dir where it is set."""
+    """The table cut from its lineage, in spark.checkpoint.dir."""
     ctx = df.sparkSession.sparkContext
     if ctx.getCheckpointDir() is None:
-        ctx.setCheckpointDir(ctx.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+        ctx.setCheckpointDir(params.scratch(df.sparkSession, "checkpoint"))
     return df.checkpoint(eager=True)
 
 
 @dataclass
 class Network:
-    """Two layers: a ReLU layer and a softmax layer, with Adam moments, and the output layer's hash tables."""
+    """Layers of config.sizes over config.input_dim features: ReLU layers and a softmax layer at the end.
+
+    config.sparsity says of each layer, for training and for prediction, whether all nodes are active (1) or those config.mode chooses:
+    nodes met in the hash tables of config.family (modes 1 and 4), or, in the softmax layer, random or best ones (2, 3; such a mode
+    leaves other layers that aren't dense without active nodes)."""
 
     spark: SparkSession
     config: Config
-    dim: int
-    hidden: int
-    classes: int
-    w1: DataFrame = None
-    b1: DataFrame = None
-    w2: DataFrame = None
-    b2: DataFrame = None
-    buckets: DataFrame = None
+    seed: int | None = None  # draw initial weights from N(0, 0.01) in place of the formula
     steps: int = 0
+    generation: int = 0
+    table: DataFrame = None
+    buckets: dict[int, DataFrame] = field(default_factory=dict)
+    written: dict[str, list[str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        (w1, b1), (w2, b2) = layer(self.spark, 0, self.hidden, self.dim), layer(self.spark, 1, self.classes, self.hidden)
-        self.w1, self.b1, self.w2, self.b2 = (moments(x) for x in (w1, b1, w2, b2))
+        self.config.validated()
+        self.folder = params.scratch(self.spark, "network")
+        parts = []
+        for j, nodes in enumerate(self.config.sizes):
+            w, b = layer(self.spark, j, nodes, self.dim(j))
+            w = w if self.seed is None else gaussian(self.spark, nodes, self.dim(j), self.seed + j)
+            parts += [w.withColumn("layer", F.lit(j)), b.select("node", F.lit(BIAS).cast("long").alias("f"), F.col("b").alias("w"), F.lit(j).alias("layer"))]
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.unionByName(p)
+        if self.table is None:
+            self.table = self.cut(moments(whole).select("layer", "node", "f", "w", "m", "v"), "table")
 
     @property
-    def hashes(self) -> int:
-        return self.config.k[-1] * self.config.l[-1]
+    def last(self) -> int:
+        return len(self.config.sizes) - 1
+
+    def dim(self, j: int) -> int:
+        return self.config.sizes[j - 1] if j else self.config.input_dim
+
+    def cut(self, df: DataFrame, role: str) -> DataFrame:
+        """The table written to the shared folder and read back; of each role the last two are kept, older ones removed."""
+        path = f"{self.folder}/{role}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        mine = self.written.setdefault(role, [])
+        mine.append(path)
+        if len(mine) > 2:
+            params.remove(self.spark, mine.pop(0))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def weights(self, j: int) -> DataFrame:
+        return self.table.filter(F.col("layer") == j).select("node", "f", "w")
+
+    def replace(self, j: int, rows: DataFrame) -> None:
+        """Puts weights (node, f, w), biases at feature BIAS, over those of layer j; moments start anew."""
+        new = moments(rows.select(F.lit(j).alias("layer"), "node", "f", "w"))
+        self.table = self.cut(self.table.join(new.select("layer", "node", "f"), ["layer", "node", "f"], "left_anti").unionByName(new), "table")
+
+    # --- active nodes
+
+    def address(self, j: int, rows: DataFrame, ids: DataFrame) -> DataFrame:
+        """(id, tbl, bucket) of vectors (id, f, v) over the inputs of layer j, by the hash family."""
+        c = self.config
+        k, l, dim = c.k[j], c.l[j], self.dim(j)  # noqa: E741
+        return hashing.addresses(c.family, rows, ids, dim, k, l, c.range_pow[j], c.bits)
+
+    def hashed(self, j: int, training: bool) -> bool:
+        return self.config.mode in (1, 4) and self.config.sparsity[j + (0 if training else self.last + 1)] < 1
 
     def rehash(self) -> None:
-        """Hashes the output layer's weights anew and fills its tables; after an update, so that they follow the new weights."""
-        rows = self.w2.select(F.col("node").alias("id"), "f", F.col("w").alias("v"))
-        self.buckets = kept(lsh.fifo(lsh.rows(self.address(rows), F.col("id"))))
-
-    def address(self, rows: DataFrame) -> DataFrame:
-        signature = hashing.densified(hashing.dwta(rows, hashing.layout(self.spark, self.hidden, self.hashes)), self.hashes)
-        return hashing.address_wta(signature, self.config.k[-1], self.config.l[-1], self.config.bits)
-
-    def active(self, h: DataFrame, targets: DataFrame | None) -> DataFrame:
-        records = h.select("record_id").distinct()
-        nodes = self.spark.range(self.classes).withColumnRenamed("id", "node")
-        hits = lsh.probe(self.address(h.withColumnRenamed("record_id", "id")), self.buckets)
-        found = selection.candidates(hits, targets, self.config.l[-1])
-        if self.config.mode == 1:
-            return selection.threshold(found)
-        return selection.sampling(records, found, nodes, self.classes, self.classes // 3)
-
-    def step(self, x: DataFrame, targets: DataFrame, batch: int, sparse: bool = False) -> DataFrame:
-        """One batch against frozen weights, then one update; returns (n, loss)."""
-        h = network.hidden(x, self.w1.select("node", "f", "w"), self.b1.select("node", "b"))
-        active = self.active(h, targets) if sparse else None
-        p = kept(network.softmax(network.preactivation(h, self.w2.select("node", "f", "w"), self.b2.select("node", "b"), active)))
-        delta = kept(network.output_delta(p, targets, batch))
-        back = network.hidden_delta(delta, self.w2.select("node", "f", "w"), h)
+        """Hashes the weights of the layers that need it and fills their tables; after an update, so that they follow the new weights."""
+        for j in range(self.last + 1):
+            if self.hashed(j, True) or self.hashed(j, False):
+                rows = self.weights(j).filter(F.col("f") >= 0).select(F.col("node").alias("id"), "f", F.col("w").alias("v"))
+                found = lsh.rows(self.address(j, rows, self.spark.range(self.config.sizes[j])), F.col("id"))
+                self.buckets[j] = self.cut(lsh.fifo(found) if self.config.fifo else lsh.reservoir(found), f"buckets{j}")
+
+    def active(self, j: int, x: DataFrame, records: DataFrame, targets: DataFrame | None, training: bool) -> DataFrame | None:
+        """(record_id, node), or None where all nodes are active. Labels (of the softmax layer only) are always active if given."""
+        c, n = self.config, self.config.sizes[j]
+        share = c.sparsity[j + (0 if training else self.last + 1)]
+        if share >= 1:
+            return None
+        targets = targets if j == self.last else None
+        labels = targets if targets is not None else self.spark.createDataFrame([], "record_id long, label long")
+        nodes = self.spark.range(n).withColumnRenamed("id", "node")
+        seed = selection.SEED + self.generation
+        if self.hashed(j, training):
+            if j not in self.buckets:
+                self.rehash()
+            rows = x.select(F.col("record_id").alias("id"), "f", "v")
+            hits = lsh.probe(self.address(j, rows, records.select(F.col("record_id").alias("id"))), self.buckets[j])
+            found = selection.candidates(hits, targets, c.l[j])
+            return selection.threshold(found) if c.mode == 1 else selection.sampling(records, found, nodes, n, n // 3, seed=seed)
+        size = int(n * share)
+        if j == self.last and c.mode == 2:
+            return selection.random(records, labels, nodes, n, size, seed)
+        if j == self.last and c.mode == 3:
+            return selection.topk(network.dots(self.input(x, records), self.weights(j)), labels, size)
+        return selection.nothing(selection.dense(records, nodes))
+
+    # --- passes
+
+    @staticmethod
+    def input(x: DataFrame, records: DataFrame) -> DataFrame:
+        """Activations with the bias's feature."""
+        return x.select("record_id", "f", "v").unionByName(records.select("record_id", F.lit(BIAS).cast("long").alias("f"), F.lit(1.0).alias("v")))
+
+    def forward(self, x: DataFrame, records: DataFrame, targets: DataFrame | None, training: bool) -> tuple[list[DataFrame], DataFrame]:
+        """The activations that enter each layer, and the output layer's (record_id, node, z)."""
+        acts = [x]
+        for j in range(self.last + 1):
+            z = network.dots(self.input(acts[j], records), self.weights(j), self.active(j, acts[j], records, targets, training))
+            if j < self.last:
+                acts.append(z.select("record_id", F.col("node").alias("f"), network.relu(F.col("z")).alias("v")))
+        return acts, z
+
+    def step(self, x: DataFrame, targets: DataFrame, records: DataFrame, batch: int, rehash: bool = False, reshuffle: bool = False) -> DataFrame:
+        """One batch against frozen weights, then one update; returns (n, loss) from before it."""
+        self.generation += reshuffle
+        acts, z = self.forward(x, records, targets, True)
+        p = self.cut(network.softmax(z).select("record_id", "node", "p"), "p")
+        delta, grads = network.output_delta(p, targets, batch), None
+        for j in range(self.last, -1, -1):
+            g = network.gradient(delta, self.input(acts[j], records)).withColumn("layer", F.lit(j))
+            grads = g if grads is None else grads.unionByName(g)
+            if j:
+                delta = network.hidden_delta(delta, self.weights(j).filter(F.col("f") >= 0), acts[j])
         self.steps += 1
-        lr, t = self.config.lr, self.steps
-        grads = ((network.gradient(delta, h), network.bias_gradient(delta)), (network.gradient(back, x), network.bias_gradient(back)))
-        w2, b2 = network.adam(self.w2, grads[0][0], ["node", "f"], lr, t), network.adam(self.b2, grads[0][1], ["node"], lr, t, "b")
-        w1, b1 = network.adam(self.w1, grads[1][0], ["node", "f"], lr, t), network.adam(self.b1, grads[1][1], ["node"], lr, t, "b")
-        self.w1, self.b1, self.w2, self.b2 = (kept(d) for d in (w1, b1, w2, b2))
-        every = self.config.rehash // self.config.batch_size
-        if sparse and self.steps % every == every - 1:
+        keys = ["layer", "node", "f"]
+        new = network.adam(self.table, grads, keys, self.config.lr, self.steps) if self.config.adam else network.sgd(self.table, grads, keys, self.config.lr)
+        self.table = self.cut(new.select("layer", "node", "f", "w", "m", "v"), "table")
+        if rehash:
             self.rehash()
         return network.log_loss(p, targets)
 
-    def predict(self, x: DataFrame) -> DataFrame:
-        h = network.hidden(x, self.w1.select("node", "f", "w"), self.b1.select("node", "b"))
-        return network.predicted(network.preactivation(h, self.w2.select("node", "f", "w"), self.b2.select("node", "b")))
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {"w1": self.w1, "b1": self.b1, "w2": self.w2, "b2": self.b2}
-
-
-def train(net: Network, x: DataFrame, targets: DataFrame, batches: DataFrame, steps: int, sparse: bool = False) -> list[dict]:
-    """Trains on batches 0, 1, ... of (record_id, batch_id), over again when they end; a row of metrics for each step."""
-    count = int(batches.agg(F.max("batch_id")).first()[0]) + 1
-    if sparse:
-        net.rehash()
-    out = []
-    for i in range(steps):
+    def predict(self, x: DataFrame, records: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+        """(record_id, predicted) of all records; with targets given, their labels are active in the softmax layer."""
+        return network.predicted(self.forward(x, records, targets, False)[1], records)
+
+    def evaluate(self, x: DataFrame, targets: DataFrame, batches: DataFrame, count: int | None = None, inject: bool = False) -> DataFrame:
+        """(n, correct, accuracy) over the first `count` batches of (record_id, batch_id), or over all."""
+        mine = batches if count is None else batches.filter(F.col("batch_id") < count)
+        records = mine.select("record_id")
+        xs, ys = x.join(records, "record_id", "left_semi"), targets.join(records, "record_id", "left_semi")
+        return network.accuracy(network.hits(self.predict(xs, records, ys if inject else None), ys))
+
+    # --- saving
+
+    def save(self, store: params.Store, name: str = "network", **about: int) -> int:
+        """Commits all parameters as one version, with the step count and what the caller adds."""
+        return store.commit(name, self.table, about={"steps": self.steps, "generation": self.generation, **about})
+
+    def load(self, store: params.Store, name: str = "network", version: int | None = None) -> dict:
+        """Takes a version's parameters and step count, and returns what was saved with it; hash tables are filled when next needed."""
+        self.table, about = store.read(name, version), store.about(name, version)
+        self.steps, self.generation, self.buckets = about["steps"], about["generation"], {}
+        return about
+
+
+def train(net: Network, x: DataFrame, targets: DataFrame, records: DataFrame, epochs: int | None = None, test: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> list[dict]:
+    """Epochs over the whole batches of the records (record_id), in order of id; what is left over is not trained on.
+
+    Rehash, rebuild and reshuffle follow the schedule. test (x, targets, records) is evaluated by it too: EVALUATE batches whenever the
+    iteration is a multiple of step_size, before its step, AFTER_EPOCH after each epoch, all after the last. Returns the metrics in order."""
+    c = net.config
+    epochs = c.epoch if epochs is None else epochs
+    batches = kept(sparse_text.batches(records.select("record_id"), c.batch_size, drop_partial=True))
+    count = batches.agg(F.countDistinct("batch_id")).first()[0]
+    tests = kept(sparse_text.batches(test[2].select("record_id"), c.batch_size)) if test else None
+    out: list[dict] = []
+
+    def evaluate(at: int, n: int | None) -> None:
+        if test:
+            out.append({"iter": at, "kind": "eval", **net.evaluate(test[0], test[1], tests, n).first().asDict()})
+
+    every, phase = max(1, c.rehash // c.batch_size), c.rehash // c.batch_size - 1
+    for i in range(epochs * count):
+        if i % c.step_size == 0:
+            evaluate(i, EVALUATE)
         mine = batches.filter(F.col("batch_id") == i % count).select("record_id")
         xs, ys = x.join(mine, "record_id", "left_semi"), targets.join(mine, "record_id", "left_semi")
-        n = mine.count()
-        r = net.step(xs, ys, n, sparse).first()
-        out.append({"iter": i, "n": int(r.n), "loss": float(r.loss)})
+        again = c.mode in (1, 4) and (i % every == phase or i % max(1, c.rebuild // c.batch_size) == phase)
+        r = net.step(xs, ys, mine, c.batch_size, again, i % RESHUFFLE == RESHUFFLE - 1).first()
+        out.append({"iter": i, "kind": "train", "n": int(r.n), "loss": float(r.loss)})
+        if (i + 1) % count == 0:
+            evaluate(i, None if i + 1 == epochs * count else AFTER_EPOCH)
     return out

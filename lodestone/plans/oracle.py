@@ -44,20 +44,53 @@ def probes(hashes: int) -> str:
 def densified(sig: str, hashes: int, name: str = "den") -> str:
     """From (id, bin, h)."""
     return (
+        f"{name}a AS (SELECT bin, target, min(attempt) AS attempt FROM (SELECT bin, target, attempt FROM prb UNION ALL SELECT b.b, b.b, 0 FROM range({hashes}) AS b(b)) GROUP BY ALL), "
+        f"{name}o AS (SELECT s.id, a.bin, arg_min(s.h, a.attempt) AS h FROM {sig} s JOIN {name}a a ON a.target = s.bin GROUP BY ALL), "
         f"{name}f AS (SELECT i.id, b.b AS bin FROM (SELECT DISTINCT id FROM {sig}) i, range({hashes}) AS b(b)), "
-        f"{name}e AS (SELECT f.id, f.bin FROM {name}f f ANTI JOIN {sig} s ON f.id = s.id AND f.bin = s.bin), "
-        f"{name}o AS (SELECT e.id, e.bin, arg_min(s.h, p.attempt) AS h FROM {name}e e JOIN prb p ON e.bin = p.bin JOIN {sig} s ON s.id = e.id AND s.bin = p.target GROUP BY ALL), "
-        f"{name} AS (SELECT f.id, f.bin, CAST(coalesce(s.h, o.h, 0) AS BIGINT) AS h FROM {name}f f LEFT JOIN {sig} s ON f.id = s.id AND f.bin = s.bin LEFT JOIN {name}o o ON f.id = o.id AND f.bin = o.bin)"
+        f"{name} AS (SELECT f.id, f.bin, CAST(coalesce(o.h, 0) AS BIGINT) AS h FROM {name}f f LEFT JOIN {name}o o ON f.id = o.id AND f.bin = o.bin)"
     )
 
 
+def _product(a: str, b: int) -> str:
+    return f"((({a})::UBIGINT * {b}::UBIGINT) % 4294967296::UBIGINT)"
+
+
+def _turned(a: str, by: int) -> str:
+    return f"((({a}) * {2**by}::UBIGINT) % 4294967296::UBIGINT + ({a}) // {2 ** (32 - by)}::UBIGINT)"
+
+
+def murmur(src: str, seed: int, name: str = "mur") -> str:
+    """(key, h) of a table (key, words, n): Murmur3 of n bytes given as 32-bit little-endian words, the last one filled up with zeros."""
+    k = _product(_turned(_product("w", 0xCC9E2D51), 15), 0x1B873593)
+    out = f"{name}0 AS (SELECT key, n, list_transform(words, lambda w: {k}) AS ks FROM {src}), "
+    x = "xor(h, k)"
+    step = f"(({_turned(x, 13)}) * 5::UBIGINT + {0xE6546B64}::UBIGINT) % 4294967296::UBIGINT"
+    out += f"{name}1 AS (SELECT key, n, xor(xor(list_reduce(list_prepend({seed}::UBIGINT, ks[:n // 4]), lambda h, k: {step}), CASE WHEN n % 4 > 0 THEN ks[n // 4 + 1] ELSE 0::UBIGINT END), n::UBIGINT) AS h FROM {name}0), "
+    out += f"{name}2 AS (SELECT key, {_product('xor(h, h // 65536::UBIGINT)', 0x85EBCA6B)} AS h FROM {name}1), "
+    out += f"{name}3 AS (SELECT key, {_product('xor(h, h // 8192::UBIGINT)', 0xC2B2AE35)} AS h FROM {name}2), "
+    return out + f"{name} AS (SELECT key, CAST(xor(h, h // 65536::UBIGINT) AS BIGINT) AS h FROM {name}3)"
+
+
+def murmur_long(src: str, seed: int = 42, name: str = "mur") -> str:
+    """(key, h) of the non-negative numbers in column key, as 8 bytes."""
+    return f"{name}w AS (SELECT DISTINCT key, [(key % 4294967296)::UBIGINT, (key // 4294967296)::UBIGINT] AS words, 8 AS n FROM {src}), " + murmur(f"{name}w", seed, name)
+
+
+def murmur_ascii(src: str, seed: int, name: str = "mur") -> str:
+    """(key, h) of the ASCII texts in column key."""
+    byte = "CASE WHEN 4 * i + {j} <= length(key) THEN ascii(substr(key, 4 * i + {j}, 1)) ELSE 0 END"
+    word = " + ".join(f"({byte.format(j=j + 1)}) * {256**j}" for j in range(4))
+    return f"{name}w AS (SELECT DISTINCT key, list_transform(range(0, (length(key) + 3) // 4), lambda i: ({word})::UBIGINT) AS words, length(key) AS n FROM {src} WHERE key IS NOT NULL), " + murmur(f"{name}w", seed, name)
+
+
 def address(sig: str, k: int, l: int, bits: int = 2, name: str = "adr") -> str:  # noqa: E741
     return f"{name} AS (SELECT id, bin // {k} AS tbl, CAST(sum(h * CAST(power({2**bits}, {k - 1} - bin % {k}) AS BIGINT)) AS BIGINT) AS bucket FROM {sig} WHERE bin < {k * l} GROUP BY ALL)"
 
 
-def bins(f: str, hashes: int, range_pow: int) -> str:
+def bins(hashes: int, range_pow: int, dim: int) -> str:
+    """mb (f, bin): the min-hash bin of each feature."""
     size = 1 << range_pow
-    return f"(({order(f, '0')} % {size}) // {math.ceil(size / hashes)})"
+    return f"mf AS (SELECT f AS key FROM range({dim}) AS t(f)), {murmur_long('mf')}, mb AS (SELECT key AS f, (h % {size}) // {math.ceil(size / hashes)} AS bin FROM mur)"
 
 
 def srp(dim: int, hashes: int) -> str:

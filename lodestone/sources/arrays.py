@@ -5,15 +5,35 @@ from __future__ import annotations
 import glob
 import io
 import os
+import re
+import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-SCHEMA = "name string, shape array<long>, dtype string, fortran boolean, data array<double>"
+#: data are the values as doubles (real and imaginary parts of complex ones in turn), raw their exact bytes in C order
+SCHEMA = "name string, shape array<long>, dtype string, fortran boolean, data array<double>, raw binary"
+
+
+def view(raw: bytes, dtype: str, shape: list[int]) -> np.ndarray:
+    """The array of exact bytes."""
+    return np.frombuffer(raw, np.dtype(dtype)).reshape(shape)
+
+
+def array_of(row: object) -> np.ndarray:
+    """The array of a row: of its raw bytes where it has them, else of its doubles."""
+    dtype = np.dtype(row["dtype"])
+    if "raw" in row and row["raw"] is not None:
+        return view(bytes(row["raw"]), row["dtype"], row["shape"])
+    flat = np.array(row["data"], np.float64)
+    if dtype.kind == "c":
+        flat = flat[0::2] + 1j * flat[1::2]
+    return flat.reshape(row["shape"]).astype(dtype)
 
 
 def load(path: str, variable: str | None = None) -> dict[str, np.ndarray]:
@@ -54,6 +74,11 @@ def header(a: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def local(path: str) -> str:
+    """The path of a mounted folder, without a scheme."""
+    return re.sub(r"^file:(//)?(?=/)", "", path)
+
+
 class _File(InputPartition):
     def __init__(self, path: str, variable: str | None) -> None:
         self.path, self.variable = path, variable
@@ -61,7 +86,7 @@ class _File(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, suffix: str) -> None:
-        self.path, self.variable, self.suffix = options["path"], options.get("variable"), suffix
+        self.path, self.variable, self.suffix = local(options["path"]), options.get("variable"), suffix
 
     def partitions(self) -> list[InputPartition]:
         files = sorted(glob.glob(os.path.join(self.path, f"*{self.suffix}"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
@@ -72,35 +97,59 @@ class _Reader(DataSourceReader):
     def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
         for name, a in load(part.path, part.variable).items():
             flat = np.asarray(a.ravel(order="C"))
+            raw = flat.tobytes()
             if np.iscomplexobj(flat):
                 flat = np.column_stack([flat.real, flat.imag]).ravel()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([list(a.shape)], pa.list_(pa.int64())), pa.array([a.dtype.str]), pa.array([bool(np.isfortran(a))]), pa.array([flat.astype(np.float64)], pa.list_(pa.float64()))],
-                names=["name", "shape", "dtype", "fortran", "data"],
+                [pa.array([name]), pa.array([list(a.shape)], pa.list_(pa.int64())), pa.array([a.dtype.str]), pa.array([bool(np.isfortran(a))]), pa.array([flat.astype(np.float64)], pa.list_(pa.float64())), pa.array([raw], pa.binary())],
+                names=["name", "shape", "dtype", "fortran", "data", "raw"],
             )
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    """Files of one task: what they are called until the job commits, and after."""
+
+    files: list[tuple[str, str]]
+
+
 class _Writer(DataSourceWriter):
-    """One file a row, named by it; an archive per task for npz."""
+    """One file a row, named by it; an archive per task for npz. Tasks write under names of their own, which the commit changes, so
+    neither a task run again nor one that failed leaves a trace."""
 
     def __init__(self, options: dict, suffix: str, overwrite: bool) -> None:
-        self.path, self.suffix = options["path"], suffix
+        self.path, self.suffix, self.overwrite = local(options["path"]), suffix, overwrite
         os.makedirs(self.path, exist_ok=True)
-        if overwrite:
-            for f in glob.glob(os.path.join(self.path, f"*{suffix}")):
-                os.remove(f)
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId()
-        for r in rows:
-            a = np.array(r["data"], np.float64).reshape(r["shape"]).astype(np.dtype(r["dtype"]))
+        task, mine = TaskContext.get().partitionId(), uuid.uuid4().hex
+        files: list[tuple[str, str]] = []
+        for n, r in enumerate(rows):
             if self.suffix == ".npy":
-                save_npy(os.path.join(self.path, f"{r['name']}.npy"), a)
+                files.append((os.path.join(self.path, f".{mine}-{n}.draft"), os.path.join(self.path, f"{r['name']}.npy")))
+                with open(files[-1][0], "wb") as f:
+                    np.save(f, array_of(r.asDict()), allow_pickle=False)
             else:
-                save_npz(os.path.join(self.path, f"part-{task:05d}.npz"), r["name"], a, append=os.path.exists(os.path.join(self.path, f"part-{task:05d}.npz")))
-        return WriterCommitMessage()
+                if not files:
+                    files.append((os.path.join(self.path, f".{mine}.draft"), os.path.join(self.path, f"part-{task:05d}-{mine}.npz")))
+                save_npz(files[0][0], r["name"], array_of(r.asDict()), append=n > 0)
+        return _Written(files)
+
+    def commit(self, messages: list) -> None:
+        if self.overwrite:
+            for f in glob.glob(os.path.join(self.path, f"*{self.suffix}")):
+                os.remove(f)
+        for m in messages:
+            for draft, to in m.files if m else ():
+                os.replace(draft, to)
+
+    def abort(self, messages: list) -> None:
+        for m in messages:
+            for draft, _ in m.files if m else ():
+                if os.path.exists(draft):
+                    os.remove(draft)
 
 
 class NpyDataSource(DataSource):

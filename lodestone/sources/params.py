@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,31 +45,77 @@ def shuffled(a: DataFrame, seed: int) -> DataFrame:
     return keyed.withColumn("__in", inner).join(F.broadcast(start), "__r").select((F.col("__start") + F.col("__in")).cast("long").alias("pos"), "idx", "val")
 
 
+def _fs(spark: SparkSession, where: str) -> tuple:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder that spark.checkpoint.dir names; where none is set, a local session has one of its own."""
+    ctx = spark.sparkContext
+    top = ctx.getConf().get("spark.checkpoint.dir") or ctx.getCheckpointDir()
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", ctx.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="lodestone-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, where: str) -> None:
+    fs, path = _fs(spark, where)
+    fs.delete(path(where), True)
+
+
 class Store:
-    """Versioned tables in a folder: a version is written whole, then the pointer is moved to it; readers see one version."""
+    """Versioned tables in a folder: a version is written whole, then the pointer is moved to it; readers see one version.
+
+    A version's number is claimed by creating a file that must not exist, so two writers never share one; the pointer holds what the
+    writer says about the version, as JSON."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self) -> tuple:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    def _numbers(self, name: str, kind: str) -> list[int]:
+        fs, path = _fs(self.spark, self.root)
+        return [int(f.getPath().getName().rpartition("-")[2]) for f in fs.globStatus(path(f"{self.root}/{name}/{kind}-*")) or []]
 
     def version(self, name: str) -> int:
-        fs, path = self._fs()
-        found = fs.globStatus(path(f"{self.root}/{name}/CURRENT-*")) or []
-        return max((int(f.getPath().getName().rpartition("-")[2]) for f in found), default=-1)
+        return max(self._numbers(name, "CURRENT"), default=-1)
+
+    def _claim(self, name: str) -> int:
+        fs, path = _fs(self.spark, self.root)
+        v = max([*self._numbers(name, "CLAIM"), *self._numbers(name, "CURRENT")], default=-1) + 1
+        while not fs.createNewFile(path(f"{self.root}/{name}/CLAIM-{v}")):
+            v += 1
+        return v
 
-    def commit(self, name: str, df: DataFrame, by: tuple[str, ...] = ()) -> int:
+    def _point(self, name: str, v: int, about: dict) -> None:
+        fs, path = _fs(self.spark, self.root)
+        to = path(f"{self.root}/{name}/CURRENT-{v}")
+        draft = path(f"{self.root}/{name}/.draft-{v}")
+        out = fs.create(draft, True)
+        out.write(json.dumps(about).encode())
+        out.close()
+        if not fs.rename(draft, to):
+            raise OSError(f"version {v} of {name} could not be put in force")
+
+    def commit(self, name: str, df: DataFrame, by: tuple[str, ...] = (), about: dict | None = None) -> int:
         """Writes the next version and points to it; a failure before the last step leaves the old version in force."""
-        v = self.version(name) + 1
+        v = self._claim(name)
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*by) if by else writer).parquet(f"{self.root}/{name}/v{v}")
-        fs, path = self._fs()
-        fs.create(path(f"{self.root}/{name}/CURRENT-{v}"), True).close()
+        self._point(name, v, about or {})
         return v
 
+    def about(self, name: str, version: int | None = None) -> dict:
+        v = self.version(name) if version is None else version
+        fs, path = _fs(self.spark, self.root)
+        at = fs.open(path(f"{self.root}/{name}/CURRENT-{v}"))
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(at, "UTF-8")
+        at.close()
+        return json.loads(text or "{}")
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
         v = self.version(name) if version is None else version
         if v < 0:
@@ -77,3 +128,30 @@ class Store:
             return self.commit(name, rows)
         old = self.read(name)
         return self.commit(name, old.join(rows.select(key), key, "left_anti").unionByName(rows))
+
+    # --- arrays in blocks: a version's pointer says which version holds each block
+
+    def put_array(self, name: str, a: DataFrame, block: int) -> int:
+        """Commits an array (idx, val) in blocks of `block` elements."""
+        v = self._claim(name)
+        a.withColumn("block", block_of(F.col("idx"), block)).repartition("block").write.mode("overwrite").partitionBy("block").parquet(f"{self.root}/{name}/v{v}")
+        fs, path = _fs(self.spark, self.root)
+        found = [int(f.getPath().getName().rpartition("=")[2]) for f in fs.globStatus(path(f"{self.root}/{name}/v{v}/block=*"))]
+        self._point(name, v, {"block": block, "of": {b: v for b in found}})
+        return v
+
+    def block(self, name: str, number: int) -> DataFrame:
+        """One block's (idx, val); no other block's file is read."""
+        return self.spark.read.parquet(f"{self.root}/{name}/v{self.about(name)['of'][str(number)]}/block={number}")
+
+    def put_block(self, name: str, number: int, rows: DataFrame) -> int:
+        """Writes one block back as a new version; the others stay where they are."""
+        about, v = self.about(name), self._claim(name)
+        rows.select("idx", "val").write.mode("overwrite").parquet(f"{self.root}/{name}/v{v}/block={number}")
+        about["of"][str(number)] = v
+        self._point(name, v, about)
+        return v
+
+    def array(self, name: str) -> DataFrame:
+        """All blocks' (idx, val)."""
+        return self.spark.read.parquet(*[f"{self.root}/{name}/v{v}/block={b}" for b, v in self.about(name)["of"].items()]).select("idx", "val")

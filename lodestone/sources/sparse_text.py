@@ -17,26 +17,30 @@ PARSED = """
 def parse(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """The table with labels, features (array<struct<f, v>>) and n_rejected added; blank lines go.
 
-    A line is trimmed, then split at its first space, so a line without labels loses its first feature."""
-    clean = F.trim(F.regexp_replace(line_col, "[\\x00\\r]", ""))
-    cut = lines.withColumn("__line", clean).filter(F.col("__line") != "")
-    halves = cut.withColumns({"head": F.element_at(F.split("__line", " ", 2), 1), "tail": F.coalesce(F.try_element_at(F.split("__line", " ", 2), F.lit(2)), F.lit(""))})
-    out = halves.selectExpr(*[f"`{c}`" for c in lines.columns], *[x.strip() for x in _clauses()])
-    return out.withColumn("n_rejected", F.col("n_tokens") - F.size("labels") - F.size("features")).drop("n_tokens")
-
-
-def _clauses() -> list[str]:
-    return [x for x in PARSED.replace("\\\\", "\\\\").strip().split(",\n")]
+    A line is trimmed, then split at its first space, so a line without labels loses its first feature. Columns of the table
+    with the three names are replaced; all others pass, whatever their names."""
+    passed = [c for c in lines.columns if c not in ("labels", "features", "n_rejected")]
+    clean = F.trim(F.regexp_replace(f"`{line_col}`", "[\\x00\\r]", ""))
+    cut = lines.select(F.struct(*[F.col(f"`{c}`") for c in passed]).alias("row"), clean.alias("line")).filter(F.col("line") != "")
+    halves = cut.select("row", F.split("line", " ", 2).alias("halves")).select("row", F.col("halves")[0].alias("head"), F.coalesce(F.get("halves", F.lit(1)), F.lit("")).alias("tail"))
+    out = halves.selectExpr("row", *[x.strip() for x in PARSED.strip().split(",\n")])
+    return out.select(*[F.col("row")[c].alias(c) for c in passed], "labels", "features", (F.col("n_tokens") - F.size("labels") - F.size("features")).alias("n_rejected"))
 
 
 def read(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """(file, line_no, labels, features, n_rejected) of the files; the first line of each file is a header.
+    """(file, row_idx, labels, features, n_rejected) of the files; the first line of each file is a header.
 
-    Line numbers come from the order of each file's blocks; whole files are split, only the count of lines before a block is global."""
-    raw = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    first = raw.groupBy("file").agg(F.min("at").alias("first"))
-    kept = raw.join(first, "file").filter((F.col("at") != F.col("first")) | F.lit(not header))
-    return parse(kept.select("file", F.col("at").alias("line_no"), "value"))
+    row_idx is a record's place among those of all files, in order of file name. Lines are numbered within the blocks that Spark reads files
+    in (a window over one block each); only the number of records of each block is global, so one small table is joined."""
+    raw = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    inner = Window.partitionBy("file", "block").orderBy("at")
+    numbered = raw.withColumn("line", F.row_number().over(inner))
+    record = (F.trim(F.regexp_replace("value", "[\\x00\\r]", "")) != "") & ~(F.lit(header) & (F.col("block") == 0) & (F.col("line") == 1))
+    kept = numbered.filter(record).withColumn("place", F.row_number().over(inner) - 1)
+    sizes = kept.groupBy("file", "block").agg(F.count("*").alias("n"))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row for each block
+    placed = kept.join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("place")).cast("long").alias("row_idx"), "value")
+    return parse(placed).drop("value")
 
 
 def to_features(records: DataFrame, id_col: str = "record_id") -> DataFrame:
@@ -48,9 +52,16 @@ def to_targets(records: DataFrame, id_col: str = "record_id") -> DataFrame:
 
 
 def batches(rows: DataFrame, size: int, id_col: str = "record_id", drop_partial: bool = False) -> DataFrame:
-    """row_idx and batch_id in order of id. Rows are counted by ranges of the id first, so only one range is ever ordered at a time."""
-    width = 4096
-    ranged = rows.withColumn("__r", F.floor(F.col(id_col) / width))
+    """row_idx and batch_id in order of id, without a sort of all rows in one place.
+
+    Rows are dealt to ranges of the id (bounds from a sample, so sparse ids make no more ranges than dense ones), numbered within each range,
+    and the ranges' counts, as many as there are partitions, are added up."""
+    spark = rows.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shares = ",".join(f"{i / n:.9f}" for i in range(n))
+    bounds = sorted(set(rows.selectExpr(f"percentile_approx(`{id_col}`, array({shares})) as b").first().b or []))
+    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds[1:]]), lambda b: b <= F.col(id_col))) if len(bounds) > 1 else F.lit(0)
+    ranged = rows.withColumn("__r", place)
     sums = ranged.groupBy("__r").agg(F.count("*").alias("__n"))
     before = sums.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # a row for each range
     inner = F.row_number().over(Window.partitionBy("__r").orderBy(id_col)) - 1

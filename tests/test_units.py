@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -150,23 +151,162 @@ def test_gradient_matches_finite_difference(spark):
     assert (loss(up) - loss(w)) / 1e-4 == pytest.approx(g[1, 2], rel=1e-3, abs=1e-6)
 
 
-def test_learning_lowers_loss_and_stream_commits(spark, tmp_path):
-    c = config.Config(lr=0.05)
-    rows = [(i, [float(i % 2), float(1 - i % 2)], i % 2) for i in range(32)]
-    df = spark.createDataFrame(rows, "record_id long, vec array<double>, label long")
-    df.write.parquet(str(tmp_path / "in"))
+SMALL = config.Config(lr=0.05, sizes=(4, 2), input_dim=2, sparsity=(1.0, 1.0, 1.0, 1.0), batch_size=8, rehash=8, rebuild=16, k=(2, 2), l=(3, 3), range_pow=(4, 4))
 
-    def prepare(d):
-        x = d.select("record_id", F.posexplode("vec").alias("f", "v")).withColumn("f", F.col("f").cast("long"))
-        return x, d.select("record_id", "label")
 
-    net = model.Network(spark, c, 2, 4, 2)
-    losses = [net.step(*prepare(df), 32).first().loss for _ in range(3)]
-    assert losses[-1] < losses[0]
+def small(spark, n=32):
+    df = spark.createDataFrame([(i, [float(i % 2), float(1 - i % 2)], i % 2) for i in range(n)], "record_id long, vec array<double>, label long")
+    return df, (lambda d: (d.select("record_id", F.posexplode("vec").alias("f", "v")).withColumn("f", F.col("f").cast("long")), d.select("record_id", "label"), d.select("record_id")))
+
+
+def values(net):
+    return {(r.layer, r.node, r.f): (round(r.w, 12), round(r.m, 12), round(r.v, 14)) for r in net.table.collect()}
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Three micro-batches in one run, and with a new network after each: the same parameters. A replayed batch changes nothing."""
+    df, prepare = small(spark)
     store = params.Store(spark, str(tmp_path / "store"))
-    q = trainer.train_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), net, prepare, store, str(tmp_path / "cp"))
-    q.awaitTermination()
-    assert store.version("w1") == 0 and store.read("loss").first().n == 32
+    once = model.Network(spark, SMALL)
+    for k in range(3):
+        part = df.filter(F.col("record_id") % 3 == k)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        once.step(*prepare(part), part.count())
+        net = model.Network(spark, SMALL)  # as after a restart: its own parameters are the initial ones
+        trainer.train_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), net, prepare, store, str(tmp_path / "cp")).awaitTermination()
+    assert values(net) == values(once) and store.version("network") == 2 and store.about("network")["batch_id"] == 2
+    (tmp_path / "again").mkdir()
+    df.filter("record_id < 3").write.mode("append").parquet(str(tmp_path / "again"))
+    trainer.train_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "again")), net, prepare, store, str(tmp_path / "cp2")).awaitTermination()
+    assert store.version("network") == 2  # micro-batch 0 has been applied
+    df.filter("record_id < 0").write.parquet(str(tmp_path / "empty"))
+    trainer.train_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "empty")), net, prepare, params.Store(spark, str(tmp_path / "store2")), str(tmp_path / "cp3")).awaitTermination()
+    assert params.Store(spark, str(tmp_path / "store2")).version("network") == -1
+
+
+def test_load_resumes(spark, tmp_path):
+    df, prepare = small(spark, 8)
+    store, net = params.Store(spark, str(tmp_path)), model.Network(spark, SMALL)
+    first = net.step(*prepare(df), 8).first().loss
+    net.save(store)
+    assert net.step(*prepare(df), 8).first().loss < first
+    other = model.Network(spark, SMALL)
+    other.load(store)
+    other.step(*prepare(df), 8)
+    assert values(other) == values(net) and other.steps == 2
+    net.replace(1, spark.createDataFrame([(0, 1, 9.0), (1, -1, 8.0)], "node long, f long, w double"))
+    got = values(net)
+    assert got[1, 0, 1] == (9.0, 0, 0) and got[1, 1, -1] == (8.0, 0, 0) and len(got) == len(values(other))
+
+
+@pytest.mark.parametrize("family,mode,fifo", [("dwta", 1, True), ("wta", 4, False), ("minhash", 4, True), ("srp", 1, False), ("dwta", 2, True), ("dwta", 3, True)])
+def test_configuration_decides(spark, family, mode, fifo):
+    """Three layers with every hash family and mode; labels are among the active nodes, predictions only where asked for."""
+    c = replace(SMALL, sizes=(6, 5, 8), num_layer=3, k=(2, 2, 2), l=(3, 3, 3), range_pow=(4, 4, 4), sparsity=(1.0, 1.0, 0.5, 1.0, 1.0, 0.5), family=family, mode=mode, fifo=fifo, adam=mode != 2)
+    df, prepare = small(spark, 6)
+    x, y, records = prepare(df.withColumn("label", F.col("label") + 5))
+    net = model.Network(spark, c, seed=3)
+    acts, z = net.forward(x, records, y, True)
+    active = {(r.record_id, r.node) for r in z.collect()}
+    assert {(r.record_id, r.label) for r in y.collect()} <= active and len(acts) == 3
+    per = [sum(1 for i, _ in active if i == k) for k in range(6)]
+    assert per == [4] * 6 if mode in (2, 3) else per == [8] * 6 if mode == 4 else max(per) <= 8
+    before = values(net)
+    assert net.step(x, y, records, 6).first().n == 6 and values(net) != before
+    assert net.predict(x, records).count() == net.predict(x, records, y).count() == 6
+
+
+def test_a_layer_without_a_mode_has_no_active_node(spark):
+    df, prepare = small(spark, 4)
+    net = model.Network(spark, replace(SMALL, mode=2, sparsity=(0.5, 1.0, 1.0, 1.0)))
+    x, y, records = prepare(df)
+    assert net.active(0, x, records, y, True).count() == 0 and net.active(1, x, records, y, True) is None
+
+
+def test_training_follows_the_schedule(spark):
+    df, prepare = small(spark, 20)
+    net = model.Network(spark, replace(SMALL, sparsity=(1.0, 0.5, 1.0, 1.0), rehash=16, rebuild=24, step_size=3))
+    calls, rehash = [], net.rehash
+    net.rehash = lambda: (calls.append(net.steps), rehash())
+    x, y, records = prepare(df)
+    out = model.train(net, x, y, records, epochs=2, test=(x, y, records))
+    # 20 records make two whole batches of 8; hashed at first need, then after iterations 1 and 3 (every second, phase 1) and 1 (every third, phase 1)
+    assert [(m["iter"], m["kind"], m["n"]) for m in out] == [(0, "eval", 20), (0, "train", 8), (1, "train", 8), (1, "eval", 20), (2, "train", 8), (3, "eval", 20), (3, "train", 8), (3, "eval", 20)]
+    assert calls == [0, 2, 4]
+
+
+def test_a_record_without_features_has_the_bias(spark):
+    w, b = model.layer(spark, 0, 3, 4)
+    x = spark.createDataFrame([(1, 0, 1.0), (2, 77, 1.0)], "record_id long, f long, v double")
+    records = spark.createDataFrame([(1,), (2,), (3,)], "record_id long")
+    got = {(r.record_id, r.node): r.z for r in network.preactivation(x, w, b, records=records).collect()}
+    bias = {r.node: r.b for r in b.collect()}
+    assert len(got) == 9 and all(got[i, n] == pytest.approx(bias[n]) for i in (2, 3) for n in range(3))
+
+
+def test_gaussian(spark):
+    r = model.gaussian(spark, 100, 100, seed=1).agg(F.avg("w").alias("m"), F.stddev("w").alias("s"), F.countDistinct("node", "f").alias("n")).first()
+    assert abs(r.m) < 1e-3 and abs(r.s - 0.01) < 1e-3 and r.n == 10_000
+
+
+def test_murmur_column(spark):
+    data = [b"", b"a", b"ab", b"abc", b"abcd", b"hello, world", b"The quick brown fox!", bytes(range(256)), None]
+    df = spark.createDataFrame(list(enumerate(data)), "i int, v binary")
+    for seed in (0, 42, 0x9747B28C):
+        got = [r.h for r in df.select("i", hashing.murmur3_column(F.col("v"), seed).alias("h")).orderBy("i").collect()]
+        assert got == [None if v is None else hashing.murmur3(v, seed) for v in data]
+
+
+def test_arrays_keep_every_type(spark, tmp_path):
+    arrays.register(spark)
+    made = {"c": np.array([1 + 2j, -3.5j]), "i": np.array([[2**53 + 1, -(2**62)]]), "u": np.array([2**64 - 1], np.uint64), "e": np.empty((0, 3), "<f4"), "b": np.array([True, False]), "g": np.arange(6, dtype=">i2").reshape(2, 3), "f": np.asfortranarray(np.arange(6.0).reshape(2, 3))}
+    for k, a in made.items():
+        arrays.save_npz(str(tmp_path / "x.npz"), k, a, append=k != "c")
+    df = spark.read.format("npz").load(str(tmp_path / "x.npz"))
+    for kind in ("npy", "npz"):
+        df.coalesce(1).write.format(kind).mode("overwrite").save(str(tmp_path / kind))
+        df.coalesce(1).write.format(kind).mode("overwrite").save(str(tmp_path / kind))
+        back = {r.name: arrays.array_of(r.asDict()) for r in spark.read.format(kind).load(str(tmp_path / kind)).collect()}
+        assert set(back) == set(made) and all(back[k].dtype == a.dtype and back[k].shape == a.shape and (back[k] == a).all() for k, a in made.items())
+        assert not list((tmp_path / kind).glob(".*.draft"))
+    assert len(list((tmp_path / "npz").glob("*.npz"))) == 1
+    head = arrays.header(np.zeros(3, "<f4"))
+    assert head[:8] == b"\x93NUMPY\x01\x00" and len(head) % 16 == 0 and b"'shape': (3,)" in head
+
+
+def test_store_versions(spark, tmp_path):
+    store = params.Store(spark, str(tmp_path))
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "CLAIM-0").touch()  # another writer is at version 0
+    assert store.version("t") == -1 and store.commit("t", spark.range(3), about={"x": 1}) == 1
+    assert store.about("t") == {"x": 1} and store.read("t").count() == 3 and store.version("t") == 1
+    assert store.put_array("a", spark.range(10).select(F.col("id").alias("idx"), F.col("id").alias("val")), 4) == 0
+    assert store.put_block("a", 2, spark.createDataFrame([(8, 80), (9, 90)], "idx long, val long")) == 1
+    assert {r.idx: r.val for r in store.array("a").collect()} == {i: i if i < 8 else 10 * i for i in range(10)}
+    assert [r.val for r in store.block("a", 2).orderBy("idx").collect()] == [80, 90] and store.about("a", 0)["of"]["2"] == 0
+
+
+def test_batches_of_sparse_ids(spark):
+    ids = [i * 10**12 - 5 * 10**15 for i in range(1000)]
+    got = sparse_text.batches(spark.createDataFrame([(i,) for i in ids], "record_id long"), 128, drop_partial=True).collect()
+    assert sorted((r.record_id, r.row_idx, r.batch_id) for r in got) == [(v, i, i // 128) for i, v in enumerate(ids[:896])]
+    assert sparse_text.batches(spark.createDataFrame([], "record_id long"), 128).count() == 0
+
+
+def test_text_rows(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("2 9 3\n1 2:3\n\n0 1:1\n")
+    (tmp_path / "b.txt").write_text("\n5 1:1\n")  # a blank header is one too
+    got = sparse_text.read(spark, str(tmp_path / "*.txt")).collect()
+    assert sorted((r.row_idx, r.labels[0]) for r in got) == [(0, 1), (1, 0), (2, 5)]
+    odd = spark.createDataFrame([("1 2:3", 7, "x")], "value string, head int, tail string")
+    r = sparse_text.parse(odd).first()
+    assert (r.head, r.tail, r.labels) == (7, "x", [1])
+
+
+def test_command_line():
+    n, c = config.command_line(["w3", "test.txt", "train.txt"])
+    assert (n, c.test_data, c.train_data) == (2, "test.txt", "train.txt") and config.command_line(["w1"])[1] == config.Config()
+    assert config.LARGE.validated().sizes[-1] == 13330
 
 
 def test_step_size():
