@@ -5,6 +5,7 @@ quantity / 50, label supplier mod 50."""
 
 from __future__ import annotations
 
+import ast
 import os
 from collections.abc import Callable
 from dataclasses import replace
@@ -222,6 +223,64 @@ def array_block_write_back(s: SparkSession, d: str) -> DataFrame:
     return store.array("a")
 
 
+PRESETS = (("default", config.Config()), ("large", config.LARGE))
+
+
+def preset_row(name: str, c: config.Config) -> tuple:
+    return (name, c.input_dim, c.tot_records, c.tot_records_test, c.batch_size, c.rehash, c.rebuild, c.epoch, c.step_size, c.lr, ",".join(map(str, c.sizes)), ",".join(map(str, c.k)), ",".join(map(str, c.l)), ",".join(map(str, c.range_pow)))
+
+
+# The two workloads' shapes.
+@query(
+    "SELECT name, input_dim::BIGINT AS input_dim, records::BIGINT AS records, test_records::BIGINT AS test_records, 128::BIGINT AS batch, 6400::BIGINT AS rehash, 128000::BIGINT AS rebuild, 10::BIGINT AS epoch, 1000::BIGINT AS step_size, 1e-4::DOUBLE AS lr, sizes, '2,6' AS k, '20,50' AS l, '6,18' AS range_pow "
+    "FROM (VALUES ('default', 5000, 15539, 3809, '128,3993'), ('large', 203882, 1186239, 153025, '128,13330')) AS t(name, input_dim, records, test_records, sizes)"
+)
+def config_presets(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([preset_row(n, c) for n, c in PRESETS], "name string, input_dim long, records long, test_records long, batch long, rehash long, rebuild long, epoch long, step_size long, lr double, sizes string, k string, l string, range_pow string")
+
+
+@query("SELECT * FROM (VALUES ('w1', 0::BIGINT, 'a', 'b'), ('w12', 11::BIGINT, 'a', '')) AS t(name, worker, test_data, train_data)")
+def command_line(s: SparkSession, d: str) -> DataFrame:
+    got = [(a[0], *config.command_line(a)) for a in (["w1", "a", "b"], ["w12", "a"])]
+    return s.createDataFrame([(a, n, c.test_data, c.train_data) for a, n, c in got], "name string, worker long, test_data string, train_data string")
+
+
+@query("SELECT 'z' AS name, 1000::BIGINT AS n, '<i4' AS dtype, 0.0::DOUBLE AS first_value, 999.0::DOUBLE AS last_value")
+def npz_deflated(s: SparkSession, d: str) -> DataFrame:
+    """A compressed archive is read like a stored one."""
+    arrays.register(s)
+    where = arrays.local(params.scratch(s, "npz"))
+    os.makedirs(where)
+    np.savez_compressed(f"{where}/x.npz", z=np.arange(1000, dtype="<i4"))
+    return _arrays(s.read.format("npz").load(f"{where}/x.npz"))
+
+
+@query("SELECT * FROM (VALUES ('<f4', '(3,)', 1::BIGINT), ('<i8', '(2, 3)', 1::BIGINT)) AS t(dtype, shape, version)")
+def npy_header(s: SparkSession, d: str) -> DataFrame:
+    """What a header says, read back from its bytes."""
+    rows = []
+    for a in (np.zeros(3, "<f4"), np.zeros((2, 3), "<i8")):
+        head = arrays.header(a)
+        about = ast.literal_eval(head[10:].decode("latin1"))
+        rows.append((about["descr"], str(about["shape"]), head[6]))
+    return s.createDataFrame(rows, "dtype string, shape string, version long")
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, vec_id AS idx, vec_id * 3 AS val FROM embeddings")
+def array_iterator(s: SparkSession, d: str) -> DataFrame:
+    """Elements in order of index, from a cached array that is dropped afterwards."""
+    a = table(s, d, "embeddings").select(F.col("vec_id").alias("idx"), (F.col("vec_id") * 3).alias("val")).persist()
+    ordered = model.kept(sparse_text.batches(a, BATCH, "idx").select(F.col("row_idx").alias("place"), "idx", "val"))
+    a.unpersist()
+    return ordered
+
+
+@query(f"WITH {BATCHED} SELECT record_id, batch_id FROM bb WHERE batch_id < (SELECT count(*) FROM bb) // 128")
+def batch_whole(s: SparkSession, d: str) -> DataFrame:
+    """The batches that are trained on: what is left over makes none."""
+    return sparse_text.batches(table(s, d, "lineitem").select(F.col("l_orderkey").alias("record_id")).distinct(), BATCH, drop_partial=True).select("record_id", "batch_id")
+
+
 # --- hashes --------------------------------------------------------------------------------------------------------
 
 
@@ -327,6 +386,66 @@ def lsh_address_minhash(s: SparkSession, d: str) -> DataFrame:
     return hashing.address_minhash(hashing.densified(hashing.minhash(sparse(s, d), H, 9, None), H), K, L, 9)
 
 
+@query(f"WITH {oracle.bins(H, 9, 500)} SELECT f, bin FROM mb")
+def minhash_map(s: SparkSession, d: str) -> DataFrame:
+    return s.range(500).select(F.col("id").alias("f"), hashing.minhash_bins(F.col("id"), H, 9).alias("bin"))
+
+
+TOPH = f"WITH {oracle.EMB}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, f) AS r FROM emb), {oracle.bins(H, 9, 64)}, mh AS (SELECT id, bin, max(t.f) AS h FROM t JOIN mb ON t.f = mb.f WHERE r <= 30 GROUP BY ALL)"
+
+
+@query(f"{TOPH}, {oracle.probes(H)}, {oracle.densified('mh', H)} SELECT id, bin, h FROM den")
+def minhash_topk_densified(s: SparkSession, d: str) -> DataFrame:
+    return hashing.densified(hashing.minhash(dense(s, d), H, 9), H)
+
+
+WEIGHTS = f"WITH {oracle.layer('n', 2, NODES, 64)}, emb AS (SELECT node AS id, f, w AS v FROM nw)"
+
+
+def node_rows(s: SparkSession) -> DataFrame:
+    """The stored weights of a layer as vectors, one of each node."""
+    return model.layer(s, 2, NODES, 64)[0].select(F.col("node").alias("id"), "f", F.col("w").alias("v"))
+
+
+@query(f"{WEIGHTS}, {TOPH[TOPH.index('t AS'):]}, {oracle.probes(H)}, {oracle.densified('mh', H)} SELECT id, bin, h FROM den")
+def minhash_weights(s: SparkSession, d: str) -> DataFrame:
+    return hashing.densified(hashing.minhash(node_rows(s), H, 9), H)
+
+
+SRPD = f"{oracle.srp(64, H)}, ss AS (SELECT x.id, g.bin, sum(g.sign * x.v) AS s FROM emb x JOIN sg g ON x.f = g.f GROUP BY ALL), sr AS (SELECT id, bin, CAST(CASE WHEN round(s, 12) >= 0 THEN 0 ELSE 1 END AS BIGINT) AS h FROM ss)"
+
+
+@query(f"WITH {oracle.EMB}, {SRPD} SELECT id, bin, h FROM sr")
+def srp_dense(s: SparkSession, d: str) -> DataFrame:
+    x = dense(s, d)
+    return hashing.srp(x, hashing.srp_layout(s, 64, H), x.select("id").distinct(), H)
+
+
+@query(f"{WEIGHTS}, {SRPD} SELECT id, bin, h FROM sr")
+def srp_weights(s: SparkSession, d: str) -> DataFrame:
+    return hashing.srp(node_rows(s), hashing.srp_layout(s, 64, H), s.range(NODES), H)
+
+
+@query("SELECT i AS slot, ((i * 2654435761 + 33111) % 1073741823) * 2 + 1 AS multiplier FROM range(40) AS t(i)")
+def minhash_multipliers(s: SparkSession, d: str) -> DataFrame:
+    return s.range(H).select(F.col("id").alias("slot"), hashing.multiplier(F.col("id")).alias("multiplier"))
+
+
+@query(
+    f"{DEN}, {oracle.probes(H)}, {oracle.densified('sig', H)}, {oracle.address('den', K, L)}, wsig AS (SELECT id, bin, f % 8 AS h FROM win), {oracle.densified('wsig', H, 'wden')}, {oracle.address('wden', K, L, name='wadr')}, {SRPD}, {oracle.address('sr', K, L, 1, 'sadr')}, {TOPH[TOPH.index('t AS'):]}, {oracle.densified('mh', H, 'mden')}, "
+    f"madr AS (SELECT id, bin // 2 AS tbl, CAST(sum(((((bin * 2654435761 + 33111) % 1073741823) * 2 + 1) * (h + 1)) % 4294967296) % 4294967296 % 512 AS BIGINT) AS bucket FROM mden GROUP BY ALL) "
+    "SELECT 'dwta' AS family, id, tbl, bucket FROM adr UNION ALL SELECT 'wta', id, tbl, bucket FROM wadr UNION ALL SELECT 'srp', id, tbl, bucket FROM sadr UNION ALL SELECT 'minhash', id, tbl, bucket FROM madr"
+)
+def family_addresses(s: SparkSession, d: str) -> DataFrame:
+    """Where each hash family puts the same activations."""
+    x = model.kept(dense(s, d))
+    ids, out = x.select("id").distinct(), None
+    for family in config.FAMILIES:
+        a = hashing.addresses(family, x, ids, 64, K, L, 9).select(F.lit(family).alias("family"), "id", "tbl", "bucket")
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
 # --- tables --------------------------------------------------------------------------------------------------------
 
 ADR = f"{DEN}, {oracle.probes(H)}, {oracle.densified('sig', H)}, {oracle.address('den', K, L)}"
@@ -419,6 +538,19 @@ def select_topk(s: SparkSession, d: str) -> DataFrame:
     return selection.topk(network.preactivation(dense(s, d, "record_id"), w, b), labels(s, d), 10)
 
 
+@query("SELECT g AS generation, i AS node, row_number() OVER (PARTITION BY g ORDER BY (i * 2654435761 + 1234 + g) % 2147483647, i) - 1 AS pos FROM range(2) AS t(g), range(200) AS u(i)")
+def node_permutations(s: SparkSession, d: str) -> DataFrame:
+    """The order of a layer's nodes, before and after a reshuffle."""
+    both = [selection.permutation(nodes(s), NODES, selection.SEED + g).select(F.lit(g).cast("long").alias("generation"), "node", "pos") for g in (0, 1)]
+    return both[0].unionByName(both[1])
+
+
+@query("SELECT count(*) FILTER (false) AS n FROM embeddings")
+def select_nothing(s: SparkSession, d: str) -> DataFrame:
+    """A mode that doesn't apply to a layer leaves it without active nodes."""
+    return selection.nothing(selection.dense(labels(s, d), nodes(s))).agg(F.count("*").alias("n"))
+
+
 # --- forward, loss, gradients, updates -----------------------------------------------------------------------------
 
 TWO = f"WITH {oracle.two_layers()}"
@@ -565,6 +697,51 @@ def schedule_flags(s: SparkSession, d: str) -> DataFrame:
     return config.schedule(s, 1210, 121, config.Config())
 
 
+LAYERS = ((0, 12, 64), (1, 8, 12), (2, 10, 8))
+STATE = " UNION ALL ".join(f"SELECT {n}::BIGINT AS layer, count(*) AS n, round(sum(w), 9) AS total FROM (SELECT w FROM l{n}w UNION ALL SELECT b FROM l{n}b)" for n, _, _ in LAYERS)
+
+
+def three_layers(s: SparkSession) -> model.Network:
+    return model.Network(s, config.Config(num_layer=3, sizes=(12, 8, 10), input_dim=64, k=(2, 2, 2), l=(2, 2, 2), range_pow=(6, 6, 6), sparsity=(1.0,) * 6))
+
+
+def state(net: model.Network) -> DataFrame:
+    return net.table.groupBy(F.col("layer").cast("long").alias("layer")).agg(F.count("*").alias("n"), F.round(F.sum("w"), 9).alias("total"))
+
+
+@query(f"WITH {', '.join(oracle.layer(f'l{n}', n, a, b) for n, a, b in LAYERS)} {STATE}")
+def network_init(s: SparkSession, d: str) -> DataFrame:
+    """Three layers, each over the nodes of the one before it."""
+    return state(three_layers(s))
+
+
+@query(f"WITH {', '.join(oracle.layer(f'l{n}', n, a, b) for n, a, b in LAYERS)} SELECT layer, n, CASE WHEN layer = 1 THEN round(total + 1.0 - (SELECT w FROM l1w WHERE node = 3 AND f = 5), 9) ELSE total END AS total FROM ({STATE})")
+def network_save_load(s: SparkSession, d: str) -> DataFrame:
+    """One weight put over, all saved as a version and loaded into another network."""
+    store, net = params.Store(s, params.scratch(s, "store")), three_layers(s)
+    net.replace(1, s.createDataFrame([(3, 5, 1.0)], "node long, f long, w double"))
+    net.save(store)
+    other = three_layers(s)
+    other.load(store)
+    return state(other)
+
+
+@query("SELECT 20000::BIGINT AS n, true AS centred, true AS spread")
+def gaussian_init(s: SparkSession, d: str) -> DataFrame:
+    """Weights drawn from N(0, 0.01): their number, and whether mean and deviation are near."""
+    g = model.gaussian(s, 200, 100, seed=5).agg(F.count("*").alias("n"), F.avg("w").alias("mean"), F.stddev("w").alias("sd"))
+    return g.select("n", (F.abs("mean") < 5e-4).alias("centred"), (F.abs(F.col("sd") - 0.01) < 5e-4).alias("spread"))
+
+
+@query("WITH c AS (SELECT count(*) AS n, count(*) // 128 AS b FROM embeddings), t AS (SELECT i FROM range(1000) AS r(i), c WHERE i < b) SELECT i AS iter, 'train' AS kind, 128::BIGINT AS n FROM t UNION ALL SELECT i, 'eval', least(20 * 128, c.n) FROM t, c WHERE i % 2 = 0 UNION ALL SELECT b - 1, 'eval', n FROM c")
+def evaluation_schedule(s: SparkSession, d: str) -> DataFrame:
+    """When an epoch evaluates, on how many records: every second iteration here, and at its end on all."""
+    net = model.Network(s, replace(TRAIN, step_size=2))
+    x, y = model.kept(dense(s, d, "record_id")), labels(s, d)
+    out = model.train(net, x, y, y, test=(x, y, y))
+    return s.createDataFrame([(m["iter"], m["kind"], m["n"]) for m in out], "iter long, kind string, n long")
+
+
 TRAIN = config.Config(lr=0.01, batch_size=BATCH, k=(2, 2), l=(4, 4), range_pow=(6, 6), sizes=(16, 10), input_dim=64, sparsity=(1.0, 1.0, 1.0, 1.0), epoch=1)
 STEPS = 16  # batches that the SQL covers; one without records changes nothing that counts
 
