@@ -185,11 +185,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(node, root) for every node of an undirected edge table (a, b): root is the smallest node it can reach.
 
     Alternates large-star and small-star steps (Kiveris and others, 2014). Every step is a minimum with map-side
-    combining and an equi-join whose large keys Spark may split, so no neighbour list is ever held together."""
+    combining and an equi-join whose large keys Spark may split, so no neighbour list is ever held together. Each round shortens every
+    path, so a few dozen rounds settle the longest ones; `rounds` is only a guard against a table that changes while it is read.
+
+    Defined results. Links with a null end and of a node with itself are left out, repeated ones count once; an empty table
+    gives no rows; columns other than a and b are not read."""
     spark = edges.sparkSession
 
     def star(both: DataFrame, large: bool) -> DataFrame:

@@ -153,7 +153,7 @@ def test_op3(spark):
     x[100:180] = x[:80] + rng.normal(size=(80, 24)) * 0.22
     x[180:230] = x[0] + rng.normal(size=(50, 24)) * 0.05
     x[230:240] = x[7]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(300, None), (301, [0.0] * 24), (302, [float("nan")] * 24), (303, [1.0, 2.0]), (304, [2.0, 4.0]), (None, [1.0, 2.0]), (305, [])]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(300, None), (301, [0.0] * 24), (302, [float("nan")] * 24), (303, [1.0, 2.0]), (304, [2.0, 4.0]), (None, [1.0, 2.0]), (305, []), (306, [1.0, None]), (307, [float("inf"), 1.0]), (308, None)]
     df = spark.createDataFrame([(a, b, 1, 2) for a, b in rows], "vec_id long, embedding array<double>, uid long, v int")
     got = {r.vec_id: r for r in subspace.near_duplicates(df, chunk=32).collect()}
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -162,6 +162,7 @@ def test_op3(spark):
     assert [got[i].n_links for i in range(300)] == (hit.sum(axis=1) - 1).tolist()
     assert [got[i].component_id for i in range(300)] == root
     assert (got[303].n_links, got[304].component_id, got[300].n_links, got[305].n_links) == (1, 303, 0, 0)
+    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (300, 301, 302, 305, 306, 307, 308))
     assert subspace.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -358,7 +359,8 @@ def test_crowded_buckets_lose_no_link(spark):
 def test_components(spark):
     rng = np.random.default_rng(7)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)]
-    got = {r.node: r.root for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    odd = [(None, 1, 0), (2, None, 0), (7, 7, 0), pairs[0] + (1,)]
+    got = {r.node: r.root for r in common.components(spark.createDataFrame([(a, b, 0) for a, b in pairs] + odd, "a long, b long, node int")).collect()}
     root = classes(1061, pairs)
     assert all(got[n] == root[n] for p in pairs if p[0] != p[1] for n in p)
 
