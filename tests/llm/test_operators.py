@@ -528,7 +528,55 @@ def test_op10(docs, edges, nothing):
     assert lm.score(edges).count() == edges.count() and lm.score(nothing).count() == 0
 
 
+@pytest.mark.parametrize(("shared", "tokens_a_range"), [(lm.SHARED, lm.RANGE), (2.0**-13, 1 << 10)])
+def test_op10_against_brute_force(docs, shared, tokens_a_range):
+    """The score of every text, and weights that make held-out pairs as likely as those of a plain EM over each pair; the second case sends nearly all pairs and many words to their ranges."""
+    rows = docs.collect()
+    part = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 10 for r in rows}
+    tokens = {r.doc_id: [*words(r.text), None] for r in rows}
+    count = {k: collections.Counter(w for r in rows if part[r.doc_id] and (k or part[r.doc_id] > 1) for w in tokens[r.doc_id]) for k in (False, True)}
+    n = sum(count[True].values())
+    own = {w for w, c in count[True].items() if c >= max(1, shared * n)} | {None}
+    seq = {i: [w if w in own else 0 for w in ts] for i, ts in tokens.items()}
+    size = len(own) + 1
+    pair, single = {}, {}
+    for k in (False, True):
+        use = [r.doc_id for r in rows if part[r.doc_id] and (k or part[r.doc_id] > 1)]
+        pair[k] = collections.Counter(p for i in use for p in zip([None, *seq[i][:-1]], seq[i], strict=True))
+        single[k] = collections.Counter(g for i in use for g in seq[i])
+    m, _, ranges = lm.fit(docs.select("doc_id", "text"), shared, tokens_a_range)
+    assert (ranges > 8) == (shared > lm.SHARED) and m.weights.sum(axis=1) == pytest.approx(1)
+    bucket = lambda g: int(math.log2(max(1, single[False][g])))
+    events = collections.defaultdict(list)
+    for i in (i for i in part if part[i] == 1):
+        for h, g in zip([None, *seq[i][:-1]], seq[i], strict=True):
+            events[bucket(h)].append((pair[False][h, g] / max(1, single[False][h]), single[False][g] / sum(single[False].values()), 1 / size))
+    for b, e in events.items():
+        chances = np.array(e).T
+        likely = [np.log(w @ chances).mean() for w in (m.weights[b], lm.learned(chances, np.ones(len(e))))]
+        assert likely[0] == pytest.approx(likely[1], abs=0.01)  # the weights themselves are free where two components are alike
+    for g in lm.score(docs, shared=shared, tokens_a_range=tokens_a_range).collect():
+        want = 0.0
+        for h, c, w in zip([None, *seq[g.doc_id][:-1]], seq[g.doc_id], tokens[g.doc_id], strict=True):
+            l2, l1, l0 = m.weights[bucket(h)]
+            at = single[True][h]
+            p = l2 * pair[True][h, c] / at + l1 * single[True][c] / n + l0 / size if at else (l1 * single[True][c] / n + l0 / size) / (l1 + l0)
+            want += math.log10(p) + (math.log10(m.m0 * count[True][w] + m.m1) if c == 0 else 0)
+        assert g.score == pytest.approx(want, rel=1e-9)
+
+
 def test_mixture_weights():
     assert lm.learned(np.array([[0.9, 0.9], [0.1, 0.1]]), np.array([5.0, 5.0]))[0] > 0.99
-    logs, _ = lm.interpolated(np.array([[5, 1], [2, 2]]), np.array([[1, 1], [1, 0]]))
-    assert np.allclose((10**logs).sum(axis=1), 1)
+
+
+def test_op10_blocks():
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 1 << 21, 5000)
+    keys = lm.pair_keys(g, 7)
+    h, back = lm.pair_classes(keys)
+    assert np.array_equal(back, g) and np.array_equal(h, [7, *g[:-1]])
+    for kind, k in ((lm.PAIRS, keys), (lm.WORDS, rng.integers(0, 1 << 64, 5000, np.uint64))):
+        got = [(r, lm.unpacked(blob, n, 2)) for r, _, n, blob in lm.blocks(kind, k, 16, np.arange(5000))]
+        assert [r for r, _ in got] == list(range(16))
+        table = np.concatenate([t for _, t in got], axis=1)
+        assert np.array_equal(table[0], np.sort(k)) and np.array_equal(k[table[1].astype(int)], table[0])
