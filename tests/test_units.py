@@ -155,7 +155,8 @@ SMALL = config.Config(lr=0.05, sizes=(4, 2), input_dim=2, sparsity=(1.0, 1.0, 1.
 
 
 def small(spark, n=32):
-    df = spark.createDataFrame([(i, [float(i % 2), float(1 - i % 2)], i % 2) for i in range(n)], "record_id long, vec array<double>, label long")
+    i = F.col("id") % 2
+    df = spark.range(n).select(F.col("id").alias("record_id"), F.array(i.cast("double"), (1 - i).cast("double")).alias("vec"), i.alias("label"))
     return df, (lambda d: (d.select("record_id", F.posexplode("vec").alias("f", "v")).withColumn("f", F.col("f").cast("long")), d.select("record_id", "label"), d.select("record_id")))
 
 
