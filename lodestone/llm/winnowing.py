@@ -6,16 +6,17 @@ gives both a common hash, and the kept positions say where.
 
 Defined results. A null text counts as empty; an empty text has an empty fingerprint. A text of fewer than k code points
 has one gram, itself. Two empty fingerprints have likeness 1, an empty and another 0. Rows with equal doc_id are ordered
-by a hash of their text, null ids come before all others; an empty table gives no rows. Other columns are not read."""
+by a hash of their text, null ids come before all others, and an id of many rows is spread over many ranges by
+that hash (copies of one text under one id stay together, and stream past); an empty table gives no rows. Other columns are not read."""
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,31 +79,60 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 _LEAST = -(1 << 63)
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every text (compressed) in one of many id ranges, each range followed by the first text of the next one.
+def range_bounds(src: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k, tie, hot) of the first row of each of about n ranges of (k, tie), in order; where an id is not hot its tie is the least number.
 
-    The range bounds are ids that occur, so a range begins with its bound, and the rows of that id alone go to two ranges.
-    One shuffle of compressed texts; only the bounds, as many as four times the partitions, reach the driver."""
-    src = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    n = 4 * common.partitions(df.sparkSession)
+    Bounds are quantiles of k. An id that holds several of them (rows without an id are one) is hot: it is cut by its ties, which are hashes,
+    into as many ranges, each of which begins with a tie that occurs."""
     shares = ",".join(f"{i / n:.9f}" for i in range(n))
     found = src.selectExpr(f"percentile_approx(k, array({shares}), {max(10_000, 50 * n)}) as b", "min(k) as low").first()
-    bounds = np.array(sorted({found.low, *(x for x in found.b or [] if x >= found.low)}), np.int64) if found.low is not None else np.array([_LEAST], np.int64)
+    if found.low is None:
+        return np.array([_LEAST], np.int64), np.array([_LEAST], np.int64), np.zeros(1, bool)
+    times = Counter(x for x in found.b if x >= found.low)
+    times[found.low] += 0
+    hot = {k: m for k, m in times.items() if m > 2}
+    bounds = [(k, _LEAST, False) for k in times if k not in hot]
+    if hot:
+        cuts = F.create_map(*[F.lit(x) for k, m in hot.items() for x in (k, m)])
+        part = F.floor((F.shiftright("tie", 32) + F.lit(1 << 31)) * cuts[F.col("k")] / F.lit(1 << 32))
+        bounds += [(r.k, r.tie, True) for r in src.filter(F.col("k").isin(list(hot))).groupBy("k", part.alias("part")).agg(F.min("tie").alias("tie")).collect()]  # n rows at most
+    bounds.sort()
+    return np.array([x[0] for x in bounds], np.int64), np.array([x[1] for x in bounds], np.int64), np.array([x[2] for x in bounds], bool)
+
+
+def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every text (compressed) in one of many ranges of id and hash of text, each range followed by the first text of the next one.
+
+    Every range begins with its bound, so the rows of that bound alone go to two ranges: of a hot id, one of them for each batch.
+    One shuffle of compressed texts; only the bounds, about four times the partitions, reach the driver."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    src = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("k"), F.xxhash64(text).alias("tie"), F.col(id_col).cast("long").alias("id"), text.alias("t"))
+    bk, bt, hot = range_bounds(src, 4 * common.partitions(df.sparkSession))
+
+    def homes(k: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """The last bound at or before each row."""
+        home = np.searchsorted(bk, k, "right") - 1
+        for x in np.unique(k[hot[home] & (bk[home] == k)]):
+            lo, hi = np.searchsorted(bk, x, "left"), np.searchsorted(bk, x, "right")
+            mine = np.flatnonzero(k == x)
+            home[mine] = lo + np.searchsorted(bt[lo:hi], tie[mine], "right") - 1
+        return home
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for i, j in common.string_chunks(text := common.filled(b.column(2)), 4 * common.CHUNK_BYTES):
-                k = b.column(0)[i:j].to_numpy(zero_copy_only=False)
-                home = np.searchsorted(bounds, k, "right") - 1
-                raw = [x.encode() for x in text[i:j].to_pylist()]
-                tie = np.array([xxhash.xxh64_intdigest(x) for x in raw], np.uint64).view(np.int64)
-                data = [press.compress(x) for x in raw]
-                first = np.flatnonzero(bounds[home] == k)
+            for i, j in common.string_chunks(texts := b.column(3), 4 * common.CHUNK_BYTES):
+                k, tie = (b.column(c)[i:j].to_numpy(zero_copy_only=False) for c in (0, 1))
+                home = homes(k, tie)
+                data = [press.compress(x.encode()) for x in texts[i:j].to_pylist()]
+                opens = (bk[home] == k) & (~hot[home] | (bt[home] == tie))
+                once = np.zeros(j - i, bool)
+                once[np.unique(np.where(opens & hot[home], home, -1), return_index=True)[1]] = True
+                first = np.flatnonzero(opens & (~hot[home] | once))
                 at = np.concatenate([np.arange(j - i), first])
-                where = np.concatenate([home, (home[first] - 1) % len(bounds)])
+                where = np.concatenate([home, (home[first] - 1) % len(bk)])
                 tail = np.concatenate([np.zeros(j - i, bool), np.ones(len(first), bool)])
-                yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(tail), pa.array(k[at]), pa.array(tie[at]), b.column(1)[i:j].take(pa.array(at)), pa.array([data[x] for x in at], pa.binary())], names=["bucket", "tail", "k", "tie", "id", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(tail), pa.array(k[at]), pa.array(tie[at]), b.column(2)[i:j].take(pa.array(at)), pa.array([data[x] for x in at], pa.binary())], names=["bucket", "tail", "k", "tie", "id", "z"])
 
     spread = src.mapInArrow(run, "bucket int, tail boolean, k long, tie long, id long, z binary")
     return spread.repartition(common.partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket", "tail", "k", "tie")

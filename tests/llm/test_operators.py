@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -85,6 +86,23 @@ def test_op1(spark, docs, edges, nothing):
     assert len({r.fingerprint for r in out if r.doc_id in (4, 5)}) == 1
 
 
+
+def test_op1_hot_ids(spark, monkeypatch):
+    """A third of the rows without an id and a third of one id, many of one text: every row meets its neighbour, in many ranges."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "copy" if i % 5 == 0 else None if i % 41 == 0 else f"text {i} " * (i % 7)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = sorted((-(1 << 63) if d is None else d, int(np.uint64(xxhash.xxh64_intdigest(t or "", 42)).astype(np.int64)), t or "") for d, t in rows)
+    want = []
+    for (d, _, t), (_, _, n) in zip(texts, texts[1:] + texts[:1], strict=True):
+        want.append((d, hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()))
+    for most in (common.CHUNK_BYTES, 50):  # rows held at a time: all of a range, or a few
+        monkeypatch.setattr(common, "CHUNK_BYTES", most)
+        got = [(-(1 << 63) if r.doc_id is None else r.doc_id, r.edited_sha256) for r in winnowing.edited_query(df).collect()]
+        assert sorted(got) == sorted(want)
+    spread = winnowing.with_next(df, "doc_id", "text").filter("id is null and not tail").groupBy("bucket").count().collect()
+    assert len(spread) > 4 and max(r["count"] for r in spread) < 200
+
+
 PAGE = "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='ad'>Buy &amp; win</div><article><h1>Head &amp; line</h1><p><b>First  block\n of text.<br><p>Second&nbsp;one</p><div class='comments'><p>I agree</p></div><aside>See also</aside></article><footer>&copy; x</footer></body>"
 
 
