@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, html_text, language, lm, mixing, passages, pii, simhash, subspace, winnowing
+from lodestone.llm import bpe, html_text, language, lm, mixing, negatives, passages, pieces, pii, simhash, spelling, subspace, winnowing
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def vocabulary_path() -> str:
-    """Where the public tokenizer's definition is."""
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where a public tokenizer's definition is."""
     import public_tokenizers
 
-    return str(public_tokenizers.path(VOCABULARY))
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,23 @@ def op10_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.query(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary_path(PIECES))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_winnowing, op2_line_blocks, op3_subspace_join, op4_mixing, op5_bpe, op6_language_id, op7_pii, op8_covering_simhash, op9_passages, op10_interpolation)
+    f.__name__: f
+    for f in (
+        op1_winnowing, op2_line_blocks, op3_subspace_join, op4_mixing, op5_bpe, op6_language_id, op7_pii, op8_covering_simhash,
+        op9_passages, op10_interpolation, op11_hard_negatives, op12_sentencepiece, op13_spelling,
+    )
 }
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op11_hard_negatives": negatives.ORACLE}
