@@ -6,9 +6,9 @@ best score first and, of equal scores, leftmost first. The best pair is merged,
 agenda, and entries whose symbols have changed meanwhile are passed over when they come up. What no piece covers is spelled in
 byte pieces.
 
-Where no piece holds U+2581 after another character, no merge crosses the border before a word, so the agenda runs over one
-word (with the U+2581 before it) at a time and words met before are looked up; the cache changes speed alone. Very long texts
-are taken in parts that end at such borders. Other vocabularies run the agenda over whole texts.
+No merge crosses two characters that stand side by side in no piece, so a text is cut there and the agenda runs over one
+stem at a time. Where no piece holds U+2581 after another character, words (with the U+2581 before them) are cut first. Words and stems met
+before are looked up; the caches change speed alone. Very long texts are taken in parts that end before a word.
 
 The decoder turns ids into bytes, drops the U+2581 that normalisation put first, turns the others into spaces and
 replaces each byte that can't be part of a character by U+FFFD, incrementally, as the library does.
@@ -25,9 +25,10 @@ import codecs
 import hashlib
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,9 @@ from lodestone.llm import common
 MARK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: words kept, code points of a word worth keeping, code points of a text taken at a time
-CACHE, WORD, SEGMENT = 1 << 18, 128, 1 << 20
+#: words (and half as many stems) kept by a worker, about 200 bytes each; code points of a word worth keeping, of a text taken at a time
+CACHE, WORD, SEGMENT = 1 << 20, 64, 1 << 20
+PLACES = (1 << 40) - 1
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CUT = re.compile(f"(?<=[^ {MARK}])(?=[ {MARK}])")
 
@@ -80,17 +82,17 @@ def messages(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
-class Words(dict):
-    """The ids of words as little-endian bytes, found when first asked for; forgets all when full."""
+class Known(dict):
+    """The ids of strings as little-endian bytes, found when first asked for; forgets all when full."""
 
-    def __init__(self, find) -> None:
+    def __init__(self, find: Callable[[str], bytes], most: int) -> None:
         super().__init__()
-        self.find = find
+        self.find, self.most = find, most
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.find(MARK + word)
+        ids = self.find(word)
         if len(word) <= WORD:
-            if len(self) >= CACHE:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = ids
         return ids
@@ -116,8 +118,8 @@ class Model:
             raise ValueError("only the identity normaliser with a space put first is supported")
         self.ids = {text: i for i, (text, _, kind) in enumerate(pieces) if kind == NORMAL}
         order = {score: k for k, score in enumerate(sorted({s for _, s, kind in pieces if kind == NORMAL}, reverse=True))}
-        #: of each piece its place by score, which equal scores share
-        self.place = {text: order[score] for text, score, kind in pieces if kind == NORMAL}
+        #: of each piece its place by score, which equal scores share, shifted to leave room for a place in the text
+        self.place = {text: order[score] << 40 for text, score, kind in pieces if kind == NORMAL}
         self.byte = {int(text[3:-1], 16): i for i, (text, _, kind) in enumerate(pieces) if kind == BYTE}
         spelled = {i: bytes([b]) for b, i in self.byte.items()}
         unknown = trainer.get(44, b" \xe2\x81\x87 ")
@@ -125,33 +127,35 @@ class Model:
         self.control = {i for i, (_, _, kind) in enumerate(pieces) if kind == CONTROL}
         self.marked = [kind == NORMAL and text.startswith(MARK) for text, _, kind in pieces]
         self.by_words = not any(re.search(f"[^{MARK}]{MARK}", text) for text in self.ids)
-        self.words = Words(self.spell)
+        self.beside = {text[i : i + 2] for text in self.ids for i in range(len(text) - 1)}
+        self.words, self.stems = Known(lambda word: self.spell(MARK + word), CACHE), Known(self.merge, CACHE // 2)
 
     def symbols(self, text: str) -> list[str]:
         """The symbols that remain of a normalised text when the agenda is empty."""
-        n = len(text)
+        n, place = len(text), self.place.get
+        agenda = [k + i for i, k in enumerate(map(place, map(add, text, text[1:]))) if k is not None]
+        if n < 2 or not agenda:
+            return list(text)
         symbol, before, after = list(text), list(range(-1, n - 1)), list(range(1, n + 1))
-        place = self.place.get
-        agenda = [k << 40 | i for i in range(n - 1) if (k := place(symbol[i] + symbol[i + 1])) is not None]
         heapify(agenda)
         while agenda:
             best = heappop(agenda)
-            k, i = best >> 40, best & ((1 << 40) - 1)
+            i = best & PLACES
             j = after[i]
-            if not symbol[i] or j >= n or place(whole := symbol[i] + symbol[j]) != k:
+            if not symbol[i] or j >= n or place(whole := symbol[i] + symbol[j]) != best - i:
                 continue  # a neighbour was merged into something else
             symbol[i], symbol[j] = whole, ""
             j = after[i] = after[j]
             if j < n:
                 before[j] = i
                 if (k := place(whole + symbol[j])) is not None:
-                    heappush(agenda, k << 40 | i)
+                    heappush(agenda, k + i)
             if (h := before[i]) >= 0 and (k := place(symbol[h] + whole)) is not None:
-                heappush(agenda, k << 40 | h)
+                heappush(agenda, k + h)
         return [s for s in symbol if s]
 
-    def spell(self, text: str) -> bytes:
-        """Ids of a normalised text, as little-endian 32-bit numbers."""
+    def merge(self, text: str) -> bytes:
+        """Ids of a stem, as little-endian 32-bit numbers."""
         out: list[int] = []
         for s in self.symbols(text):
             i = self.ids.get(s)
@@ -161,6 +165,11 @@ class Model:
                 out.append(i)
         return struct.pack(f"<{len(out)}i", *out)
 
+    def spell(self, text: str) -> bytes:
+        """Ids of a normalised text: of its stems, one after the other."""
+        cuts = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in self.beside]
+        return b"".join([self.stems[text[i:j]] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)])
+
     def parts(self, text: str) -> Iterator[str]:
         """The normalised text, cut where no merge crosses."""
         at = 0
