@@ -44,6 +44,12 @@ class Config:
     fifo: bool = True
     adam: bool = True
     bits: int = 2
+    # Iterations between two node permutations; below how many candidates sampling fills up, and to how many
+    reshuffle: int = 6946
+    enough: int = 1500
+    fill: int = 1000
+    # nodes or features along a tile of dense products; 0 makes them of rows
+    tile: int = 1024
     warnings: tuple[str, ...] = field(default=(), compare=False)
 
     def validated(self) -> Config:
@@ -119,7 +125,7 @@ def schedule(spark: SparkSession, iterations: int, per_epoch: int, c: Config) ->
         (i % every == phase).alias("rehash"),
         (i % (c.rebuild // c.batch_size) == phase).alias("rebuild"),
         (i % c.step_size == 0).alias("evaluate"),
-        ((i % 6946 == 6945) & (i > 0)).alias("reshuffle"),
+        (i % c.reshuffle == c.reshuffle - 1).alias("reshuffle"),
     )
 
 

@@ -58,6 +58,31 @@ def output_delta(p: DataFrame, targets: DataFrame, batch: int) -> DataFrame:
     return marked.select("record_id", "node", ((F.coalesce(F.col("own") * F.col("y"), F.lit(0.0)) - F.col("p")) / batch).alias("delta"))
 
 
+def beside(p: DataFrame, targets: DataFrame) -> DataFrame:
+    """(record_id, node, p, y): every probability with its target, 1 / labels at a label and 0 elsewhere; a label that was not active has a null p."""
+    share = targets.groupBy("record_id").agg((F.lit(1.0) / F.count("*")).alias("y"))
+    own = targets.groupBy("record_id", F.col("label").alias("node")).agg(F.count("*").alias("times")).join(share, "record_id")
+    own = own.select("record_id", "node", (F.col("times") * F.col("y")).alias("y"))
+    return p.select("record_id", "node", "p").join(own, ["record_id", "node"], "full").select("record_id", "node", "p", F.coalesce("y", F.lit(0.0)).alias("y"))
+
+
+def observed() -> tuple[Column, Column]:
+    """What observe() sums over rows of beside(): records with a label, and their loss."""
+    lost = F.col("y") * -F.log(F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(1e-12)))
+    return F.sum("y").alias("n"), F.sum(F.when(F.col("y") > 0, lost)).alias("lost")
+
+
+def mean_loss(sums: dict) -> tuple[int, float]:
+    """(n, loss) as log_loss() has them."""
+    n = round(sums["n"] or 0.0)
+    return n, (sums["lost"] or 0.0) / n if n else 0.0
+
+
+def delta_of(marked: DataFrame, batch: int) -> DataFrame:
+    """(record_id, node, delta) of the active nodes, from rows of beside()."""
+    return marked.filter("p is not null").select("record_id", "node", ((F.col("y") - F.col("p")) / batch).alias("delta"))
+
+
 def hidden_delta(delta: DataFrame, w: DataFrame, act: DataFrame) -> DataFrame:
     """(record_id, node, delta) of the layer before, where its activation is above 0."""
     back = delta.join(w, "node").groupBy("record_id", "f").agg(F.sum(F.col("delta") * F.col("w")).alias("delta"))

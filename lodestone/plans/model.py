@@ -9,17 +9,18 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing
 from lodestone.functions.config import Config
-from lodestone.operators import lsh, network, selection
+from lodestone.operators import lsh, network, selection, tiles
 from lodestone.sources import params, sparse_text
+from lodestone.sources.batches import Batches
 
 BIAS = -1
-#: Batches of the evaluations within an epoch and after one, and the iterations between two node permutations
-EVALUATE, AFTER_EPOCH, RESHUFFLE = 20, 50, 6946
+#: Batches of the evaluations within an epoch and after one
+EVALUATE, AFTER_EPOCH = 20, 50
 
 
 def weight(layer: int, node: Column, f: Column) -> Column:
@@ -67,6 +68,8 @@ class Network:
     seed: int | None = None  # draw initial weights from N(0, 0.01) in place of the formula
     steps: int = 0
     generation: int = 0
+    #: (n, loss) of the last step, from before its update
+    loss: tuple[int, float] = (0, 0.0)
     table: DataFrame = None
     buckets: dict[int, DataFrame] = field(default_factory=dict)
     written: dict[str, list[str]] = field(default_factory=dict)
@@ -145,7 +148,7 @@ class Network:
             rows = x.select(F.col("record_id").alias("id"), "f", "v")
             hits = lsh.probe(self.address(j, rows, records.select(F.col("record_id").alias("id"))), self.buckets[j])
             found = selection.candidates(hits, targets, c.l[j])
-            return selection.threshold(found) if c.mode == 1 else selection.sampling(records, found, nodes, n, n // 3, seed=seed)
+            return selection.threshold(found) if c.mode == 1 else selection.sampling(records, found, nodes, n, n // 3, c.enough, c.fill, seed)
         size = int(n * share)
         if j == self.last and c.mode == 2:
             return selection.random(records, labels, nodes, n, size, seed)
@@ -160,37 +163,70 @@ class Network:
         """Activations with the bias's feature."""
         return x.select("record_id", "f", "v").unionByName(records.select("record_id", F.lit(BIAS).cast("long").alias("f"), F.lit(1.0).alias("v")))
 
-    def forward(self, x: DataFrame, records: DataFrame, targets: DataFrame | None, training: bool) -> tuple[list[DataFrame], DataFrame]:
-        """The activations that enter each layer, and the output layer's (record_id, node, z)."""
-        acts = [x]
+    def blocks(self, records: int) -> int:
+        """How many blocks of rows so many records make in tiles."""
+        return max(1, -(-records // self.config.tile)) if self.config.tile else 0
+
+    def forward(self, x: DataFrame, records: DataFrame, targets: DataFrame | None, training: bool, count: int | None = None) -> tuple[list[DataFrame], DataFrame]:
+        """The activations that enter each layer, and the output layer's (record_id, node, z). Dense layers are multiplied by tiles;
+        `count` is the number of records, found out here where it isn't given."""
+        acts, actives = self.until(x, records, targets, training, count)
+        return acts, self.dots(self.last, acts[-1], records, actives[-1], count or records.count())
+
+    def until(self, x: DataFrame, records: DataFrame, targets: DataFrame | None, training: bool, count: int | None = None) -> tuple[list[DataFrame], list[DataFrame | None]]:
+        """The activations that enter each layer, and each layer's active nodes."""
+        acts, actives = [x], []
         for j in range(self.last + 1):
-            z = network.dots(self.input(acts[j], records), self.weights(j), self.active(j, acts[j], records, targets, training))
+            actives.append(self.active(j, acts[j], records, targets, training))
             if j < self.last:
+                count = count or records.count()
+                z = self.dots(j, acts[j], records, actives[j], count)
                 acts.append(z.select("record_id", F.col("node").alias("f"), network.relu(F.col("z")).alias("v")))
-        return acts, z
+        return acts, actives
+
+    def dots(self, j: int, x: DataFrame, records: DataFrame, active: DataFrame | None, count: int) -> DataFrame:
+        x, w = self.input(x, records), self.weights(j)
+        if active is None and self.config.tile:
+            return tiles.dots(x, w, self.dim(j), self.blocks(count), self.config.tile)
+        return network.dots(x, w, active)
 
     def step(self, x: DataFrame, targets: DataFrame, records: DataFrame, batch: int, rehash: bool = False, reshuffle: bool = False) -> DataFrame:
-        """One batch against frozen weights, then one update; returns (n, loss) from before it."""
+        """One batch against frozen weights, then one update; returns (n, loss) from before it, which `loss` holds too.
+
+        Two jobs write: the output's probabilities beside their targets, whose loss is observed as they pass, and the new table."""
         self.generation += reshuffle
-        acts, z = self.forward(x, records, targets, True)
-        p = self.cut(network.softmax(z).select("record_id", "node", "p"), "p")
-        delta, grads = network.output_delta(p, targets, batch), None
+        c, n = self.config, self.blocks(batch)
+        acts, actives = self.until(x, records, targets, True, batch)
+        z = self.dots(self.last, acts[-1], records, actives[-1], batch)
+        seen = Observation()
+        marked = network.beside(network.softmax(z), targets).observe(seen, *network.observed())
+        marked = self.cut(marked, "p")
+        self.loss = network.mean_loss(seen.get)
+        delta, grads = network.delta_of(marked, batch), None
         for j in range(self.last, -1, -1):
-            g = network.gradient(delta, self.input(acts[j], records)).withColumn("layer", F.lit(j))
+            act, dense = self.input(acts[j], records), actives[j] is None and n
+            g = tiles.gradient(delta, act, n, c.tile) if dense else network.gradient(delta, act)
+            g = g.withColumn("layer", F.lit(j))
             grads = g if grads is None else grads.unionByName(g)
             if j:
-                delta = network.hidden_delta(delta, self.weights(j).filter(F.col("f") >= 0), acts[j])
+                w = self.weights(j).filter(F.col("f") >= 0)
+                delta = tiles.hidden_delta(delta, w, acts[j], c.sizes[j], n, c.tile) if dense else network.hidden_delta(delta, w, acts[j])
         self.steps += 1
         keys = ["layer", "node", "f"]
         new = network.adam(self.table, grads, keys, self.config.lr, self.steps) if self.config.adam else network.sgd(self.table, grads, keys, self.config.lr)
         self.table = self.cut(new.select("layer", "node", "f", "w", "m", "v"), "table")
         if rehash:
             self.rehash()
-        return network.log_loss(p, targets)
+        return self.spark.range(1).select(F.lit(self.loss[0]).cast("long").alias("n"), F.lit(self.loss[1]).alias("loss"))
 
     def predict(self, x: DataFrame, records: DataFrame, targets: DataFrame | None = None) -> DataFrame:
         """(record_id, predicted) of all records; with targets given, their labels are active in the softmax layer."""
-        return network.predicted(self.forward(x, records, targets, False)[1], records)
+        count = records.count()
+        acts, actives = self.until(x, records, targets, False, count)
+        if actives[-1] is None and self.config.tile:
+            found = tiles.predicted(self.input(acts[-1], records), self.weights(self.last), self.dim(self.last), self.blocks(count), self.config.tile)
+            return records.select("record_id").join(found, "record_id", "left")
+        return network.predicted(self.dots(self.last, acts[-1], records, actives[-1], count), records)
 
     def evaluate(self, x: DataFrame, targets: DataFrame, batches: DataFrame, count: int | None = None, inject: bool = False) -> DataFrame:
         """(n, correct, accuracy) over the first `count` batches of (record_id, batch_id), or over all."""
@@ -213,14 +249,15 @@ class Network:
 
 
 def train(net: Network, x: DataFrame, targets: DataFrame, records: DataFrame, epochs: int | None = None, test: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> list[dict]:
-    """Epochs over the whole batches of the records (record_id), in order of id; what is left over is not trained on.
+    """Epochs over the whole batches of the records (record_id), in order of id; what is left over is not trained on. The batches are
+    written once, each in files of its own, which its steps read.
 
     Rehash, rebuild and reshuffle follow the schedule. test (x, targets, records) is evaluated by it too: EVALUATE batches whenever the
     iteration is a multiple of step_size, before its step, AFTER_EPOCH after each epoch, all after the last. Returns the metrics in order."""
     c = net.config
     epochs = c.epoch if epochs is None else epochs
-    batches = kept(sparse_text.batches(records.select("record_id"), c.batch_size, drop_partial=True))
-    count = batches.agg(F.countDistinct("batch_id")).first()[0]
+    stored = Batches.write(x, targets, records, c.batch_size)
+    count = stored.count
     tests = kept(sparse_text.batches(test[2].select("record_id"), c.batch_size)) if test else None
     out: list[dict] = []
 
@@ -232,11 +269,10 @@ def train(net: Network, x: DataFrame, targets: DataFrame, records: DataFrame, ep
     for i in range(epochs * count):
         if i % c.step_size == 0:
             evaluate(i, EVALUATE)
-        mine = batches.filter(F.col("batch_id") == i % count).select("record_id")
-        xs, ys = x.join(mine, "record_id", "left_semi"), targets.join(mine, "record_id", "left_semi")
         again = c.mode in (1, 4) and (i % every == phase or i % max(1, c.rebuild // c.batch_size) == phase)
-        r = net.step(xs, ys, mine, c.batch_size, again, i % RESHUFFLE == RESHUFFLE - 1).first()
-        out.append({"iter": i, "kind": "train", "n": int(r.n), "loss": float(r.loss)})
+        net.step(*stored.read(i % count), c.batch_size, again, i % c.reshuffle == c.reshuffle - 1)
+        out.append({"iter": i, "kind": "train", "n": net.loss[0], "loss": net.loss[1]})
         if (i + 1) % count == 0:
             evaluate(i, None if i + 1 == epochs * count else AFTER_EPOCH)
+    params.remove(net.spark, stored.where)
     return out

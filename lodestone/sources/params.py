@@ -45,7 +45,7 @@ def shuffled(a: DataFrame, seed: int) -> DataFrame:
     return keyed.withColumn("__in", inner).join(F.broadcast(start), "__r").select((F.col("__start") + F.col("__in")).cast("long").alias("pos"), "idx", "val")
 
 
-def _fs(spark: SparkSession, where: str) -> tuple:
+def filesystem(spark: SparkSession, where: str) -> tuple:
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(where)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
@@ -63,7 +63,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def remove(spark: SparkSession, where: str) -> None:
-    fs, path = _fs(spark, where)
+    fs, path = filesystem(spark, where)
     fs.delete(path(where), True)
 
 
@@ -77,21 +77,21 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _numbers(self, name: str, kind: str) -> list[int]:
-        fs, path = _fs(self.spark, self.root)
+        fs, path = filesystem(self.spark, self.root)
         return [int(f.getPath().getName().rpartition("-")[2]) for f in fs.globStatus(path(f"{self.root}/{name}/{kind}-*")) or []]
 
     def version(self, name: str) -> int:
         return max(self._numbers(name, "CURRENT"), default=-1)
 
     def _claim(self, name: str) -> int:
-        fs, path = _fs(self.spark, self.root)
+        fs, path = filesystem(self.spark, self.root)
         v = max([*self._numbers(name, "CLAIM"), *self._numbers(name, "CURRENT")], default=-1) + 1
         while not fs.createNewFile(path(f"{self.root}/{name}/CLAIM-{v}")):
             v += 1
         return v
 
     def _point(self, name: str, v: int, about: dict) -> None:
-        fs, path = _fs(self.spark, self.root)
+        fs, path = filesystem(self.spark, self.root)
         to = path(f"{self.root}/{name}/CURRENT-{v}")
         draft = path(f"{self.root}/{name}/.draft-{v}")
         out = fs.create(draft, True)
@@ -110,7 +110,7 @@ class Store:
 
     def about(self, name: str, version: int | None = None) -> dict:
         v = self.version(name) if version is None else version
-        fs, path = _fs(self.spark, self.root)
+        fs, path = filesystem(self.spark, self.root)
         at = fs.open(path(f"{self.root}/{name}/CURRENT-{v}"))
         text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(at, "UTF-8")
         at.close()
@@ -135,7 +135,7 @@ class Store:
         """Commits an array (idx, val) in blocks of `block` elements."""
         v = self._claim(name)
         a.withColumn("block", block_of(F.col("idx"), block)).repartition("block").write.mode("overwrite").partitionBy("block").parquet(f"{self.root}/{name}/v{v}")
-        fs, path = _fs(self.spark, self.root)
+        fs, path = filesystem(self.spark, self.root)
         found = [int(f.getPath().getName().rpartition("=")[2]) for f in fs.globStatus(path(f"{self.root}/{name}/v{v}/block=*"))]
         self._point(name, v, {"block": block, "of": {b: v for b in found}})
         return v
