@@ -743,51 +743,84 @@ def evaluation_schedule(s: SparkSession, d: str) -> DataFrame:
 
 
 TRAIN = config.Config(lr=0.01, batch_size=BATCH, k=(2, 2), l=(4, 4), range_pow=(6, 6), sizes=(16, 10), input_dim=64, sparsity=(1.0, 1.0, 1.0, 1.0), epoch=1)
-STEPS = 16  # batches that the SQL covers; one without records changes nothing that counts
+SAMPLED = replace(TRAIN, sizes=(16, 40), sparsity=(1.0, 0.5, 1.0, 1.0), rehash=2 * BATCH, rebuild=3 * BATCH, reshuffle=2, enough=14, fill=10)
 
 
-def training_sql() -> str:
-    """An epoch of dense steps unrolled: activations, softmax, deltas, gradients and Adam of both layers, batch after batch."""
-    b1, b2, eps = network.BETA1, network.BETA2, network.EPS
-    out = (
-        f"WITH {oracle.EMB}, {oracle.LABELS}, {oracle.layer('a', 0, 16, 64)}, {oracle.layer('c', 1, 10, 16)}, rw AS (SELECT vec_id AS id, (row_number() OVER (ORDER BY vec_id) - 1) // {BATCH} AS batch_id FROM embeddings), "
-        f"whole AS (SELECT batch_id FROM rw GROUP BY batch_id HAVING count(*) = {BATCH}), bt AS MATERIALIZED (SELECT id, batch_id FROM rw WHERE batch_id IN (SELECT batch_id FROM whole)), "
-        "t0 AS MATERIALIZED (SELECT 0 AS layer, node, f, w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM aw UNION ALL SELECT 0, node, -1, b, 0, 0 FROM ab UNION ALL SELECT 1, node, f, w, 0, 0 FROM cw UNION ALL SELECT 1, node, -1, b, 0, 0 FROM cb)"
+def buckets_sql(src: str, tag: str, c: config.Config) -> str:
+    """bk<tag>: what the ring buckets hold of the vectors (id, f, v) of nodes."""
+    hashes = c.k[1] * c.l[1]
+    return (
+        f"{oracle.winners(src, f'wn{tag}')}, sn{tag} AS (SELECT id, bin, pos AS h FROM wn{tag}), {oracle.densified(f'sn{tag}', hashes, f'dn{tag}')}, {oracle.address(f'dn{tag}', c.k[1], c.l[1], c.bits, f'na{tag}')}, "
+        f"bk{tag} AS (SELECT tbl, bucket, id AS node FROM (SELECT *, row_number() OVER (PARTITION BY tbl, bucket ORDER BY id DESC) AS r FROM na{tag}) WHERE r <= {lsh.SIZE})"
+    )
+
+
+def active_sql(c: config.Config) -> str:
+    """act: the output nodes of each record, from the buckets bk and the permutation of the step's generation."""
+    hashes, n, k, l = c.k[1] * c.l[1], c.sizes[1], c.k[1], c.l[1]  # noqa: E741
+    return (
+        f"{oracle.winners('hr', 'w1')}, s1 AS (SELECT id, bin, pos AS h FROM w1), {oracle.densified('s1', hashes, 'd1')}, {oracle.address('d1', k, l, c.bits, 'qa')}, "
+        "hits AS (SELECT q.id, b.node, count(*) AS n FROM qa q JOIN bk b ON q.tbl = b.tbl AND q.bucket = b.bucket GROUP BY ALL), "
+        f"cand AS MATERIALIZED (SELECT id, node, sum(n) AS n FROM (SELECT id, node, n FROM hits UNION ALL SELECT record_id, label, {l} FROM tgt JOIN mine ON mine.id = record_id) GROUP BY ALL), "
+        f"pm AS (SELECT n.n AS node, row_number() OVER (ORDER BY (n.n * 2654435761 + {selection.SEED} + (i + 1) // {c.reshuffle}) % 2147483647, n.n) - 1 AS pos FROM range({n}) AS n(n), now), "
+        f"tn AS (SELECT node, CASE WHEN pos >= {n // 3} THEN pos - {n // 3} ELSE pos + {n - n // 3} END AS turn FROM pm), hv AS (SELECT id, count(*) AS have FROM cand GROUP BY id), "
+        f"sp AS (SELECT hv.id, tn.node, row_number() OVER (PARTITION BY hv.id ORDER BY tn.turn) AS r, have FROM hv CROSS JOIN tn WHERE have < {c.enough} AND NOT EXISTS (SELECT 1 FROM cand d WHERE d.id = hv.id AND d.node = tn.node)), "
+        f"act AS MATERIALIZED (SELECT id, node FROM cand UNION ALL SELECT id, node FROM sp WHERE r <= {c.fill} - have)"
+    )
+
+
+def training_sql(c: config.Config) -> str:
+    """An epoch as a recursion over its batches: the parameters, and the buckets of a sampled output layer, are the state that each batch's
+    activations, softmax, deltas, gradients and Adam turn into the next one. kind 0 are parameters, 1 buckets, 2 a step's loss."""
+    b1, b2, eps, hidden, nodes = network.BETA1, network.BETA2, network.EPS, *c.sizes
+    sampled = c.sparsity[1] < 1
+    hashes = c.k[1] * c.l[1]
+    every, phase, rebuild = c.rehash // BATCH, c.rehash // BATCH - 1, c.rebuild // BATCH
+    again = f"(i % {every} = {phase} OR i % {rebuild} = {phase})"
+    tables = f", {oracle.layout(hidden, hashes)}, {oracle.probes(hashes)}, first AS (SELECT node AS id, f, w AS v FROM cw), {buckets_sql('first', '0', c)}" if sampled else ""
+    start = " UNION ALL SELECT 0, 1, tbl, bucket, node, 0, 0, 0 FROM bk0" if sampled else ""
+    act = f"bk AS (SELECT a AS tbl, b AS bucket, c AS node FROM cur WHERE kind = 1), {active_sql(c)}" if sampled else f"act AS (SELECT mine.id, n.n AS node FROM mine, range({nodes}) AS n(n))"
+    fill = f", nw AS (SELECT node AS id, f, w AS v FROM new WHERE layer = 1 AND f >= 0), {buckets_sql('nw', '1', c)}" if sampled else ""
+    kept = f" UNION ALL SELECT i + 1, 1, tbl, bucket, node, 0, 0, 0 FROM bk1, now WHERE {again} UNION ALL SELECT i + 1, 1, tbl, bucket, node, 0, 0, 0 FROM bk, now WHERE NOT {again}" if sampled else ""
+    return (
+        f"WITH RECURSIVE {oracle.EMB}, {oracle.LABELS}, {oracle.layer('a', 0, hidden, c.input_dim)}, {oracle.layer('c', 1, nodes, hidden)}, rw AS (SELECT vec_id AS id, (row_number() OVER (ORDER BY vec_id) - 1) // {BATCH} AS batch_id FROM embeddings), "
+        f"bt AS MATERIALIZED (SELECT id, batch_id FROM rw WHERE batch_id < (SELECT count(*) // {BATCH} FROM embeddings)){tables}, "
+        "st(iter, kind, a, b, c, w, m, v) AS (SELECT 0::BIGINT, 0, 0::BIGINT, node::BIGINT, f::BIGINT, w::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM aw UNION ALL SELECT 0, 0, 0, node, -1, b, 0, 0 FROM ab UNION ALL SELECT 0, 0, 1, node, f, w, 0, 0 FROM cw UNION ALL SELECT 0, 0, 1, node, -1, b, 0, 0 FROM cb"
+        f"{start} UNION ALL (WITH cur AS MATERIALIZED (SELECT * FROM st), now AS MATERIALIZED (SELECT i FROM (SELECT max(iter) AS i FROM cur) WHERE i < (SELECT count(*) // {BATCH} FROM embeddings)), "
+        "o AS MATERIALIZED (SELECT a AS layer, b AS node, c AS f, w, m, v FROM cur WHERE kind = 0), mine AS MATERIALIZED (SELECT bt.id FROM bt, now WHERE bt.batch_id = i), "
+        "x AS MATERIALIZED (SELECT e.id, e.f, e.v FROM emb e JOIN mine ON mine.id = e.id UNION ALL SELECT id, -1, 1.0 FROM mine), "
+        "hr AS MATERIALIZED (SELECT x.id, w.node AS f, greatest(sum(w.w * x.v), 0.0) AS v FROM x JOIN o w ON w.f = x.f AND w.layer = 0 GROUP BY ALL), "
+        f"h AS MATERIALIZED (SELECT id, f, v FROM hr UNION ALL SELECT id, -1, 1.0 FROM mine), {act}, "
+        "z AS MATERIALIZED (SELECT h.id, w.node, sum(w.w * h.v) AS z FROM act JOIN h ON h.id = act.id JOIN o w ON w.f = h.f AND w.node = act.node AND w.layer = 1 GROUP BY ALL), "
+        "ez AS (SELECT *, exp(z - greatest(max(z) OVER (PARTITION BY id), 0.0)) AS e FROM z), "
+        f"p AS MATERIALIZED (SELECT id, node, e / (sum(e) OVER (PARTITION BY id) + {network.NORM}::DOUBLE) AS p FROM ez), "
+        f"d AS MATERIALIZED (SELECT p.id, p.node, (CASE WHEN g.label IS NOT NULL THEN 1.0 ELSE 0.0 END - p.p) / {BATCH} AS delta FROM p LEFT JOIN tgt g ON g.record_id = p.id AND g.label = p.node), "
+        "back AS MATERIALIZED (SELECT d.id, w.f AS node, sum(d.delta * w.w) AS delta FROM d JOIN o w ON w.layer = 1 AND w.node = d.node JOIN hr ON hr.id = d.id AND hr.f = w.f WHERE hr.v > 0 GROUP BY ALL), "
+        "g AS MATERIALIZED (SELECT 1 AS layer, d.node, h.f, sum(d.delta * h.v) AS g FROM d JOIN h ON h.id = d.id GROUP BY ALL UNION ALL SELECT 0, r.node, x.f, sum(r.delta * x.v) FROM back r JOIN x ON x.id = r.id GROUP BY ALL), "
+        f"mo AS (SELECT o.layer, o.node, o.f, o.w, {b1}::DOUBLE * o.m + {1 - b1}::DOUBLE * coalesce(g.g, 0) AS m, {b2}::DOUBLE * o.v + {1 - b2}::DOUBLE * coalesce(g.g, 0) * coalesce(g.g, 0) AS v FROM o LEFT JOIN g ON g.layer = o.layer AND g.node = o.node AND g.f = o.f), "
+        f"new AS MATERIALIZED (SELECT i + 1 AS iter, layer, node, f, w + {c.lr}::DOUBLE * sqrt(1 - pow({b2}::DOUBLE, i + 1)) / (1 - pow({b1}::DOUBLE, i + 1)) * m / (sqrt(v) + {eps}::DOUBLE) AS w, m, v FROM mo, now){fill} "
+        f"SELECT iter, 0, layer, node, f, w, m, v FROM new{kept} UNION ALL SELECT (SELECT i + 1 FROM now), 2, count(*), 0, 0, avg(-ln(greatest(p.p, 1e-12))), 0, 0 FROM p JOIN tgt g ON g.record_id = p.id AND g.label = p.node HAVING count(*) > 0)) "
+        "SELECT iter - 1 AS iter, a AS n, round(w, 5) AS loss FROM st WHERE kind = 2"
     )
-    for t in range(STEPS):
-        p, q = f"t{t}", f"s{t}"
-        out += (
-            f", {q}x AS MATERIALIZED (SELECT e.id, e.f, e.v FROM emb e JOIN bt ON bt.id = e.id WHERE bt.batch_id = {t} UNION ALL SELECT id, -1, 1.0 FROM bt WHERE batch_id = {t})"
-            f", {q}h AS MATERIALIZED (SELECT x.id, w.node AS f, greatest(sum(w.w * x.v), 0.0) AS v FROM {q}x x JOIN {p} w ON w.f = x.f AND w.layer = 0 GROUP BY ALL UNION ALL SELECT id, -1, 1.0 FROM bt WHERE batch_id = {t})"
-            f", {q}z AS MATERIALIZED (SELECT h.id, w.node, sum(w.w * h.v) AS z FROM {q}h h JOIN {p} w ON w.f = h.f AND w.layer = 1 GROUP BY ALL)"
-            f", {q}e AS (SELECT *, exp(z - greatest(max(z) OVER (PARTITION BY id), 0.0)) AS e FROM {q}z)"
-            f", {q}p AS MATERIALIZED (SELECT id, node, e / (sum(e) OVER (PARTITION BY id) + {network.NORM}::DOUBLE) AS p FROM {q}e)"
-            f", {q}d AS MATERIALIZED (SELECT p.id, p.node, (CASE WHEN g.label IS NOT NULL THEN 1.0 ELSE 0.0 END - p.p) / {BATCH} AS delta FROM {q}p p LEFT JOIN tgt g ON g.record_id = p.id AND g.label = p.node)"
-            f", {q}b AS MATERIALIZED (SELECT d.id, w.f AS node, sum(d.delta * w.w) AS delta FROM {q}d d JOIN {p} w ON w.layer = 1 AND w.node = d.node JOIN {q}h h ON h.id = d.id AND h.f = w.f WHERE w.f >= 0 AND h.v > 0 GROUP BY ALL)"
-            f", {q}g AS MATERIALIZED (SELECT 1 AS layer, d.node, h.f, sum(d.delta * h.v) AS g FROM {q}d d JOIN {q}h h ON h.id = d.id GROUP BY ALL UNION ALL SELECT 0, b.node, x.f, sum(b.delta * x.v) FROM {q}b b JOIN {q}x x ON x.id = b.id GROUP BY ALL)"
-            f", {q}m AS (SELECT o.layer, o.node, o.f, o.w, {b1}::DOUBLE * o.m + {1 - b1}::DOUBLE * coalesce(g.g, 0) AS m, {b2}::DOUBLE * o.v + {1 - b2}::DOUBLE * coalesce(g.g, 0) * coalesce(g.g, 0) AS v FROM {p} o LEFT JOIN {q}g g ON g.layer = o.layer AND g.node = o.node AND g.f = o.f)"
-            f", t{t + 1} AS MATERIALIZED (SELECT layer, node, f, w + {network.step_size(TRAIN.lr, t + 1)!r}::DOUBLE * m / (sqrt(v) + {eps}::DOUBLE) AS w, m, v FROM {q}m)"
-        )
-    each = " UNION ALL ".join(f"SELECT {t} AS iter, count(*) AS n, avg(-ln(greatest(p.p, 1e-12))) AS loss FROM s{t}p p JOIN tgt g ON g.record_id = p.id AND g.label = p.node" for t in range(STEPS))
-    return out + f" SELECT iter::BIGINT AS iter, n, round(loss, 5) AS loss FROM ({each}) WHERE n > 0"
 
 
 def metrics(s: SparkSession, rows: list[dict]) -> DataFrame:
     return s.createDataFrame([(m["iter"], m["n"], round(m["loss"], 5)) for m in rows if m["kind"] == "train"], "iter long, n long, loss double")
 
 
-@query(training_sql())
+@query(training_sql(TRAIN))
 def train_epoch_metrics(s: SparkSession, d: str) -> DataFrame:
     """Loss of each step of a dense epoch over all whole batches; a step's loss is that before its update."""
     net = model.Network(s, TRAIN)
-    return metrics(s, model.train(net, model.kept(dense(s, d, "record_id")), labels(s, d), labels(s, d)))
+    return metrics(s, model.train(net, dense(s, d, "record_id"), labels(s, d), labels(s, d)))
 
 
-@query(None)
+@query(training_sql(SAMPLED))
 def train_sampled_metrics(s: SparkSession, d: str) -> DataFrame:
-    """The same with output nodes from hash tables."""
-    net = model.Network(s, replace(TRAIN, sparsity=(1.0, 0.5, 1.0, 1.0), epoch=1))
-    return metrics(s, model.train(net, model.kept(dense(s, d, "record_id")), labels(s, d), labels(s, d)))
+    """The same with output nodes from hash tables, which are filled again from the new weights, and filled up by a permutation that changes: both
+    after every second step."""
+    net = model.Network(s, SAMPLED)
+    return metrics(s, model.train(net, dense(s, d, "record_id"), labels(s, d), labels(s, d)))
 
 
 @query("SELECT 'k' || vec_id AS key, CASE WHEN vec_id % 5 = 0 THEN 'new' ELSE 'old' END AS dtype, CAST(CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS ts FROM embeddings")
