@@ -21,6 +21,28 @@ def fifo(inserted: DataFrame, size: int = SIZE) -> DataFrame:
     return inserted.withColumn("__rank", rank).filter(F.col("__rank") <= size).drop("__rank")
 
 
+def ring(inserted: DataFrame, size: int = SIZE, onto: DataFrame | None = None) -> DataFrame:
+    """Kept ring buckets (tbl, bucket, slot, node, seq, number) after insertions (tbl, bucket, node, seq) into those of `onto`, or into empty ones.
+
+    An insertion's number is how many came before it into its bucket, its slot that number modulo `size`, so it takes the place of the
+    node that came `size` insertions earlier. Insertions are numbered in order of seq, then node, after those in `onto`. Only rows of buckets
+    that get an insertion meet anything; the others pass. Two rings made one after the other equal one made of both."""
+    one = Window.partitionBy("tbl", "bucket")
+    rank = F.row_number().over(one.orderBy("seq", "node")) - 1
+    back = F.row_number().over(one.orderBy(F.desc("seq"), F.desc("node")))
+    names = ["tbl", "bucket", "slot", "node", "seq", "number"]
+    if onto is None:
+        new = inserted.withColumn("back", back).filter(F.col("back") <= size)  # a partial limit, before the rows meet
+        counts = inserted.groupBy("tbl", "bucket").agg(F.count("*").alias("n"))
+        return new.join(counts, ["tbl", "bucket"]).withColumn("number", F.col("n") - F.col("back")).withColumn("slot", F.col("number") % size).select(*names)
+    had = onto.groupBy("tbl", "bucket").agg((F.max("number") + 1).alias("had"))
+    new = inserted.withColumn("rank", rank).join(had, ["tbl", "bucket"], "left").withColumn("number", F.coalesce("had", F.lit(0)) + F.col("rank"))
+    total = new.groupBy("tbl", "bucket").agg((F.max("number") + 1).alias("total"))
+    kept = onto.join(total, ["tbl", "bucket"], "left").filter(F.col("total").isNull() | (F.col("number") >= F.col("total") - size)).select(*names)
+    last = new.join(total, ["tbl", "bucket"]).filter(F.col("number") >= F.col("total") - size).withColumn("slot", F.col("number") % size).select(*names)
+    return kept.unionByName(last)
+
+
 def reservoir(inserted: DataFrame, size: int = SIZE, draw: int = DRAW, slot: int = SLOT) -> DataFrame:
     """What reservoir buckets hold: the first `size` insertions; a later one takes the one slot when draw % count is 1. (.., place)"""
     rank = F.row_number().over(Window.partitionBy("tbl", "bucket").orderBy("seq", "node"))

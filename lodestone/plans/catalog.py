@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import config, hashing
-from lodestone.operators import lsh, network, selection
+from lodestone.operators import lsh, network, selection, tiles
 from lodestone.plans import model, oracle
-from lodestone.sources import arrays, params, sparse_text
+from lodestone.sources import array_rows, arrays, params, sparse_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -173,20 +173,54 @@ def npz_append(s: SparkSession, d: str) -> DataFrame:
     return _arrays(s.read.format("npz").load(where))
 
 
-@query("SELECT 'big' AS name, vec_id - (SELECT min(vec_id) FROM embeddings) AS place, '<i8' AS dtype, 9007199254740993 + vec_id AS value FROM embeddings")
+def numbered(s: SparkSession, d: str) -> DataFrame:
+    """The embeddings by their place in order of id."""
+    return sparse_text.batches(table(s, d, "embeddings"), BATCH, "vec_id").withColumnRenamed("row_idx", "row")
+
+
+def one_array(rows: DataFrame, name: str, shape: str, dtype: str) -> DataFrame:
+    """One .npy file that all tasks write, scanned by rows in partitions of 16 KiB."""
+    s = rows.sparkSession
+    array_rows.register(s)
+    where = f"{params.scratch(s, 'rows')}/{name}.npy"
+    rows.write.format("npy_rows").option("shape", shape).option("dtype", dtype).mode("overwrite").save(where)
+    return s.read.format("npy_rows").option("split", 16384).load(where)
+
+
+@query("SELECT 'big' AS name, row_number() OVER (ORDER BY vec_id) - 1 AS place, 9007199254740993 + vec_id AS value FROM embeddings")
 def npy_exact(s: SparkSession, d: str) -> DataFrame:
-    """Whole numbers beyond the exact doubles, through the raw bytes of an NPY file."""
-    arrays.register(s)
-    where = params.scratch(s, "npy")
-    ids = table(s, d, "embeddings").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # one array is what the file is
-    digits = "concat_ws('', transform(ids, i -> hex(unhex(lpad(hex(9007199254740993L + i), 16, '0')))))"
-    swapped = "concat_ws('', transform(sequence(0, size(ids) * 8 - 1), p -> substr(h, 2 * (p - p % 8 + 7 - p % 8) + 1, 2)))"
-    rows = ids.select("ids", F.expr(digits).alias("h")).select(F.lit("big").alias("name"), F.array(F.size("ids").cast("long")).alias("shape"), F.lit("<i8").alias("dtype"), F.lit(False).alias("fortran"), F.array().cast("array<double>").alias("data"), F.unhex(F.expr(swapped)).alias("raw"))
-    rows.write.format("npy").mode("overwrite").save(where)
-    back = s.read.format("npy").load(where).select("name", "dtype", F.expr("sequence(0L, shape[0] - 1)").alias("at"), F.hex("raw").alias("h"))
-    each = back.select("name", "dtype", "h", F.explode("at").alias("place"))
-    value = "cast(conv(concat(" + ", ".join(f"substr(h, cast(16 * place + {15 - 2 * i} as int), 2)" for i in range(8)) + "), 16, 10) as bigint)"
-    return each.select("name", "place", "dtype", F.expr(value).alias("value"))
+    """Whole numbers beyond the exact doubles, through the raw bytes of an NPY file's rows."""
+    rows = numbered(s, d)
+    digits = "lpad(hex(9007199254740993L + vec_id), 16, '0')"
+    swapped = "concat(" + ", ".join(f"substr({digits}, {15 - 2 * i}, 2)" for i in range(8)) + ")"
+    back = one_array(rows.select("row", F.lit(None).cast("array<double>").alias("data"), F.unhex(F.expr(swapped)).alias("raw")), "big", str(rows.count()), "<i8")
+    value = "cast(conv(concat(" + ", ".join(f"substr(hex(raw), {15 - 2 * i}, 2)" for i in range(8)) + "), 16, 10) as bigint)"
+    return back.select("name", F.col("row").alias("place"), F.expr(value).alias("value"))
+
+
+ROWED = "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, CAST(embedding[1] AS DOUBLE) AS first_value, CAST(embedding[64] AS DOUBLE) AS last_value, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 9) AS total FROM embeddings"
+
+
+def embedding_rows(s: SparkSession, d: str) -> DataFrame:
+    rows = numbered(s, d)
+    return one_array(rows.select("row", F.transform("embedding", lambda x: x.cast("double")).alias("data"), F.lit(None).cast("binary").alias("raw")), "vectors", f"{rows.count()},64", "<f4")
+
+
+def _rowed(df: DataFrame) -> DataFrame:
+    return df.select("row", F.col("data")[0].alias("first_value"), F.element_at("data", -1).alias("last_value"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
+
+
+@query(f"{ROWED}")
+def npy_rows_scan(s: SparkSession, d: str) -> DataFrame:
+    """All embeddings as one array, written by all tasks and read by rows from many partitions."""
+    return _rowed(embedding_rows(s, d))
+
+
+@query(f"SELECT * FROM ({ROWED}) WHERE row >= (SELECT count(*) // 3 FROM embeddings) AND row < (SELECT count(*) // 2 FROM embeddings)")
+def npy_rows_range(s: SparkSession, d: str) -> DataFrame:
+    """A range of rows: the conditions reach the scan, which opens the file there."""
+    n = table(s, d, "embeddings").count()
+    return _rowed(embedding_rows(s, d).filter((F.col("row") >= n // 3) & (F.col("row") < n // 2) & (F.col("name") == "vectors")))
 
 
 @query("SELECT 'b' AS name, CAST(6 AS BIGINT) AS n, '<i8' AS dtype, 1.0::DOUBLE AS first_value, 6.0::DOUBLE AS last_value")
@@ -465,6 +499,17 @@ def bucket_fifo(s: SparkSession, d: str) -> DataFrame:
     return lsh.fifo(sparse_rows(s, d))
 
 
+RING = "SELECT tbl, bucket, number % 128 AS slot, node, node AS seq, number FROM {src} WHERE number >= total - 128"
+
+
+@query(f"{SADR}, nb AS (SELECT tbl, bucket, id AS node, row_number() OVER (PARTITION BY tbl, bucket ORDER BY id % 2, id) - 1 AS number, count(*) OVER (PARTITION BY tbl, bucket) AS total FROM adr) {RING.format(src='nb')}")
+def bucket_ring_merge(s: SparkSession, d: str) -> DataFrame:
+    """Rings of the orders with even keys, kept, and those with odd keys put into them."""
+    rows = model.kept(sparse_rows(s, d))
+    first = model.kept(lsh.ring(rows.filter("node % 2 = 0")))
+    return lsh.ring(rows.filter("node % 2 = 1"), onto=first)
+
+
 @query(f"{SADR}, rk AS (SELECT tbl, bucket, id AS node, row_number() OVER (PARTITION BY tbl, bucket ORDER BY id) AS c FROM adr), late AS (SELECT tbl, bucket, arg_max(node, c) AS node FROM rk WHERE c > 128 AND {lsh.DRAW} % c = 1 GROUP BY ALL) SELECT rk.tbl, rk.bucket, CASE WHEN late.node IS NOT NULL AND c - 1 = {lsh.SLOT} THEN late.node ELSE rk.node END AS node, CASE WHEN late.node IS NOT NULL AND c - 1 = {lsh.SLOT} THEN late.node ELSE rk.node END AS seq, CAST(c - 1 AS INT) AS place FROM rk LEFT JOIN late ON rk.tbl = late.tbl AND rk.bucket = late.bucket WHERE c <= 128")
 def bucket_reservoir(s: SparkSession, d: str) -> DataFrame:
     return lsh.reservoir(sparse_rows(s, d))
@@ -538,10 +583,11 @@ def select_topk(s: SparkSession, d: str) -> DataFrame:
     return selection.topk(network.preactivation(dense(s, d, "record_id"), w, b), labels(s, d), 10)
 
 
-@query("SELECT g AS generation, i AS node, row_number() OVER (PARTITION BY g ORDER BY (i * 2654435761 + 1234 + g) % 2147483647, i) - 1 AS pos FROM range(2) AS t(g), range(200) AS u(i)")
+@query("SELECT g AS generation, vec_id AS node, row_number() OVER (PARTITION BY g ORDER BY (vec_id * (2654435761 * (g + 1) % 2147483647) + 1234) % 2147483647, vec_id) - 1 AS pos FROM range(2) AS t(g), embeddings")
 def node_permutations(s: SparkSession, d: str) -> DataFrame:
-    """The order of a layer's nodes, before and after a reshuffle."""
-    both = [selection.permutation(nodes(s), NODES, selection.SEED + g).select(F.lit(g).cast("long").alias("generation"), "node", "pos") for g in (0, 1)]
+    """The order of a layer with a node for each vector, before and after a reshuffle."""
+    rows = table(s, d, "embeddings").select(F.col("vec_id").alias("node"))
+    both = [selection.permutation(rows, g).select(F.lit(g).cast("long").alias("generation"), "node", "pos") for g in (0, 1)]
     return both[0].unionByName(both[1])
 
 
@@ -689,6 +735,61 @@ def packed_predict(s: SparkSession, d: str) -> DataFrame:
     return network.packed_forward(rows, w, b).select("record_id", "predicted")
 
 
+# tiles of 24 nodes and 16 features: a wide layer of 200 nodes and 64 inputs makes nine by five, with records in four blocks
+SIDE, ROWS = 24, 4
+
+
+def wide_rows(s: SparkSession) -> DataFrame:
+    w, b = wide(s)
+    return w.unionByName(b.select("node", F.lit(model.BIAS).cast("long").alias("f"), F.col("b").alias("w")))
+
+
+def with_bias(s: SparkSession, d: str) -> DataFrame:
+    return model.Network.input(dense(s, d, "record_id"), labels(s, d))
+
+
+WIDE_Z = f"WITH {oracle.EMB}, {oracle.LABELS}, {oracle.layer('n', 2, NODES, 64)}, {oracle.forward('emb', 'n', 'zz', False)}"
+
+
+@query(f"{WIDE_Z} SELECT record_id, node, round(z, 6) AS z FROM zz")
+def tiled_dots(s: SparkSession, d: str) -> DataFrame:
+    """A wide dense layer by tiles: no row for a product."""
+    return tiles.dots(with_bias(s, d), wide_rows(s), 64, ROWS, SIDE).select("record_id", "node", F.round("z", 6).alias("z"))
+
+
+@query(f"{WIDE_Z} SELECT record_id, node AS predicted FROM (SELECT record_id, node, row_number() OVER (PARTITION BY record_id ORDER BY round(z, 9) DESC, node) AS r FROM zz) WHERE r = 1")
+def tiled_predict(s: SparkSession, d: str) -> DataFrame:
+    return tiles.predicted(with_bias(s, d), wide_rows(s), 64, ROWS, SIDE)
+
+
+#: output deltas of the wide layer, and what they pull on: its inputs above zero, and its weights
+WIDE_D = f"{WIDE_Z}, {oracle.SOFTMAX}, {oracle.delta('128')}"
+
+
+def wide_delta(s: SparkSession, d: str) -> DataFrame:
+    z = tiles.dots(with_bias(s, d), wide_rows(s), 64, ROWS, SIDE)
+    return network.output_delta(network.softmax(z), labels(s, d), BATCH)
+
+
+@query(f"{WIDE_D} SELECT d.record_id, w.f AS node, round(sum(d.delta * w.w), 8) AS delta FROM dd d JOIN nw w ON d.node = w.node JOIN emb e ON e.id = d.record_id AND e.f = w.f WHERE e.v > 0 GROUP BY ALL")
+def tiled_backprop(s: SparkSession, d: str) -> DataFrame:
+    back = tiles.hidden_delta(wide_delta(s, d), wide(s)[0], dense(s, d, "record_id"), NODES, ROWS, SIDE)
+    return back.select("record_id", "node", F.round("delta", 8).alias("delta"))
+
+
+@query(f"{WIDE_D} SELECT d.node, e.f, round(sum(d.delta * e.v), 7) AS g FROM dd d JOIN emb e ON e.id = d.record_id GROUP BY ALL UNION ALL SELECT node, -1, round(sum(delta), 7) FROM dd GROUP BY ALL")
+def tiled_gradient(s: SparkSession, d: str) -> DataFrame:
+    """Gradients of a wide layer's weights, and of its biases at feature -1."""
+    return tiles.gradient(wide_delta(s, d), with_bias(s, d), ROWS, SIDE).select("node", "f", F.round("g", 7).alias("g"))
+
+
+@query(f"WITH {oracle.SPARSE}, {oracle.layer('n', 2, NODES, 500)}, zz AS (SELECT x.id AS record_id, w.node, sum(w.w * x.v) AS z FROM sp x JOIN nw w ON x.f = w.f GROUP BY ALL) SELECT record_id, node AS predicted FROM (SELECT record_id, node, row_number() OVER (PARTITION BY record_id ORDER BY round(z, 9) DESC, node) AS r FROM zz) WHERE r = 1")
+def tiled_sparse_predict(s: SparkSession, d: str) -> DataFrame:
+    """Sparse records of 500 features, in tiles of 128 features and nodes, against a wide layer."""
+    w, _ = model.layer(s, 2, NODES, 500)
+    return tiles.predicted(sparse(s, d, "record_id"), w, 500, 64, 128)
+
+
 # --- control -------------------------------------------------------------------------------------------------------
 
 
@@ -726,11 +827,11 @@ def network_save_load(s: SparkSession, d: str) -> DataFrame:
     return state(other)
 
 
-@query("SELECT 20000::BIGINT AS n, true AS centred, true AS spread")
+@query(f"WITH c AS (SELECT id, f FROM ({oracle.EMB[8:-1]})), {oracle.uniform('c', 5, 0, 'ua')}, {oracle.uniform('c', 5, 1, 'ub')} SELECT ua.id AS node, ua.f, round(0.01 * sqrt(-2 * ln(ua.u)) * cos(2 * pi() * ub.u), 9) AS w FROM ua JOIN ub ON ua.id = ub.id AND ua.f = ub.f")
 def gaussian_init(s: SparkSession, d: str) -> DataFrame:
-    """Weights drawn from N(0, 0.01): their number, and whether mean and deviation are near."""
-    g = model.gaussian(s, 200, 100, seed=5).agg(F.count("*").alias("n"), F.avg("w").alias("mean"), F.stddev("w").alias("sd"))
-    return g.select("n", (F.abs("mean") < 5e-4).alias("centred"), (F.abs(F.col("sd") - 0.01) < 5e-4).alias("spread"))
+    """Normal weights of a node for each vector: a function of node, feature and seed, whatever the partitions."""
+    cells = dense(s, d, "node").select("node", "f")
+    return cells.select("node", "f", F.round(model.normal(F.col("node"), F.col("f"), 5) * 0.01, 9).alias("w"))
 
 
 @query("WITH c AS (SELECT count(*) AS n, count(*) // 128 AS b FROM embeddings), t AS (SELECT i FROM range(1000) AS r(i), c WHERE i < b) SELECT i AS iter, 'train' AS kind, 128::BIGINT AS n FROM t UNION ALL SELECT i, 'eval', least(20 * 128, c.n) FROM t, c WHERE i % 2 = 0 UNION ALL SELECT b - 1, 'eval', n FROM c")
@@ -762,7 +863,7 @@ def active_sql(c: config.Config) -> str:
         f"{oracle.winners('hr', 'w1')}, s1 AS (SELECT id, bin, pos AS h FROM w1), {oracle.densified('s1', hashes, 'd1')}, {oracle.address('d1', k, l, c.bits, 'qa')}, "
         "hits AS (SELECT q.id, b.node, count(*) AS n FROM qa q JOIN bk b ON q.tbl = b.tbl AND q.bucket = b.bucket GROUP BY ALL), "
         f"cand AS MATERIALIZED (SELECT id, node, sum(n) AS n FROM (SELECT id, node, n FROM hits UNION ALL SELECT record_id, label, {l} FROM tgt JOIN mine ON mine.id = record_id) GROUP BY ALL), "
-        f"pm AS (SELECT n.n AS node, row_number() OVER (ORDER BY (n.n * 2654435761 + {selection.SEED} + (i + 1) // {c.reshuffle}) % 2147483647, n.n) - 1 AS pos FROM range({n}) AS n(n), now), "
+        f"pm AS (SELECT n.n AS node, row_number() OVER (ORDER BY (n.n * (2654435761 * ((i + 1) // {c.reshuffle} + 1) % 2147483647) + {selection.SEED}) % 2147483647, n.n) - 1 AS pos FROM range({n}) AS n(n), now), "
         f"tn AS (SELECT node, CASE WHEN pos >= {n // 3} THEN pos - {n // 3} ELSE pos + {n - n // 3} END AS turn FROM pm), hv AS (SELECT id, count(*) AS have FROM cand GROUP BY id), "
         f"sp AS (SELECT hv.id, tn.node, row_number() OVER (PARTITION BY hv.id ORDER BY tn.turn) AS r, have FROM hv CROSS JOIN tn WHERE have < {c.enough} AND NOT EXISTS (SELECT 1 FROM cand d WHERE d.id = hv.id AND d.node = tn.node)), "
         f"act AS MATERIALIZED (SELECT id, node FROM cand UNION ALL SELECT id, node FROM sp WHERE r <= {c.fill} - have)"
@@ -823,12 +924,20 @@ def train_sampled_metrics(s: SparkSession, d: str) -> DataFrame:
     return metrics(s, model.train(net, dense(s, d, "record_id"), labels(s, d), labels(s, d)))
 
 
-@query("SELECT 'k' || vec_id AS key, CASE WHEN vec_id % 5 = 0 THEN 'new' ELSE 'old' END AS dtype, CAST(CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS ts FROM embeddings")
+@query("SELECT 'k' || vec_id AS key, CASE WHEN vec_id % 7 = 0 THEN 'late' WHEN vec_id % 5 = 0 THEN 'new' ELSE 'old' END AS dtype, CAST(CASE WHEN vec_id % 7 = 0 THEN 2 WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS ts, 2::BIGINT AS version, 1::BIGINT AS refused FROM embeddings")
 def param_version_swap(s: SparkSession, d: str) -> DataFrame:
-    """Key-value rows, a fifth of them put again: the second version is what readers see."""
+    """Key-value rows; then two writers put others over version 0: the second to commit is refused and puts its rows over the first one's."""
     store = params.Store(s, params.scratch(s, "store"))
     e = table(s, d, "embeddings")
-    first = e.select(F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("key"), F.lit("old").alias("dtype"), F.lit(0).cast("long").alias("ts"))
-    store.upsert("kv", first)
-    store.upsert("kv", e.filter("vec_id % 5 = 0").select(F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("key"), F.lit("new").alias("dtype"), F.lit(1).cast("long").alias("ts")))
-    return store.read("kv")
+
+    def rows(every: int, dtype: str, ts: int) -> DataFrame:
+        return e.filter(f"vec_id % {every} = 0").select(F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("key"), F.lit(dtype).alias("dtype"), F.lit(ts).cast("long").alias("ts"))
+
+    base, refused = store.upsert("kv", rows(1, "old", 0)), 0
+    store.upsert("kv", rows(5, "new", 1), based=base)
+    try:
+        store.upsert("kv", rows(7, "late", 2), based=base)
+    except params.Conflict:
+        refused += 1
+        store.upsert("kv", rows(7, "late", 2))
+    return store.read("kv").withColumns({"version": F.lit(store.version("kv")).cast("long"), "refused": F.lit(refused).cast("long")})

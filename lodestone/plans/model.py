@@ -6,6 +6,7 @@ bias's gradient is a weight's. A step is one plan for the output probabilities a
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass, field
 
@@ -32,9 +33,25 @@ def bias(layer: int, node: Column) -> Column:
     return ((node * 31 + F.lit(layer * 17)) % 101 - 50).cast("double") / F.lit(1000.0)
 
 
+def uniform(a: Column, b: Column, seed: int, turn: int) -> Column:
+    """A number within 0 and 1, both left out, from two counters, a seed and a turn: a 32-bit mixer of integer columns, so that it's the
+    same under any partitioning and in every engine."""
+    word = F.lit(1 << 32)
+    x = (F.pmod(a, F.lit(1 << 31)) * F.lit(2654435761) % word + F.pmod(b, F.lit(1 << 31)) * F.lit(2246822519) % word + F.lit((seed * 3266489917 + turn * 668265263) % (1 << 32))) % word
+    for _ in range(2):
+        x = x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(73244475) % word
+    return (x.bitwiseXOR(F.shiftright(x, 16)) + F.lit(0.5)) / F.lit(float(1 << 32))
+
+
+def normal(a: Column, b: Column, seed: int) -> Column:
+    """A number from N(0, 1) for two counters, by Box and Muller."""
+    return F.sqrt(F.lit(-2.0) * F.ln(uniform(a, b, seed, 0))) * F.cos(F.lit(2 * math.pi) * uniform(a, b, seed, 1))
+
+
 def gaussian(spark: SparkSession, nodes: int, dim: int, seed: int = 0, sd: float = 0.01) -> DataFrame:
-    """(node, f, w) drawn from N(0, sd)."""
-    return spark.range(nodes * dim).select(F.floor(F.col("id") / dim).alias("node"), (F.col("id") % dim).alias("f"), (F.randn(seed) * sd).alias("w"))
+    """(node, f, w) drawn from N(0, sd), each weight by its own counters."""
+    grid = spark.range(nodes * dim).select(F.floor(F.col("id") / dim).alias("node"), (F.col("id") % dim).alias("f"))
+    return grid.withColumn("w", normal(F.col("node"), F.col("f"), seed) * sd)
 
 
 def layer(spark: SparkSession, number: int, nodes: int, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -141,17 +158,16 @@ class Network:
         targets = targets if j == self.last else None
         labels = targets if targets is not None else self.spark.createDataFrame([], "record_id long, label long")
         nodes = self.spark.range(n).withColumnRenamed("id", "node")
-        seed = selection.SEED + self.generation
         if self.hashed(j, training):
             if j not in self.buckets:
                 self.rehash()
             rows = x.select(F.col("record_id").alias("id"), "f", "v")
             hits = lsh.probe(self.address(j, rows, records.select(F.col("record_id").alias("id"))), self.buckets[j])
             found = selection.candidates(hits, targets, c.l[j])
-            return selection.threshold(found) if c.mode == 1 else selection.sampling(records, found, nodes, n, n // 3, c.enough, c.fill, seed)
+            return selection.threshold(found) if c.mode == 1 else selection.sampling(records, found, nodes, n, n // 3, c.enough, c.fill, self.generation)
         size = int(n * share)
         if j == self.last and c.mode == 2:
-            return selection.random(records, labels, nodes, n, size, seed)
+            return selection.random(records, labels, nodes, n, size, self.generation)
         if j == self.last and c.mode == 3:
             return selection.topk(network.dots(self.input(x, records), self.weights(j)), labels, size)
         return selection.nothing(selection.dense(records, nodes))

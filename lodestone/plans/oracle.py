@@ -127,3 +127,12 @@ BACK = (
     "hd AS (SELECT d.record_id, w.f AS node, sum(d.delta * w.w) AS delta FROM dd d JOIN cw w ON d.node = w.node GROUP BY ALL), "
     "hdd AS (SELECT h.* FROM hd h JOIN hid a ON a.id = h.record_id AND a.f = h.node WHERE a.v > 0)"
 )
+
+
+def uniform(src: str, seed: int, turn: int, name: str) -> str:
+    """(id, f, u) of a table (id, f): the counter-based numbers of model.uniform."""
+    word = 1 << 32
+    out = f"{name}0 AS (SELECT id, f, (id % 2147483648 * 2654435761 % {word} + f % 2147483648 * 2246822519 % {word} + {(seed * 3266489917 + turn * 668265263) % word}) % {word} AS x FROM {src}), "
+    for r in (1, 2):
+        out += f"{name}{r} AS (SELECT id, f, xor(x, x // 65536) * 73244475 % {word} AS x FROM {name}{r - 1}), "
+    return out + f"{name} AS (SELECT id, f, (xor(x, x // 65536) + 0.5::DOUBLE) / {word}::DOUBLE AS u FROM {name}2)"
