@@ -10,6 +10,8 @@ vectors of a box are cut into chunks of about CHUNK, so no box is too large for
 chunk and, as a guest, to each later chunk whose box is within the block's radius of it. The home vectors of a chunk stay
 in memory and its guests stream past. The tree only routes; its sample changes no result.
 
+Vectors are scaled by powers of two first, so very large and very small ones link like others.
+
 Pairs are never written out: a task returns each vector's number of partners and the links that connect its classes. A
 pair found in several blocks counts in the first one; block distances are of coordinates rounded to 2**-20, so they are
 exact numbers, equal in every task. Equal vectors are one vector with a weight.
@@ -33,6 +35,12 @@ BLOCK, CHUNK, LEAVES, SAMPLE, SEED = 16, 4096, 1024, 16384, 7
 GRID, SLACK = float(1 << 20), 1e-5
 
 
+def levelled(x: np.ndarray) -> np.ndarray:
+    """The vectors by powers of two that bring each one's largest component near 1, so that no square leaves the doubles' range. Cosines stay."""
+    top = np.frexp(np.abs(x).max(axis=1, initial=0))[1]
+    return np.ldexp(x, -top[:, None])
+
+
 class Plan:
     """The rotation, the blocks and the boxes for vectors of one length."""
 
@@ -162,7 +170,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     for dim, n in sorted(sizes.items()):
         share = min(1.0, SAMPLE / n)
         some = distinct.filter(F.size("v") == dim).filter(common.draw("uid") < common.threshold(share)).limit(SAMPLE)
-        plans[dim] = Plan(dim, cosine, np.array([r.v for r in some.select("v").collect()], np.float64).reshape(-1, dim), n, chunk)
+        plans[dim] = Plan(dim, cosine, levelled(np.array([r.v for r in some.select("v").collect()], np.float64).reshape(-1, dim)), n, chunk)
 
     def vectors(b: pa.RecordBatch, col: int) -> tuple[np.ndarray, np.ndarray]:
         flat = b.column(col)
@@ -173,7 +181,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
         starts = np.concatenate([[0], np.cumsum(sizes_)])
         for dim in np.unique(sizes_):
             at = np.flatnonzero(sizes_ == dim)
-            yield int(dim), at, flat[starts[at][:, None] + np.arange(dim)[None, :]]
+            yield int(dim), at, levelled(flat[starts[at][:, None] + np.arange(dim)[None, :]])
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int, int], int] = {}
