@@ -1,7 +1,7 @@
 """Language identification by rank-order n-gram profiles (Cavnar and Trenkle 1994).
 
 A text is lowered and cut to letters, words set apart by one mark; its 1- to 4-grams (a mark may begin or end a gram) are
-ranked by frequency. A language's profile is the ranking over its labelled texts. The out-of-place distance adds, over the
+ranked by frequency. Grams are told by the upper 40 bits of a 64-bit hash. A language's profile is the ranking over its labelled texts. The out-of-place distance adds, over the
 text's TOP most frequent grams, how far each one's rank lies from its rank in the profile, TOP where the profile lacks it;
 the nearest language is predicted. score is 1 - distance / (TOP x grams).
 
@@ -74,7 +74,9 @@ def ranked(text: str, top: int = TOP) -> np.ndarray:
     if not len(g):
         return g
     gram, count = counted(g)
-    key = (np.minimum(count, (1 << 23) - 1).astype(np.uint64) << np.uint64(_BITS)) | (np.uint64(_LOW) - gram)
+    if count.max() >> (64 - _BITS):  # too many to stand beside the gram in one number
+        return gram[np.lexsort((gram, -count))[:top]]
+    key = (count.astype(np.uint64) << np.uint64(_BITS)) | (np.uint64(_LOW) - gram)
     if len(key) > top:
         key = np.partition(key, len(key) - top)[-top:]
     key = np.sort(key)[::-1]
