@@ -39,8 +39,10 @@ APART = frozenset("nav header footer aside form head button dialog menu".split()
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 # Words of class and id attributes that mark text as something else than the article.
 MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo recommended related replies share sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+# Words that stand beside them in such names and change nothing; a name with any other word, as in social-science or share-price, is the author's own.
+PLAIN = frozenset("area aside bar block body bottom box button card container content fixed footer form global group header holder inline inner item items left link links list local main menu message module nav outer overlay page panel placeholder post posts primary region right row secondary section site slot sticky stories sub text title toggle top unit widget widgets wrap wrapper".split())
 INSIDE = frozenset({"html", "body", "main"})
-RAW = frozenset("script style noscript template svg textarea select iframe object math title".split())
+RAW = frozenset("script style noscript template svg textarea select iframe object title".split())
 #: a class name that begins so says what an element has or lacks, not what it is
 ABOUT = ("has-", "with-", "no-", "without-", "is-", "not-")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -128,9 +130,13 @@ def told_apart(name: str, marks: dict[str, str]) -> bool:
     """Whether a block-level element's tag calls it something else than the article."""
     if name in APART or marks.get("role") in ROLES:
         return True
-    own = [x for key in ("class", "id") for x in marks.get(key, "").split() if not x.startswith(ABOUT)]
-    words = {w for x in own for w in re.findall(r"[a-z]+", x)}
-    return bool(words & (COMMENTS if name == "article" else MARKS))
+    marks_here = COMMENTS if name == "article" else MARKS
+    for key in ("class", "id"):
+        for token in marks.get(key, "").split():
+            words = re.findall(r"[a-z]+", token)
+            if not token.startswith(ABOUT) and any(w in marks_here for w in words) and all(w in MARKS or w in PLAIN for w in words):
+                return True
+    return False
 
 
 Line = tuple[str, int, int, bool, bool, bool]
