@@ -16,8 +16,8 @@ Result: one row per passage of a document that a document of smaller doc_id has
 link through it. Of a pair's rows, one inside another in the document is that passage again, as in texts of one line many times
 over, and left out, and so are its overlapping places that others cover; copies at other places of the document have rows of their own. Where parts of one passage have different smallest documents, each part is extended by alignment.
 
-Defined results. Null texts and rows with a null id have no passages. Rows with equal doc_id are not compared with one
-another; repeats inside one document are not reported. Words are [^\\x20\\x09-\\x0D]+ with A-Z lowered. An empty table gives
+Defined results. Null texts and rows with a null id have no passages. Rows that share an id but not a text are documents of their own, which
+may be each other's ref; rows equal in both are one document. Repeats inside one document are not reported. Words are [^\\x20\\x09-\\x0D]+ with A-Z lowered. An empty table gives
 no rows; texts are read whole; only the id and text columns are read."""
 
 from __future__ import annotations
@@ -347,6 +347,21 @@ def apart(rows: list[tuple]) -> list[tuple]:
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, like: float = LIKE) -> DataFrame:
     """One row per repeated passage; see the module's text."""
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
+    if docs.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return passages(docs, id_col, least, like)
+    # numbers in order of id and text stand for rows; ranges of both split an id that many rows share
+    told = docs.select("doc", F.xxhash64("text").alias("t")).distinct().repartitionByRange(common.partitions(df.sparkSession), "doc", "t").sortWithinPartitions("doc", "t")
+    told = common.checkpoint(told.withColumn("row", F.monotonically_increasing_id()))
+    rows = common.checkpoint(docs.withColumn("t", F.xxhash64("text")).join(told, ["doc", "t"]).select(F.col("row").alias("doc"), "text"))
+    got = passages(rows, "row", least, like)
+    ids = told.select("row", F.col("doc").alias("__doc"))
+    refs = told.select(F.col("row").alias("ref_doc_id"), F.col("doc").alias("__ref"))
+    named = got.join(ids, "row").join(refs, "ref_doc_id")
+    return named.select(F.col("__doc").alias(id_col), F.col("__ref").alias("ref_doc_id"), *got.columns[2:])
+
+
+def passages(docs: DataFrame, id_col: str, least: int, like: float) -> DataFrame:
+    """The passages of texts (doc, text), where rows of one doc have the same text."""
     found = seeds(docs)
     shared = found.filter("first").groupBy("h").agg(F.min("doc").alias("ref"), F.max("doc").alias("most"), F.min_by("pos", "doc").alias("ref_pos")).filter("ref <> most").select("h", "ref", "ref_pos")
     shared = common.checkpoint(shared)  # so that the join's sides are plain exchanges, of which Spark splits a seed's many places
@@ -405,6 +420,6 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty = [F.lit(None).cast(cand.schema[c].dataType).alias(c) for c in ("doc", "ref", "xs", "ys")]
     heads = cand.select("c", F.lit(2).alias("side"), F.lit(None).cast(cand.schema["around"].dataType).alias("around"), F.lit(None).cast("array<binary>").alias("words"), "doc", "ref", "xs", "ys")
     parts = slices.select("c", "side", "around", "words", *empty).unionByName(heads)
-    n = common.partitions(df.sparkSession)
+    n = common.partitions(docs.sparkSession)
     out = f"{id_col} long, ref_doc_id long, start_word long, end_word long, ref_start_word long, ref_end_word long, n_matched long, identity double"
     return parts.repartition(n, "c").sortWithinPartitions("c", F.expr("case side when 2 then -1 else side end")).mapInArrow(align, out).distinct()
