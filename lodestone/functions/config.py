@@ -6,7 +6,7 @@ import math
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FAMILIES = ("dwta", "wta", "minhash", "srp")
@@ -137,6 +137,11 @@ def worker(argv0: str) -> int:
     return int(m[1]) - 1
 
 
+def worker_of(name: Column) -> Column:
+    """The same of a column of names; null for others."""
+    return (F.nullif(F.regexp_extract(name, "^w([0-9]+)$", 1), F.lit("")).cast("long") - 1).alias("worker")
+
+
 def command_line(argv: list[str], base: Config | None = None) -> tuple[int, Config]:
     """The worker number and the configuration of `w<N> test_path train_path`; paths given override those of the configuration."""
     c = base or Config()

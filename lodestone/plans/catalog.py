@@ -5,8 +5,6 @@ quantity / 50, label supplier mod 50."""
 
 from __future__ import annotations
 
-import ast
-import os
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -102,19 +100,30 @@ def batch_work_split(s: SparkSession, d: str) -> DataFrame:
     return batched(s, d).groupBy("batch_id", F.least(F.floor(F.col("row_idx") % BATCH / (BATCH // 3)), F.lit(2)).alias("worker")).agg(F.count("*").alias("n"))
 
 
-CONFIG = ["# comment", "K=2,6", "", "Lr = 0.001", "Unknown=1", "Epoch=abc", "ab", "noequals", "Batchsize=64", "K = 3,7", "logFile=a=b"]
-CONFIG_VALUES = ", ".join(f"({i}, '{x}')" for i, x in enumerate(CONFIG))
+def numbered(s: SparkSession, d: str) -> DataFrame:
+    """The embeddings by their place in order of id."""
+    return sparse_text.batches(table(s, d, "embeddings"), BATCH, "vec_id").withColumnRenamed("row_idx", "row")
+
+
+# Lines that settings are read from, by kind; each embedding gives one.
+CONFIG = ("concat('# K=', vec_id)", "concat('K=', label, ',', vec_id)", "concat(' Lr = 0.', vec_id, ' ')", "concat('Unknown=', vec_id)", "'ab'", "'noequals'", "concat('Batchsize = ', vec_id)", "concat('logFile=a=', vec_id)")
+CONFIG_LINE = "CASE vec_id % 8 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(CONFIG)) + " END"
 CONFIG_KEYS = ", ".join(f"'{k}'" for k in config.KEYS)
 
 
-@query(f"WITH c(line_no, raw) AS (VALUES {CONFIG_VALUES}), t AS (SELECT line_no, trim(raw) AS line FROM c WHERE length(trim(raw)) >= 3 AND NOT starts_with(trim(raw), '#') AND contains(raw, '=')), k AS (SELECT line_no, trim(regexp_extract(line, '^([^=]*)=', 1)) AS key, trim(regexp_extract(line, '^[^=]*=(.*)$', 1)) AS value FROM t) SELECT key, arg_max(value, line_no) AS value FROM k WHERE key IN ({CONFIG_KEYS}) GROUP BY key")
+@query(f"WITH c AS (SELECT vec_id AS line_no, {CONFIG_LINE} AS raw FROM embeddings), t AS (SELECT line_no, trim(raw) AS line FROM c WHERE length(trim(raw)) >= 3 AND NOT starts_with(trim(raw), '#') AND contains(raw, '=')), k AS (SELECT line_no, trim(regexp_extract(line, '^([^=]*)=', 1)) AS key, trim(regexp_extract(line, '^[^=]*=(.*)$', 1)) AS value FROM t) SELECT key, arg_max(value, line_no) AS value FROM k WHERE key IN ({CONFIG_KEYS}) GROUP BY key")
 def config_parse(s: SparkSession, d: str) -> DataFrame:
-    return config.rows(s.createDataFrame(list(enumerate(CONFIG)), "line_no long, value string"))
+    """Settings from a table of lines, of which the last of a key counts."""
+    return config.rows(table(s, d, "embeddings").select(F.col("vec_id").alias("line_no"), F.expr(CONFIG_LINE).alias("value")))
 
 
-@query("SELECT w.w AS worker, w.w * 255616 AS start, least((w.w + 1) * 255616, 511104) AS stop FROM range(2) AS w(w)")
+@query("WITH c AS (SELECT count(*) AS n, CAST(ceil(ceil(count(*) / 128) / 2) * 128 AS BIGINT) AS b FROM embeddings), r AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, label FROM embeddings) SELECT i // b AS worker, i // b * b AS start, least((i // b + 1) * b, any_value(n)) AS stop, count(*) AS n, CAST(sum(label) AS BIGINT) AS total FROM r, c GROUP BY i // b, b")
 def array_partition_ranges(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame([(w, a, b) for w, (a, b) in enumerate(config.ranges(511104, 2, 128))], "worker long, start long, stop long")
+    """The ranges of an array of labels that two workers have, and what lies in them."""
+    rows = numbered(s, d)
+    parts = [(w, a, b) for w, (a, b) in enumerate(config.ranges(rows.count(), 2, 128))]
+    at = F.floor(F.col("row") / (parts[0][2] - parts[0][1]))
+    return rows.groupBy(at.alias("worker")).agg(F.count("*").alias("n"), F.sum("label").alias("total")).join(s.createDataFrame(parts, "worker long, start long, stop long"), "worker")
 
 
 @query("SELECT vec_id // 64 AS block, 'layer0_weights_' || (vec_id // 64 * 64) || '_' || least((vec_id // 64 + 1) * 64, (SELECT count(*) FROM embeddings)) AS key, min(vec_id) AS first_idx, max(vec_id) AS last_idx, count(*) AS n FROM embeddings GROUP BY ALL")
@@ -123,15 +132,17 @@ def array_block_keys(s: SparkSession, d: str) -> DataFrame:
     return e.groupBy("block", params.block_key(F.lit("layer0_weights"), F.col("block"), e.count(), 64).alias("key")).agg(F.min("vec_id").alias("first_idx"), F.max("vec_id").alias("last_idx"), F.count("*").alias("n"))
 
 
-@query("SELECT row_number() OVER (ORDER BY (i * 2654435761 + 1234) % 2147483647, i) - 1 AS pos, i AS idx, i * i AS val FROM range(2000) AS t(i)")
+@query("SELECT row_number() OVER (ORDER BY (vec_id * 2654435761 + 1234) % 2147483647, vec_id) - 1 AS pos, vec_id AS idx, CAST(label AS BIGINT) AS val FROM embeddings")
 def array_shuffle(s: SparkSession, d: str) -> DataFrame:
-    return params.shuffled(params.array(s, 2000, F.col("id") * F.col("id")), 1234)
+    return params.shuffled(table(s, d, "embeddings").select(F.col("vec_id").alias("idx"), F.col("label").cast("long").alias("val")), 1234)
 
 
-@query("SELECT i AS idx, CASE WHEN i % 10 = 0 THEN -1 ELSE i * 2 END AS val FROM range(100, 1100) AS t(i)")
+@query("WITH r AS (SELECT 99 + row_number() OVER (ORDER BY vec_id) AS idx, label FROM embeddings) SELECT idx, CASE WHEN idx % 10 = 0 THEN CAST(-label AS BIGINT) ELSE idx * 2 END AS val FROM r")
 def array_init_set(s: SparkSession, d: str) -> DataFrame:
-    a = params.array(s, 1000, F.col("id") * 2, offset=100)
-    return params.updated(a, s.range(100, 1100, 10).select(F.col("id").alias("idx"), F.lit(-1).cast("long").alias("val")))
+    """An array from index 100 on, filled by an expression; a tenth of its elements are set from the table."""
+    rows = numbered(s, d).withColumn("idx", F.col("row") + 100)
+    a = params.array(s, rows.count(), F.col("id") * 2, offset=100)
+    return params.updated(a, rows.filter("idx % 10 = 0").select("idx", (-F.col("label")).cast("long").alias("val")))
 
 
 def _some(s: SparkSession, d: str) -> DataFrame:
@@ -162,22 +173,17 @@ def npz_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return _round(s, d, "npz")
 
 
-@query("SELECT * FROM (VALUES ('a', CAST(4 AS BIGINT), '<f8', 0.0::DOUBLE, 3.0::DOUBLE), ('b', CAST(6 AS BIGINT), '<i8', 1.0::DOUBLE, 6.0::DOUBLE)) AS t(name, n, dtype, first_value, last_value)")
+@query(ARRAYS)
 def npz_append(s: SparkSession, d: str) -> DataFrame:
+    """Archives of the even ids, to which those of the odd ones are added."""
     arrays.register(s)
-    where = arrays.local(params.scratch(s, "npz"))
-    os.makedirs(where)
-    where += "/x.npz"
-    arrays.save_npz(where, "a", np.arange(4.0))
-    arrays.save_npz(where, "b", np.arange(1, 7).reshape(2, 3), append=True)
+    where, rows = params.scratch(s, "npz"), _some(s, d)
+    odd = F.substring("name", 2, 20).cast("long") % 2 == 1
+    rows.filter(~odd).write.format("npz").mode("overwrite").save(where)
+    rows.filter(odd).write.format("npz").mode("append").save(where)
     return _arrays(s.read.format("npz").load(where))
 
 
-def numbered(s: SparkSession, d: str) -> DataFrame:
-    """The embeddings by their place in order of id."""
-    return sparse_text.batches(table(s, d, "embeddings"), BATCH, "vec_id").withColumnRenamed("row_idx", "row")
-
-
 def one_array(rows: DataFrame, name: str, shape: str, dtype: str) -> DataFrame:
     """One .npy file that all tasks write, scanned by rows in partitions of 16 KiB."""
     s = rows.sparkSession
@@ -223,15 +229,14 @@ def npy_rows_range(s: SparkSession, d: str) -> DataFrame:
     return _rowed(embedding_rows(s, d).filter((F.col("row") >= n // 3) & (F.col("row") < n // 2) & (F.col("name") == "vectors")))
 
 
-@query("SELECT 'b' AS name, CAST(6 AS BIGINT) AS n, '<i8' AS dtype, 1.0::DOUBLE AS first_value, 6.0::DOUBLE AS last_value")
+@query("SELECT 'v' || vec_id AS name, t.i AS row, CAST(embedding[t.i + 1] AS DOUBLE) AS value FROM embeddings, range(64) AS t(i) WHERE vec_id IN (1, 4)")
 def npz_variable(s: SparkSession, d: str) -> DataFrame:
-    """One variable of an archive of two."""
+    """Some variables of archives of all embeddings: the names reach the scan, which reads no other member."""
     arrays.register(s)
-    where = arrays.local(params.scratch(s, "npz"))
-    os.makedirs(where)
-    arrays.save_npz(f"{where}/x.npz", "a", np.arange(4.0))
-    arrays.save_npz(f"{where}/x.npz", "b", np.arange(1, 7).reshape(2, 3), append=True)
-    return _arrays(s.read.format("npz").option("variable", "b").load(f"{where}/x.npz"))
+    array_rows.register(s)
+    where = params.scratch(s, "npz")
+    _some(s, d).write.format("npz").mode("overwrite").save(where)
+    return s.read.format("npz_rows").load(where).filter(F.col("name").isin("v1", "v4")).select("name", "row", F.col("data")[0].alias("value"))
 
 
 @query("WITH o AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), r AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS row_idx FROM o), f AS (SELECT l_orderkey AS k, count(DISTINCT l_partkey % 500) AS n_features FROM lineitem GROUP BY ALL), l AS (SELECT l_orderkey AS k, CAST(count(DISTINCT l_suppkey % 50) AS BIGINT) AS n_labels FROM lineitem GROUP BY ALL) SELECT row_idx, n_labels, n_features, CASE WHEN r.k % 7 = 0 THEN 5 ELSE 0 END AS n_rejected FROM r JOIN f ON r.k = f.k JOIN l ON r.k = l.k")
@@ -266,38 +271,40 @@ def preset_row(name: str, c: config.Config) -> tuple:
 
 # The two workloads' shapes.
 @query(
-    "SELECT name, input_dim::BIGINT AS input_dim, records::BIGINT AS records, test_records::BIGINT AS test_records, 128::BIGINT AS batch, 6400::BIGINT AS rehash, 128000::BIGINT AS rebuild, 10::BIGINT AS epoch, 1000::BIGINT AS step_size, 1e-4::DOUBLE AS lr, sizes, '2,6' AS k, '20,50' AS l, '6,18' AS range_pow "
-    "FROM (VALUES ('default', 5000, 15539, 3809, '128,3993'), ('large', 203882, 1186239, 153025, '128,13330')) AS t(name, input_dim, records, test_records, sizes)"
+    "SELECT name, input_dim::BIGINT AS input_dim, records::BIGINT AS records, test_records::BIGINT AS test_records, 128::BIGINT AS batch, 6400::BIGINT AS rehash, 128000::BIGINT AS rebuild, 10::BIGINT AS epoch, 1000::BIGINT AS step_size, 1e-4::DOUBLE AS lr, sizes, '2,6' AS k, '20,50' AS l, '6,18' AS range_pow, b AS batches, b * 10 // 50 AS rehashes "
+    "FROM (VALUES ('default', 5000, 15539, 3809, '128,3993'), ('large', 203882, 1186239, 153025, '128,13330')) AS t(name, input_dim, records, test_records, sizes), (SELECT count(DISTINCT l_orderkey) // 128 AS b FROM lineitem)"
 )
 def config_presets(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame([preset_row(n, c) for n, c in PRESETS], "name string, input_dim long, records long, test_records long, batch long, rehash long, rebuild long, epoch long, step_size long, lr double, sizes string, k string, l string, range_pow string")
+    """The presets, with the batches that they make of the orders and how often a training on these fills the tables anew."""
+    rows = s.createDataFrame([preset_row(n, c) for n, c in PRESETS], "name string, input_dim long, records long, test_records long, batch long, rehash long, rebuild long, epoch long, step_size long, lr double, sizes string, k string, l string, range_pow string")
+    n = table(s, d, "lineitem").agg(F.countDistinct("l_orderkey").alias("n"))
+    each = rows.crossJoin(n).withColumn("batches", F.floor(F.col("n") / F.col("batch")))  # one row
+    return each.withColumn("rehashes", F.floor(F.col("batches") * F.col("epoch") / F.floor(F.col("rehash") / F.col("batch")))).drop("n")
 
 
-@query("SELECT * FROM (VALUES ('w1', 0::BIGINT, 'a', 'b'), ('w12', 11::BIGINT, 'a', '')) AS t(name, worker, test_data, train_data)")
+@query("SELECT vec_id, CASE WHEN label = 0 THEN 'x' ELSE 'w' END || (vec_id + 1) AS name, CASE WHEN label = 0 THEN NULL ELSE vec_id END AS worker FROM embeddings")
 def command_line(s: SparkSession, d: str) -> DataFrame:
-    got = [(a[0], *config.command_line(a)) for a in (["w1", "a", "b"], ["w12", "a"])]
-    return s.createDataFrame([(a, n, c.test_data, c.train_data) for a, n, c in got], "name string, worker long, test_data string, train_data string")
+    """Worker numbers of process names; other names have none."""
+    names = table(s, d, "embeddings").select("vec_id", F.concat(F.when(F.col("label") == 0, "x").otherwise("w"), (F.col("vec_id") + 1).cast("string")).alias("name"))
+    return names.withColumn("worker", config.worker_of(F.col("name")))
 
 
-@query("SELECT 'z' AS name, 1000::BIGINT AS n, '<i4' AS dtype, 0.0::DOUBLE AS first_value, 999.0::DOUBLE AS last_value")
+@query(ARRAYS)
 def npz_deflated(s: SparkSession, d: str) -> DataFrame:
     """A compressed archive is read like a stored one."""
     arrays.register(s)
-    where = arrays.local(params.scratch(s, "npz"))
-    os.makedirs(where)
-    np.savez_compressed(f"{where}/x.npz", z=np.arange(1000, dtype="<i4"))
-    return _arrays(s.read.format("npz").load(f"{where}/x.npz"))
+    where = params.scratch(s, "npz")
+    _some(s, d).write.format("npz").option("compressed", "true").mode("overwrite").save(where)
+    return _arrays(s.read.format("npz").load(where))
 
 
-@query("SELECT * FROM (VALUES ('<f4', '(3,)', 1::BIGINT), ('<i8', '(2, 3)', 1::BIGINT)) AS t(dtype, shape, version)")
+@query("SELECT 'v' || vec_id AS name, '<f4' AS dtype, '64' AS shape, false AS fortran FROM embeddings")
 def npy_header(s: SparkSession, d: str) -> DataFrame:
-    """What a header says, read back from its bytes."""
-    rows = []
-    for a in (np.zeros(3, "<f4"), np.zeros((2, 3), "<i8")):
-        head = arrays.header(a)
-        about = ast.literal_eval(head[10:].decode("latin1"))
-        rows.append((about["descr"], str(about["shape"]), head[6]))
-    return s.createDataFrame(rows, "dtype string, shape string, version long")
+    """What the header of each array's file says."""
+    arrays.register(s)
+    where = params.scratch(s, "npy")
+    _some(s, d).write.format("npy").mode("overwrite").save(where)
+    return s.read.format("npy").load(where).select("name", "dtype", F.array_join("shape", ",").alias("shape"), "fortran")
 
 
 @query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, vec_id AS idx, vec_id * 3 AS val FROM embeddings")
@@ -332,9 +339,10 @@ def murmur3_text(s: SparkSession, d: str) -> DataFrame:
 DEN = f"WITH {oracle.EMB}, {oracle.layout(64, H)}, {oracle.winners('emb')}, sig AS (SELECT id, bin, pos AS h FROM win)"
 
 
-@query(f"WITH {oracle.layout(500, 300)} SELECT perm, f, bin, pos FROM lay")
+@query(f"WITH {oracle.SPARSE}, {oracle.layout(500, 300)}, c AS (SELECT f, count(*) AS n FROM sp GROUP BY f) SELECT perm, lay.f, bin, pos, n FROM lay JOIN c ON lay.f = c.f")
 def dwta_layout(s: SparkSession, d: str) -> DataFrame:
-    return hashing.layout(s, 500, 300)
+    """The places of features in bins, and how many records each place serves."""
+    return hashing.layout(s, 500, 300).join(sparse(s, d).groupBy("f").agg(F.count("*").alias("n")), "f")
 
 
 def dense_signature(s: SparkSession, d: str) -> DataFrame:
@@ -363,9 +371,11 @@ def dwta_densified(s: SparkSession, d: str) -> DataFrame:
     return hashing.densified(sparse_signature(s, d), H)
 
 
-@query(f"WITH {oracle.probes(H)} SELECT bin, attempt, target FROM prb")
+@query(f"{SPW}, {oracle.probes(H)}, c AS (SELECT bin, count(*) AS n FROM sig GROUP BY bin) SELECT prb.bin, attempt, target, coalesce(n, 0) AS n FROM prb LEFT JOIN c ON c.bin = target")
 def densify_probe(s: SparkSession, d: str) -> DataFrame:
-    return hashing.probes(s, H)
+    """Where an empty bin looks for a filled one, and in how many records it finds it there."""
+    filled = sparse_signature(s, d).groupBy(F.col("bin").alias("target")).agg(F.count("*").alias("n"))
+    return hashing.probes(s, H).join(filled, "target", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query(f"WITH {oracle.EMB}, {oracle.layout(64, H)}, {oracle.winners('emb')} SELECT id, bin, f AS h FROM win")
@@ -420,9 +430,10 @@ def lsh_address_minhash(s: SparkSession, d: str) -> DataFrame:
     return hashing.address_minhash(hashing.densified(hashing.minhash(sparse(s, d), H, 9, None), H), K, L, 9)
 
 
-@query(f"WITH {oracle.bins(H, 9, 500)} SELECT f, bin FROM mb")
+@query(f"WITH {oracle.SPARSE}, {oracle.bins(H, 9, 500)} SELECT f, bin FROM mb WHERE f IN (SELECT f FROM sp)")
 def minhash_map(s: SparkSession, d: str) -> DataFrame:
-    return s.range(500).select(F.col("id").alias("f"), hashing.minhash_bins(F.col("id"), H, 9).alias("bin"))
+    """The bins of the features that records have."""
+    return sparse(s, d).select("f").distinct().select("f", hashing.minhash_bins(F.col("f"), H, 9).alias("bin"))
 
 
 TOPH = f"WITH {oracle.EMB}, t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, f) AS r FROM emb), {oracle.bins(H, 9, 64)}, mh AS (SELECT id, bin, max(t.f) AS h FROM t JOIN mb ON t.f = mb.f WHERE r <= 30 GROUP BY ALL)"
@@ -433,17 +444,19 @@ def minhash_topk_densified(s: SparkSession, d: str) -> DataFrame:
     return hashing.densified(hashing.minhash(dense(s, d), H, 9), H)
 
 
-WEIGHTS = f"WITH {oracle.layer('n', 2, NODES, 64)}, emb AS (SELECT node AS id, f, w AS v FROM nw)"
+#: a layer with a node for each vector
+WEIGHTS = f"WITH {oracle.layer_of('n', 2, 64)}, emb AS (SELECT node AS id, f, w AS v FROM nw)"
 
 
-def node_rows(s: SparkSession) -> DataFrame:
-    """The stored weights of a layer as vectors, one of each node."""
-    return model.layer(s, 2, NODES, 64)[0].select(F.col("node").alias("id"), "f", F.col("w").alias("v"))
+def node_rows(s: SparkSession, d: str) -> DataFrame:
+    """The weights of a layer with a node for each embedding, as vectors."""
+    grid = dense(s, d, "node").select("node", "f")
+    return grid.select(F.col("node").alias("id"), "f", model.weight(2, F.col("node"), F.col("f")).alias("v"))
 
 
 @query(f"{WEIGHTS}, {TOPH[TOPH.index('t AS'):]}, {oracle.probes(H)}, {oracle.densified('mh', H)} SELECT id, bin, h FROM den")
 def minhash_weights(s: SparkSession, d: str) -> DataFrame:
-    return hashing.densified(hashing.minhash(node_rows(s), H, 9), H)
+    return hashing.densified(hashing.minhash(node_rows(s, d), H, 9), H)
 
 
 SRPD = f"{oracle.srp(64, H)}, ss AS (SELECT x.id, g.bin, sum(g.sign * x.v) AS s FROM emb x JOIN sg g ON x.f = g.f GROUP BY ALL), sr AS (SELECT id, bin, CAST(CASE WHEN round(s, 12) >= 0 THEN 0 ELSE 1 END AS BIGINT) AS h FROM ss)"
@@ -457,12 +470,14 @@ def srp_dense(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WEIGHTS}, {SRPD} SELECT id, bin, h FROM sr")
 def srp_weights(s: SparkSession, d: str) -> DataFrame:
-    return hashing.srp(node_rows(s), hashing.srp_layout(s, 64, H), s.range(NODES), H)
+    return hashing.srp(node_rows(s, d), hashing.srp_layout(s, 64, H), table(s, d, "embeddings").select(F.col("vec_id").alias("id")), H)
 
 
-@query("SELECT i AS slot, ((i * 2654435761 + 33111) % 1073741823) * 2 + 1 AS multiplier FROM range(40) AS t(i)")
+@query(f"WITH {oracle.SPARSE}, {MHS} SELECT bin AS slot, ((bin * 2654435761 + 33111) % 1073741823) * 2 + 1 AS multiplier, count(*) AS n FROM mh GROUP BY bin")
 def minhash_multipliers(s: SparkSession, d: str) -> DataFrame:
-    return s.range(H).select(F.col("id").alias("slot"), hashing.multiplier(F.col("id")).alias("multiplier"))
+    """The multipliers of the slots that signatures fill, and by how many records."""
+    used = hashing.minhash(sparse(s, d), H, 9, None).groupBy(F.col("bin").alias("slot")).agg(F.count("*").alias("n"))
+    return used.withColumn("multiplier", hashing.multiplier(F.col("slot")))
 
 
 @query(
@@ -546,9 +561,11 @@ def nodes(s: SparkSession) -> DataFrame:
     return s.range(NODES).withColumnRenamed("id", "node")
 
 
-@query(f"{WIDE} SELECT tbl, bucket, node, node AS seq FROM bk")
+@query(f"{WEIGHTS}, {oracle.layout(64, H)}, {oracle.winners('emb')}, sig AS (SELECT id, bin, pos AS h FROM win), {oracle.probes(H)}, {oracle.densified('sig', H)}, {oracle.address('den', K, L)} SELECT tbl, bucket, id AS node, id AS seq FROM adr QUALIFY row_number() OVER (PARTITION BY tbl, bucket ORDER BY id DESC) <= 128")
 def rehash_buckets(s: SparkSession, d: str) -> DataFrame:
-    return wide_buckets(s)
+    """The buckets of a layer with a node for each embedding."""
+    sig = hashing.dwta(node_rows(s, d), hashing.layout(s, 64, H))
+    return lsh.fifo(lsh.rows(hashing.address_wta(hashing.densified(sig, H), K, L), F.col("id")))
 
 
 @query(f"{WIDE} SELECT id, node, n FROM hits")
@@ -793,38 +810,43 @@ def tiled_sparse_predict(s: SparkSession, d: str) -> DataFrame:
 # --- control -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT i AS iter, i // 121 AS epoch, i % 50 = 49 AS rehash, i % 1000 = 49 AS rebuild, i % 1000 = 0 AS evaluate, i % 6946 = 6945 AS reshuffle FROM range(1210) AS t(i)")
+@query("WITH b AS (SELECT count(DISTINCT l_orderkey) // 128 AS n FROM lineitem) SELECT i AS iter, i // n AS epoch, i % 50 = 49 AS rehash, i % 1000 = 49 AS rebuild, i % 1000 = 0 AS evaluate, i % 6946 = 6945 AS reshuffle FROM b, unnest(range(0, n * 10)) AS t(i)")
 def schedule_flags(s: SparkSession, d: str) -> DataFrame:
-    return config.schedule(s, 1210, 121, config.Config())
+    """What happens in each iteration of ten epochs over the orders."""
+    n = table(s, d, "lineitem").select("l_orderkey").distinct().count() // BATCH
+    return config.schedule(s, 10 * n, n, config.Config())
 
 
 LAYERS = ((0, 12, 64), (1, 8, 12), (2, 10, 8))
-STATE = " UNION ALL ".join(f"SELECT {n}::BIGINT AS layer, count(*) AS n, round(sum(w), 9) AS total FROM (SELECT w FROM l{n}w UNION ALL SELECT b FROM l{n}b)" for n, _, _ in LAYERS)
 
 
-def three_layers(s: SparkSession) -> model.Network:
-    return model.Network(s, config.Config(num_layer=3, sizes=(12, 8, 10), input_dim=64, k=(2, 2, 2), l=(2, 2, 2), range_pow=(6, 6, 6), sparsity=(1.0,) * 6))
+def deep_sql(middle: str = "l1") -> str:
+    """The predictions of three layers, the middle one by name."""
+    return f"{oracle.forward('emb', 'l0', 'h0', True)}, {oracle.forward('h0', middle, 'h1', True)}, {oracle.forward('h1', 'l2', 'zz', False)} SELECT record_id, node AS predicted FROM (SELECT record_id, node, row_number() OVER (PARTITION BY record_id ORDER BY round(z, 9) DESC, node) AS r FROM zz) WHERE r = 1"
+
+
+DEEP = f"WITH {oracle.EMB}, {', '.join(oracle.layer(f'l{n}', n, a, b) for n, a, b in LAYERS)}"
 
 
-def state(net: model.Network) -> DataFrame:
-    return net.table.groupBy(F.col("layer").cast("long").alias("layer")).agg(F.count("*").alias("n"), F.round(F.sum("w"), 9).alias("total"))
+def three_layers(s: SparkSession) -> model.Network:
+    return model.Network(s, config.Config(num_layer=3, sizes=(12, 8, 10), input_dim=64, k=(2, 2, 2), l=(2, 2, 2), range_pow=(6, 6, 6), sparsity=(1.0,) * 6))
 
 
-@query(f"WITH {', '.join(oracle.layer(f'l{n}', n, a, b) for n, a, b in LAYERS)} {STATE}")
+@query(f"{DEEP}, {deep_sql()}")
 def network_init(s: SparkSession, d: str) -> DataFrame:
-    """Three layers, each over the nodes of the one before it."""
-    return state(three_layers(s))
+    """What three layers, each over the nodes of the one before it, predict as they begin."""
+    return three_layers(s).predict(dense(s, d, "record_id"), labels(s, d).select("record_id"))
 
 
-@query(f"WITH {', '.join(oracle.layer(f'l{n}', n, a, b) for n, a, b in LAYERS)} SELECT layer, n, CASE WHEN layer = 1 THEN round(total + 1.0 - (SELECT w FROM l1w WHERE node = 3 AND f = 5), 9) ELSE total END AS total FROM ({STATE})")
+@query(f"{DEEP}, r1w AS (SELECT node, f, CASE WHEN node = 3 AND f = 5 THEN 1.0 ELSE w END AS w FROM l1w), r1b AS (SELECT node, b FROM l1b), {deep_sql('r1')}")
 def network_save_load(s: SparkSession, d: str) -> DataFrame:
-    """One weight put over, all saved as a version and loaded into another network."""
+    """One weight put over, all saved as a version and loaded into another network, which predicts."""
     store, net = params.Store(s, params.scratch(s, "store")), three_layers(s)
     net.replace(1, s.createDataFrame([(3, 5, 1.0)], "node long, f long, w double"))
     net.save(store)
     other = three_layers(s)
     other.load(store)
-    return state(other)
+    return other.predict(dense(s, d, "record_id"), labels(s, d).select("record_id"))
 
 
 @query(f"WITH c AS (SELECT id, f FROM ({oracle.EMB[8:-1]})), {oracle.uniform('c', 5, 0, 'ua')}, {oracle.uniform('c', 5, 1, 'ub')} SELECT ua.id AS node, ua.f, round(0.01 * sqrt(-2 * ln(ua.u)) * cos(2 * pi() * ub.u), 9) AS w FROM ua JOIN ub ON ua.id = ub.id AND ua.f = ub.f")

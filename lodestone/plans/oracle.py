@@ -24,6 +24,11 @@ def layer(name: str, number: int, nodes: int, dim: int) -> str:
     )
 
 
+def layer_of(name: str, number: int, dim: int) -> str:
+    """The weights of a layer with a node for each embedding."""
+    return f"{name}w AS (SELECT vec_id AS node, d.f AS f, CAST((vec_id * 7919 + d.f * 104729 + {number * 1299709}) % 2003 - 1001 AS DOUBLE) / 10010.0::DOUBLE AS w FROM embeddings, range({dim}) AS d(f))"
+
+
 def layout(dim: int, hashes: int) -> str:
     perms = hashing.permutations(dim, hashes)
     return (

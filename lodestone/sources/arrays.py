@@ -59,9 +59,9 @@ def save_npy(path: str, a: np.ndarray, append: bool = False) -> None:
     np.save(path, np.ascontiguousarray(a), allow_pickle=False)
 
 
-def save_npz(path: str, name: str, a: np.ndarray, append: bool = False) -> None:
-    """Writes an array as a stored member of an archive, which append keeps."""
-    with zipfile.ZipFile(path, "a" if append else "w", zipfile.ZIP_STORED) as z:
+def save_npz(path: str, name: str, a: np.ndarray, append: bool = False, compressed: bool = False) -> None:
+    """Writes an array as a member of an archive, which append keeps."""
+    with zipfile.ZipFile(path, "a" if append else "w", zipfile.ZIP_DEFLATED if compressed else zipfile.ZIP_STORED) as z:
         raw = io.BytesIO()
         np.save(raw, np.ascontiguousarray(a), allow_pickle=False)
         z.writestr(f"{name}.npy", raw.getvalue())
@@ -119,6 +119,7 @@ class _Writer(DataSourceWriter):
 
     def __init__(self, options: dict, suffix: str, overwrite: bool) -> None:
         self.path, self.suffix, self.overwrite = local(options["path"]), suffix, overwrite
+        self.compressed = str(options.get("compressed", "false")).lower() == "true"
         os.makedirs(self.path, exist_ok=True)
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
@@ -134,7 +135,7 @@ class _Writer(DataSourceWriter):
             else:
                 if not files:
                     files.append((os.path.join(self.path, f".{mine}.draft"), os.path.join(self.path, f"part-{task:05d}-{mine}.npz")))
-                save_npz(files[0][0], r["name"], array_of(r.asDict()), append=n > 0)
+                save_npz(files[0][0], r["name"], array_of(r.asDict()), append=n > 0, compressed=self.compressed)
         return _Written(files)
 
     def commit(self, messages: list) -> None:
