@@ -253,6 +253,23 @@ def text_scan(s: SparkSession, d: str) -> DataFrame:
     return r.select("row_idx", F.size("labels").cast("long").alias("n_labels"), F.size("features").cast("long").alias("n_features"), "n_rejected")
 
 
+# What ends a line in bytes, by document: nothing, a byte that never occurs, a good two-byte letter, half a letter, half a surrogate pair.
+ENDS = ("", "20FF", "20C3A9", "20C3", "20EDA080")
+
+
+@query("SELECT doc_id % 4 AS part, count(*) AS n_lines, count(*) FILTER (doc_id % 5 IN (1, 3, 4)) AS n_invalid, CAST(count(*) FILTER (doc_id % 5 IN (0, 2)) AS BIGINT) AS n_records, CAST(coalesce(sum(coalesce(n_chars, 0)) FILTER (doc_id % 5 IN (0, 2)), 0) AS DOUBLE) AS total FROM documents GROUP BY ALL")
+def text_scan_bytes(s: SparkSession, d: str) -> DataFrame:
+    """Text files of a line for each document, some of them not UTF-8: such lines are counted and make no records."""
+    where = params.scratch(s, "bytes")
+    ends = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in ENDS]), (F.col("doc_id") % 5 + 1).cast("int"))
+    line = F.concat(F.concat_ws("", (F.col("doc_id") % 50).cast("string"), F.lit(" 1:"), F.coalesce("n_chars", F.lit(0)).cast("string")).cast("binary"), ends).cast("string")
+    table(s, d, "documents").select((F.col("doc_id") % 4).alias("part"), line.alias("value")).repartition("part").write.partitionBy("part").text(where)
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("part")
+    records = sparse_text.read(s, f"{where}/part=*", header=False).groupBy(part).agg(F.count("*").alias("n_records"), F.sum(F.expr("aggregate(features, 0D, (a, x) -> a + x.v)")).alias("total"))
+    seen = sparse_text.rejected(s, f"{where}/part=*").groupBy(part).agg(F.sum("n_lines").alias("n_lines"), F.sum("n_invalid").alias("n_invalid"))
+    return seen.join(records, "part", "left").na.fill(0)
+
+
 @query("SELECT vec_id AS idx, CASE WHEN vec_id // 64 = 1 THEN -vec_id ELSE vec_id * vec_id END AS val FROM embeddings")
 def array_block_write_back(s: SparkSession, d: str) -> DataFrame:
     """An array in blocks of 64; block 1 is read by itself and written back changed."""
@@ -409,6 +426,13 @@ def srp_bits(s: SparkSession, d: str) -> DataFrame:
     return srp_signature(s, d)
 
 
+@query(f"{SRP} SELECT id, bin, h FROM sr")
+def srp_merged(s: SparkSession, d: str) -> DataFrame:
+    """The same by a merge of sorted features inside each record."""
+    x = sparse(s, d)
+    return hashing.srp_merged(x, hashing.srp_layout(s, 500, H), x.select("id").distinct(), H)
+
+
 @query(f"{DEN}, a AS (SELECT id, bin // 2 AS t, min(CASE WHEN h = (h * 3 + bin) % 8 THEN 1 ELSE 0 END) AS same FROM sig WHERE bin < 40 GROUP BY ALL) SELECT id, avg(same) AS rate FROM a GROUP BY id")
 def signature_collision(s: SparkSession, d: str) -> DataFrame:
     sig = dense_signature(s, d)

@@ -27,15 +27,26 @@ def parse(lines: DataFrame, line_col: str = "value") -> DataFrame:
     return out.select(*[F.col("row")[c].alias(c) for c in passed], "labels", "features", (F.col("n_tokens") - F.size("labels") - F.size("features")).alias("n_rejected"))
 
 
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value, valid) of every line's bytes; `at` grows along a file's block, valid says whether the bytes are UTF-8."""
+    raw = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return raw.withColumn("valid", F.is_valid_utf8("value"))
+
+
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n_lines, n_invalid): how many lines each file has, and how many of them are not UTF-8 and thus no records."""
+    return scan(spark, path).groupBy("file").agg(F.count("*").alias("n_lines"), F.count_if(~F.col("valid")).alias("n_invalid"))
+
+
 def read(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """(file, row_idx, labels, features, n_rejected) of the files; the first line of each file is a header.
+    """(file, row_idx, labels, features, n_rejected) of the files; the first line of each file is a header, and lines that aren't UTF-8 are left
+    out (rejected() counts them).
 
     row_idx is a record's place among those of all files, in order of file name. Lines are numbered within the blocks that Spark reads files
     in (a window over one block each); only the number of records of each block is global, so one small table is joined."""
-    raw = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     inner = Window.partitionBy("file", "block").orderBy("at")
-    numbered = raw.withColumn("line", F.row_number().over(inner))
-    record = (F.trim(F.regexp_replace("value", "[\\x00\\r]", "")) != "") & ~(F.lit(header) & (F.col("block") == 0) & (F.col("line") == 1))
+    numbered = scan(spark, path).withColumn("line", F.row_number().over(inner))
+    record = F.col("valid") & (F.trim(F.regexp_replace("value", "[\\x00\\r]", "")) != "") & ~(F.lit(header) & (F.col("block") == 0) & (F.col("line") == 1))
     kept = numbered.filter(record).withColumn("place", F.row_number().over(inner) - 1)
     sizes = kept.groupBy("file", "block").agg(F.count("*").alias("n"))
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # a row for each block

@@ -15,10 +15,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.functions import config
+from lodestone.functions import config, hashing
 from lodestone.operators import lsh, network, tiles
 from lodestone.plans import model
-from lodestone.sources import array_rows, arrays, params
+from lodestone.sources import array_rows, arrays, params, sparse_text
 from lodestone.sources.batches import Batches
 
 
@@ -269,3 +269,21 @@ def test_array_rows_need_a_file(spark, tmp_path):
         spark.read.format("npy_rows").load(str(tmp_path / "none.npy")).count()
     arrays.save_npy(str(tmp_path / "a.npy"), np.arange(3.0))
     assert spark.read.format("npy_rows").load(str(tmp_path / "a.npy")).count() == 3
+
+
+def test_srp_by_merge(spark):
+    x = spark.createDataFrame([(1, 3, 0.5), (1, 900, 9.0), (2, 0, -1.0), (2, 19, 2.0), (2, 7, 0.25)], "id long, f long, v double")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    signs = hashing.srp_layout(spark, 20, 6)
+    rows = lambda df: sorted(map(tuple, df.select("id", "bin", "h").collect()))
+    assert rows(hashing.srp_merged(x, signs, ids, 6)) == rows(hashing.srp(x, signs, ids, 6)) and len(rows(hashing.srp_merged(x, signs, ids, 6))) == 18
+    assert "Generate" not in hashing.srp_merged(x, signs, ids, 6)._jdf.queryExecution().optimizedPlan().toString().split("Join")[-1]
+
+
+def test_lines_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"head\n1 2:3\n2 \xff1:1\n3 1:1 \xc3\xa9\n\xed\xa0\x80\n4 5:1\xc3")
+    (tmp_path / "b.txt").write_bytes(b"h\xc0\x80\n\n7 1:1\n")
+    got = sparse_text.read(spark, str(tmp_path / "*.txt")).collect()
+    assert sorted((r.row_idx, r.labels[0], r.n_rejected) for r in got) == [(0, 1, 0), (1, 3, 1), (2, 7, 0)]
+    seen = {os.path.basename(r.file): (r.n_lines, r.n_invalid) for r in sparse_text.rejected(spark, str(tmp_path / "*.txt")).collect()}
+    assert seen == {"a.txt": (6, 3), "b.txt": (3, 1)}
