@@ -16,6 +16,7 @@ from lodestone.functions import config, hashing
 from lodestone.operators import lsh, network, selection, tiles
 from lodestone.plans import model, oracle
 from lodestone.sources import array_rows, arrays, params, sparse_text
+from lodestone.streaming import trainer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -970,6 +971,23 @@ def train_sampled_metrics(s: SparkSession, d: str) -> DataFrame:
     return metrics(s, model.train(net, dense(s, d, "record_id"), labels(s, d), labels(s, d)))
 
 
+@query(f"{TWO} SELECT 0::BIGINT AS version, 1::BIGINT AS steps, 0::BIGINT AS batch_id, count(*) AS n, round(avg(-ln(greatest(p.p, 1e-12))), 5) AS loss FROM pp p JOIN tgt t ON p.record_id = t.record_id AND p.node = t.label")
+def train_stream_step(s: SparkSession, d: str) -> DataFrame:
+    """Files as a stream: all of them are one micro-batch, which is one step and one committed version."""
+    e = table(s, d, "embeddings")
+    files, store = params.scratch(s, "stream"), params.Store(s, params.scratch(s, "store"))
+    e.write.parquet(files)
+
+    def prepare(rows: DataFrame) -> trainer.Prepared:
+        f = rows.select(F.col("vec_id").alias("record_id"), F.posexplode("embedding").alias("f", "v"))
+        y = rows.select(F.col("vec_id").alias("record_id"), F.col("label").cast("long").alias("label"))
+        return f.select("record_id", F.col("f").cast("long").alias("f"), F.col("v").cast("double").alias("v")), y, y.select("record_id")
+
+    trainer.train_stream(s.readStream.schema(e.schema).parquet(files), model.Network(s, TRAIN), prepare, store, params.scratch(s, "cp")).awaitTermination()
+    about = store.about("network")
+    return s.createDataFrame([(store.version("network"), about["steps"], about["batch_id"], about["n"], round(about["loss"], 5))], "version long, steps long, batch_id long, n long, loss double")
+
+
 @query("SELECT 'k' || vec_id AS key, CASE WHEN vec_id % 7 = 0 THEN 'late' WHEN vec_id % 5 = 0 THEN 'new' ELSE 'old' END AS dtype, CAST(CASE WHEN vec_id % 7 = 0 THEN 2 WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS ts, 2::BIGINT AS version, 1::BIGINT AS refused FROM embeddings")
 def param_version_swap(s: SparkSession, d: str) -> DataFrame:
     """Key-value rows; then two writers put others over version 0: the second to commit is refused and puts its rows over the first one's."""
