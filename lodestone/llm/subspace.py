@@ -5,10 +5,11 @@ cut into blocks of about BLOCK dimensions; a block of d of D dimensions has the
 within the whole distance at least one block is within its budget. So each block is range-joined under its own budget,
 and each candidate is verified by its cosine in double precision.
 
-Range join of a block: a k-d tree, built from a bounded sample (SAMPLE vectors, at most LEAVES leaves), gives boxes; the
-vectors of a box are cut into chunks of about CHUNK, so no box is too large for a task. Each vector goes home to its own
-chunk and, as a guest, to each later chunk whose box is within the block's radius of it. The home vectors of a chunk stay
-in memory and its guests stream past. The tree only routes; its sample changes no result.
+Range join of a block: a k-d tree, built from a sample, gives boxes, whose number grows with the rows: one for each chunk of
+them, as far as a sample of PER_LEAF vectors a leaf fits the driver's bound (SAMPLE_CELLS components). The vectors of a box are
+cut into chunks of about CHUNK, so no box is too large for a task. Each vector goes home to its own chunk and, as a guest,
+to each later chunk whose box is within the block's radius of it, found by descending the tree and leaving out each branch
+beyond the radius. The home vectors of a chunk stay in memory and its guests stream past. The tree only routes; its sample changes no result.
 
 Vectors are scaled by powers of two first, so very large and very small ones link like others.
 
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
-BLOCK, CHUNK, LEAVES, SAMPLE, SEED = 16, 4096, 1024, 16384, 7
+BLOCK, CHUNK, SEED = 16, 4096, 7
+LEAST_SAMPLE, PER_LEAF, SAMPLE_CELLS = 16384, 8, 1 << 23
 GRID, SLACK = float(1 << 20), 1e-5
 
 
@@ -41,8 +43,13 @@ def levelled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -top[:, None])
 
 
+def sample_size(dim: int, rows: int, chunk: int) -> int:
+    """How many vectors of one length to build the trees from: PER_LEAF for each chunk of rows, at most SAMPLE_CELLS components in all."""
+    return max(1, min(SAMPLE_CELLS // dim, max(LEAST_SAMPLE, PER_LEAF * -(-rows // chunk))))
+
+
 class Plan:
-    """The rotation, the blocks and the boxes for vectors of one length."""
+    """The rotation, the blocks and the trees for vectors of one length."""
 
     def __init__(self, dim: int, cosine: float, sample: np.ndarray, rows: int, chunk: int) -> None:
         self.dim, self.cosine = dim, cosine
@@ -53,7 +60,7 @@ class Plan:
         self.blocks = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
         whole = 2 * (1 - cosine)
         self.budget = [whole * (b.stop - b.start) / dim + SLACK for b in self.blocks]
-        depth = int(np.ceil(np.log2(max(1.0, min(rows / chunk, LEAVES, len(sample) / 8)))))
+        depth = int(np.ceil(np.log2(max(1.0, min(rows / chunk, len(sample) / PER_LEAF)))))
         seen = self.rotated(sample)[1] / GRID if len(sample) else np.zeros((1, dim))
         self.trees = [self._tree(seen[:, b], depth) for b in self.blocks]
         self.first: list[np.ndarray] = []  # of each block and leaf, its first chunk's number; set by chunks()
@@ -64,36 +71,45 @@ class Plan:
         return norm, np.rint((x / norm[:, None]) @ self.turn * GRID)
 
     @staticmethod
-    def _tree(points: np.ndarray, depth: int) -> dict:
-        """Split axes and values level by level, and each leaf's box."""
-        low, high = [np.full(points.shape[1], -np.inf)], [np.full(points.shape[1], np.inf)]
+    def _tree(points: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The nodes' axes and cuts, level by level; a point goes to the second branch if it is not below the cut."""
         groups, levels = [points], []
         for _ in range(depth):
             axis = [int(g.var(axis=0).argmax()) if len(g) else 0 for g in groups]
             cut = [float(np.median(g[:, a])) if len(g) else 0.0 for g, a in zip(groups, axis, strict=True)]
             levels.append((np.array(axis), np.array(cut)))
-            lows, highs, parts = [], [], []
-            for g, a, c, lo, hi in zip(groups, axis, cut, low, high, strict=True):
-                for side in (0, 1):
-                    lo2, hi2 = lo.copy(), hi.copy()
-                    (hi2 if side == 0 else lo2)[a] = c
-                    lows.append(lo2)
-                    highs.append(hi2)
-                    parts.append(g[(g[:, a] >= c) == bool(side)])
-            groups, low, high = parts, lows, highs
-        return {"levels": levels, "low": np.array(low), "high": np.array(high)}
+            groups = [g[(g[:, a] >= c) == bool(side)] for g, a, c in zip(groups, axis, cut, strict=True) for side in (0, 1)]
+        return levels
 
     def leaf(self, block: int, points: np.ndarray) -> np.ndarray:
         at = np.zeros(len(points), np.int64)
-        for axis, cut in self.trees[block]["levels"]:
+        for axis, cut in self.trees[block]:
             at = 2 * at + (points[np.arange(len(points)), axis[at]] >= cut[at])
         return at
 
+    def near(self, block: int, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, points): the leaves whose boxes are within the block's radius of some points, and which."""
+        levels = self.trees[block]
+        waiting = [(0, 0, np.arange(len(points)), np.zeros_like(points))]
+        while waiting:
+            level, node, at, off = waiting.pop()
+            if level == len(levels):
+                yield node, at
+                continue
+            axis, cut = levels[level][0][node], levels[level][1][node]
+            over = points[at, axis] - cut
+            for side, beyond in ((0, over), (1, -over)):  # beyond: how far a point lies outside this branch, if above zero
+                far = off.copy()
+                far[:, axis] = np.maximum(far[:, axis], beyond)
+                within = (far * far).sum(axis=1) <= self.budget[block] + SLACK
+                if within.any():
+                    waiting.append((level + 1, 2 * node + side, at[within], far[within]))
+
     def chunks(self, counts: dict[tuple[int, int], int], chunk: int, start: int) -> int:
         """Numbers the chunks from start on; returns the next free number."""
         self.first = []
         for b in range(len(self.blocks)):
-            n = [max(1, -(-counts.get((b, leaf), 0) // chunk)) for leaf in range(len(self.trees[b]["low"]))]
+            n = [max(1, -(-counts.get((b, leaf), 0) // chunk)) for leaf in range(1 << len(self.trees[b]))]
             self.first.append(start + np.concatenate([[0], np.cumsum(n)]))
             start = int(self.first[-1][-1])
         return start
@@ -103,20 +119,18 @@ class Plan:
         rows, units, guests = [], [], []
         salt = common.mix(uid.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         for b, cols in enumerate(self.blocks):
-            p, tree, first = grid[:, cols] / GRID, self.trees[b], self.first[b]
+            p, first = grid[:, cols] / GRID, self.first[b]
             home = self.leaf(b, p)
             own = first[home] + (salt % (first[home + 1] - first[home]).astype(np.uint64)).astype(np.int64)
             rows.append(np.arange(len(p)))
             units.append(own)
             guests.append(np.zeros(len(p), bool))
-            for leaf in range(len(tree["low"])):
-                off = np.maximum(np.maximum(tree["low"][leaf] - p, p - tree["high"][leaf]), 0)
-                near = (off * off).sum(axis=1) <= self.budget[b] + SLACK
-                for unit in range(int(first[leaf]), int(first[leaf + 1])):
-                    r = np.flatnonzero(near & (own < unit))
-                    rows.append(r)
-                    units.append(np.full(len(r), unit))
-                    guests.append(np.ones(len(r), bool))
+            for leaf, at in self.near(b, p):
+                low = np.maximum(own[at] + 1, first[leaf])  # each pair of chunks meets in the later one
+                n = np.maximum(first[leaf + 1] - low, 0)
+                rows.append(np.repeat(at, n))
+                units.append(np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+                guests.append(np.ones(n.sum(), bool))
         return np.concatenate(rows), np.concatenate(units), np.concatenate(guests)
 
     def block_of(self, unit: int) -> int:
@@ -168,9 +182,10 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     sizes = {r.d: r.c for r in distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).collect()}  # as many rows as there are lengths
     plans: dict[int, Plan] = {}
     for dim, n in sorted(sizes.items()):
-        share = min(1.0, SAMPLE / n)
-        some = distinct.filter(F.size("v") == dim).filter(common.draw("uid") < common.threshold(share)).limit(SAMPLE)
-        plans[dim] = Plan(dim, cosine, levelled(np.array([r.v for r in some.select("v").collect()], np.float64).reshape(-1, dim)), n, chunk)
+        size = sample_size(dim, n, chunk)
+        some = distinct.filter(F.size("v") == dim).filter(common.draw("uid") < common.threshold(min(1.0, size / n))).limit(size)
+        sample = some.select("v").toArrow().column(0).combine_chunks()  # SAMPLE_CELLS components at most
+        plans[dim] = Plan(dim, cosine, levelled(sample.flatten().to_numpy().reshape(-1, dim)), n, chunk)
 
     def vectors(b: pa.RecordBatch, col: int) -> tuple[np.ndarray, np.ndarray]:
         flat = b.column(col)
@@ -197,7 +212,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
         yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, i]) for i in range(3)), pa.array(list(total.values()), pa.int64())], names=["d", "b", "leaf", "c"])
 
     counts: dict[int, dict[tuple[int, int], int]] = {}
-    for r in distinct.select("v").mapInArrow(homes, "d long, b long, leaf long, c long").groupBy("d", "b", "leaf").agg(F.sum("c").alias("c")).collect():  # at most LEAVES rows a block
+    for r in distinct.select("v").mapInArrow(homes, "d long, b long, leaf long, c long").groupBy("d", "b", "leaf").agg(F.sum("c").alias("c")).collect():  # a row for each leaf of a block
         counts.setdefault(r.d, {})[r.b, r.leaf] = r.c
     top = 0
     for dim, plan in plans.items():
