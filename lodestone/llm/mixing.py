@@ -6,20 +6,20 @@ cannot take goes to its siblings by their weights. A child's capacity is the sum
 subtree, for the ancestors' siblings, only when the subtree can give no more.
 
 A leaf with budget b of t tokens gives each document b div t times, and in one more epoch the documents of a prefix, in an
-order seeded by epoch, whose tokens up to and with each document do not exceed the rest (ties by doc_id). The order is by
-an md5 of seed, epoch and doc_id, so it is the same in every engine. The prefix is found without a sort of the leaf:
-documents are counted in ranges of the order, the sums of ranges say which are whole, and only the range in which the
-budget ends is sorted. The number of ranges grows with the documents, about PER_RANGE in each.
+order seeded by epoch, whose tokens up to and with each document do not exceed the rest. The order is by an md5 of seed,
+epoch and doc_id, so it is the same in every engine. The prefix is found without a sort of the leaf: documents are counted
+in ranges of the order, the sums of ranges say where the budget ends, and only the ids of that range are sorted. The number of
+ranges grows with the documents, about PER_RANGE in each.
 
 Tokens are words [^\\x20\\x09-\\x0D]+. Token counts and shares are exact: budgets are rounded down to whole tokens.
 
 Defined results. Null domain parts, languages and sources are names of their own (''). A null or wordless text has no tokens and is
-given as often as whole epochs say. Rows of equal doc_id in one leaf share their place in the order; they go in or stay out
-together. Unknown names have weight 1; nodes of weight 0 get nothing. An empty table gives no rows."""
+given as often as whole epochs say. Rows of equal doc_id in one leaf (null ids are equal) share their place in the order; they go in or
+stay out together, and in another leaf by that one's budget. Unknown names have weight 1; nodes of weight 0 get nothing. An empty table gives no rows."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,10 @@ from pyspark.sql.window import Window
 
 from lodestone.llm import common
 
-SEED, EPOCHS, PER_RANGE = 11, 2, 4096
+SEED, EPOCHS, PER_RANGE, LEVEL = 11, 2, 4096, 3
+LEAF = ["domain", "lang", "source"]
+#: a plan of at most so many bytes is broadcast
+BROADCAST_BYTES = 32 << 20
 #: production weights: languages by name, all else equal; the budget as hundredths of all tokens
 WEIGHTS: dict[str, dict[str, int]] = {"domain": {}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {}}
 HUNDREDTHS = 60
@@ -81,39 +84,77 @@ def budgets(leaves: DataFrame, total: Column, weights: Mapping[str, Mapping[str,
     return dealt(cap.join(langs, ["domain", "lang"]), ["domain", "lang"], "source", weights).select("domain", "lang", "source", "tokens", "share")
 
 
-def mix(df: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, hundredths: int = HUNDREDTHS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens, copies) of every row; copies: how often the mixture takes it, 0 included."""
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), words(F.col("text")).alias("n_tokens"))
-    docs = common.checkpoint(docs.withColumn("domain", domain_of(F.col("source"))))
-    leaf = ["domain", "lang", "source"]
-    plan = budgets(docs.groupBy(*leaf).agg(F.sum("n_tokens").alias("tokens")), F.expr(f"cast(floor(every * {hundredths} / 100) as long)"), weights, epochs)
-    plan = common.checkpoint(plan.withColumns({"whole": F.expr("case when tokens > 0 then share div tokens else 0 end"), "rest": F.expr("case when tokens > 0 then share % tokens else 0 end")}))
-    rows = docs.count()
-    digits = 1
+def named(df: DataFrame, domain: Callable[[Column], Column] = domain_of) -> dict[str, Column]:
+    """The columns of a row's leaf and its id, by name."""
+    return {"doc_id": F.col("doc_id").cast("long"), "domain": F.coalesce(domain(F.col("source")), F.lit("")), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))}
+
+
+def by_leaf(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """docs with the columns of their leaf's row. A checkpointed plan of at most BROADCAST_BYTES goes to all executors; a larger one is
+    joined by leaf, where Spark splits large keys."""
+    held = plan.agg(F.sum(sum((F.octet_length(c) for c in LEAF), F.lit(128)))).first()[0] or 0
+    return docs.join(F.broadcast(plan) if held <= BROADCAST_BYTES else plan, LEAF)
+
+
+def order_of(seed: int) -> Column:
+    """A document's place in its leaf's epoch `whole`."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+
+def copies_of(seed: int) -> Column:
+    """How often a row is taken: its leaf's whole epochs, and one more up to the place `last`."""
+    return (F.col("whole") + F.coalesce(order_of(seed) <= F.col("last"), F.lit(True)).cast("int")).cast("long")
+
+
+def planned(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], hundredths: int, epochs: int, seed: int) -> DataFrame:
+    """(domain, lang, source, whole, last), one row a leaf: its whole epochs, and the last place in the order that one more epoch takes.
+
+    `docs` is a checkpointed (doc_id, domain, lang, source, n_tokens). The place is looked for from the front of the order, LEVEL digits at a
+    time, among the sums of ranges; no window holds more than 16**LEVEL of a leaf's. In the range where the budget ends, rows that share an id are
+    summed before they are sorted, so that the sort holds about PER_RANGE ids however many rows one id has."""
+    plan = budgets(docs.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), F.expr(f"cast(floor(every * {hundredths} / 100) as long)"), weights, epochs)
+    plan = common.checkpoint(plan.select(*LEAF, F.expr("case when tokens > 0 then share div tokens else 0 end").alias("whole"), F.expr("case when tokens > 0 then share % tokens else 0 end").alias("rest")))
+    rows, digits = docs.count(), 1
     while 16**digits * PER_RANGE < rows:
         digits += 1
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    # a leaf may hold a third of all rows: equi-join on the leaf, whose large keys Spark splits
-    placed = docs.join(plan, leaf).withColumn("order", order).withColumn("range", F.substring("order", 1, digits))
-    sums = placed.groupBy(*leaf, "range", "rest").agg(F.sum("n_tokens").alias("n"))
-    upto = Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = sums.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n")).select(*leaf, "range", "before", "upto")
-    known = placed.join(ends, [*leaf, "range"])
-    inside, cut = F.col("upto") <= F.col("rest"), (F.col("upto") > F.col("rest")) & (F.col("before") <= F.col("rest"))
-    simple = known.filter(~cut).withColumn("extra", inside.cast("int"))
-    fine = Window.partitionBy(*leaf).orderBy("order", "doc_id")
-    close = known.filter(cut).withColumn("extra", (F.col("before") + F.sum("n_tokens").over(fine) <= F.col("rest")).cast("int"))
-    out = ["doc_id", *leaf, "n_tokens", "whole", "extra"]
-    return simple.select(*out).unionByName(close.select(*out)).select("doc_id", *leaf, "n_tokens", (F.col("whole") + F.col("extra")).cast("long").alias("copies"))
-
-
-def mixed(df: DataFrame, **options: object) -> DataFrame:
+    placed = by_leaf(docs, plan).withColumn("order", order_of(seed)).withColumn("range", F.substring("order", 1, digits))
+    sums = common.checkpoint(placed.groupBy(*LEAF, "range").agg(F.sum("n_tokens").alias("n")))
+    at = plan.select(*LEAF, "rest", F.lit("").alias("cut"), F.lit(0).cast("long").alias("before"))
+    for level in [*range(LEVEL, digits, LEVEL), digits]:
+        inside = sums.join(at, LEAF).filter(F.col("range").startswith(F.col("cut")))
+        parts = inside.groupBy(*LEAF, "rest", "before", F.substring("range", 1, level).alias("part")).agg(F.sum("n").alias("n"))
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy(*LEAF).orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        over = parts.withColumn("upto", upto).filter("upto > rest").groupBy(*LEAF, "rest").agg(F.min(F.struct("part", (F.col("upto") - F.col("n")).alias("before"))).alias("first"))
+        at = over.select(*LEAF, "rest", F.col("first.part").alias("cut"), F.col("first.before").alias("before"))
+    at = common.checkpoint(at)
+    close = by_leaf(placed.select(*LEAF, "order", "range", "n_tokens"), at).filter("range = cut").groupBy(*LEAF, "rest", "cut", "before", "order").agg(F.sum("n_tokens").alias("n"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*LEAF).orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # a range's digits alone come after all places of the ranges before it and before all of its own
+    last = close.withColumn("upto", upto).groupBy(*LEAF, "cut").agg(F.coalesce(F.max(F.expr("case when upto <= rest then order end")), F.col("cut")).alias("last")).drop("cut")
+    return common.checkpoint(plan.join(last, LEAF, "left").select(*LEAF, "whole", "last"))
+
+
+def counted(df: DataFrame, domain: Callable[[Column], Column]) -> DataFrame:
+    return common.checkpoint(df.select(*[c.alias(n) for n, c in named(df, domain).items()], words(F.col("text")).alias("n_tokens")))
+
+
+def mix(
+    df: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, hundredths: int = HUNDREDTHS, epochs: int = EPOCHS, seed: int = SEED, domain: Callable[[Column], Column] = domain_of
+) -> DataFrame:
+    """(doc_id, domain, lang, source, n_tokens, copies) of every row; copies: how often the mixture takes it, 0 included."""
+    docs = counted(df, domain)
+    return by_leaf(docs, planned(docs, weights, hundredths, epochs, seed)).select("doc_id", *LEAF, "n_tokens", copies_of(seed).alias("copies"))
+
+
+def mixed(
+    df: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, hundredths: int = HUNDREDTHS, epochs: int = EPOCHS, seed: int = SEED, domain: Callable[[Column], Column] = domain_of
+) -> DataFrame:
     """The documents of the mixture, with the columns of the table: each as often as the mixture takes it.
 
-    Rows are matched by doc_id, null ids with one another; rows that share one are taken alike."""
-    taken = mix(df, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    some = common.packed(df).join(taken, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")))
-    each = some.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    A row's copies follow from its id and its leaf's row of the plan, so texts are read twice and neither sorted nor matched by id."""
+    plan = planned(counted(df, domain), weights, hundredths, epochs, seed)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in named(df, domain).items()])
+    each = by_leaf(rows, plan).select("row", copies_of(seed).cast("int").alias("copies")).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return each.select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
