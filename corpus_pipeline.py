@@ -67,7 +67,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by the target weights of their sources, each as often as its leaf's budget says.
 
     Null languages and sources are names of their own; null and wordless texts have no tokens and are taken in whole epochs; ties in
-    the order go by doc_id; rows that share an id (null ids share one) are taken alike; an empty table gives none; other columns pass unread."""
+    the order cannot arise but between rows that share an id (null ids share one), which are taken alike within a source; an empty table gives none;
+    other columns pass unread."""
     return mixing.mixed(docs, hundredths=BUDGET)
 
 
