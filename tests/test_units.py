@@ -312,3 +312,39 @@ def test_command_line():
 
 def test_step_size():
     assert network.step_size(1e-4, 1) == pytest.approx(3.1622776601683816e-05) and math.isfinite(network.step_size(1e-4, 10**6))
+
+
+def test_arrays_share_partitions(spark, tmp_path):
+    """Many small files are few partitions, and a large archive is several; each array is read once."""
+    arrays.register(spark)
+    rows = spark.range(300).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("name"), F.expr("array(2L)").alias("shape"), F.lit("<f8").alias("dtype"), F.lit(False).alias("fortran"), F.expr("array(double(id), double(-id))").alias("data"))
+    for kind in ("npy", "npz"):
+        where = str(tmp_path / kind)
+        rows.coalesce(2).write.format(kind).mode("overwrite").save(where)
+        df = spark.read.format(kind).load(where)
+        assert df.rdd.getNumPartitions() <= 2 and sorted((r.name, list(r.data)) for r in df.collect()) == sorted((f"a{i}", [float(i), float(-i)]) for i in range(300))
+    big = arrays._Reader({"path": str(tmp_path / "npz")}, ".npz")
+    whole = [n for p in big.partitions() for n, _ in big.arrays(p)]
+    arrays.SPLIT, old = 5000, arrays.SPLIT
+    try:
+        parts = big.partitions()
+        assert len(parts) > 4 and sorted(n for p in parts for n, _ in big.arrays(p)) == sorted(whole)
+    finally:
+        arrays.SPLIT = old
+
+
+def test_archive_stays_open_while_rows_come(tmp_path, monkeypatch):
+    """A task opens its archive once: its work doesn't grow with the square of its rows."""
+    from pyspark.sql import Row
+
+    import pyspark
+
+    opened = []
+    real = arrays.zipfile.ZipFile
+    monkeypatch.setattr(arrays.zipfile, "ZipFile", lambda *a, **k: opened.append(a[0]) or real(*a, **k))
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    w = arrays._Writer({"path": str(tmp_path)}, ".npz", True)
+    w.commit([w.write(iter([Row(name=f"x{i}", shape=[1], dtype="<f8", data=[float(i)]) for i in range(50)])), None])
+    assert len(opened) == 1
+    back = arrays.load(str(next(tmp_path.glob("*.npz"))))
+    assert len(back) == 50 and back["x7"].tolist() == [7.0] and not list(tmp_path.glob(".*"))
