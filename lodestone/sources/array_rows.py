@@ -25,8 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from lodestone.sources.arrays import local
 
-#: data are a row's values as doubles (real and imaginary parts of complex ones in turn), raw their exact bytes in C order
-SCHEMA = "name string, row long, data array<double>, raw binary"
+#: dtype is the array's, as its header has it; data are a row's values as doubles (real and imaginary parts of complex ones in turn), raw their exact bytes in C order
+SCHEMA = "name string, row long, data array<double>, raw binary, dtype string"
 SPLIT, BATCH = 32 << 20, 4 << 20
 
 
@@ -153,7 +153,7 @@ class _Reader(DataSourceReader):
                 flat = np.stack([flat.real, flat.imag], axis=2).reshape(n, -1)
             offsets = pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1], pa.int32())
             data = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.float64).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array([part.name] * n), pa.array(np.arange(first, first + n)), data, pa.array(raw, pa.binary())], names=["name", "row", "data", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array([part.name] * n), pa.array(np.arange(first, first + n)), data, pa.array(raw, pa.binary()), pa.array([part.dtype] * n)], names=["name", "row", "data", "raw", "dtype"])
 
 
 @dataclass
