@@ -287,3 +287,27 @@ def test_lines_that_are_not_utf8(spark, tmp_path):
     assert sorted((r.row_idx, r.labels[0], r.n_rejected) for r in got) == [(0, 1, 0), (1, 3, 1), (2, 7, 0)]
     seen = {os.path.basename(r.file): (r.n_lines, r.n_invalid) for r in sparse_text.rejected(spark, str(tmp_path / "*.txt")).collect()}
     assert seen == {"a.txt": (6, 3), "b.txt": (3, 1)}
+
+
+def test_gathered_products_and_blocks_that_grow(spark):
+    """Tiles gathered before they are multiplied give the products' best entries; no partial product is shuffled for them."""
+    from lodestone.plans import catalog
+
+    r = np.random.default_rng(5)
+    x = [(i, int(f), float(v)) for i in range(150) for f, v in zip(r.choice(40, 3, replace=False), r.normal(size=3), strict=True)]
+    w = r.normal(size=(30, 40))
+    dx = spark.createDataFrame(x, "record_id long, f long, v double")
+    dw = spark.createDataFrame([(n, f, float(w[n, f])) for n in range(30) for f in range(40)], "node long, f long, w double")
+    got = {a.record_id: a.predicted for a in tiles.predicted(dx, dw, 40, 3, 8).collect()}
+    z = np.zeros((150, 30))
+    for i, f, v in x:
+        z[i] += v * w[:, f]
+    assert got == dict(enumerate(np.round(z, 9).argmax(axis=1).tolist()))
+    assert tiles.predicted(dx, dw, 40, 3, 8)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert catalog.row_blocks(spark.range(100)) == catalog.ROWS and catalog.row_blocks(spark.range(40_960)) == 10
+
+
+def test_npy_exact_tells_the_type(spark):
+    from lodestone.plans import catalog
+
+    assert {r.dtype for r in catalog.npy_exact(spark, "/root/testdata/sf0.001").collect()} == {"<i8"} and "dtype" in catalog.ORACLES["npy_exact"]
