@@ -311,3 +311,52 @@ def test_npy_exact_tells_the_type(spark):
     from lodestone.plans import catalog
 
     assert {r.dtype for r in catalog.npy_exact(spark, "/root/testdata/sf0.001").collect()} == {"<i8"} and "dtype" in catalog.ORACLES["npy_exact"]
+
+
+def test_reservoir_and_ring_look_for_single_rows(spark):
+    """Reservoirs with several turns, ranges of uneven seq, buckets that a turn doesn't reach; rings by counts; neither numbers every row."""
+    rows = [(t, b, 1000 * i * i + b, i) for t in range(2) for b, n in enumerate((3, 40, 250, 777)) for i in range(n)]
+    df = spark.createDataFrame(rows, "tbl long, bucket long, node long, seq long")
+    draw, size, slot = 721, 8, 5
+    want = set()
+    for t in range(2):
+        for b in range(4):
+            held = []
+            for c, (_, _, node, seq) in enumerate(sorted((r for r in rows if r[:2] == (t, b)), key=lambda r: (r[3], r[2])), 1):
+                if c <= size:
+                    held.append((node, seq))
+                elif draw % c == 1:
+                    held[slot] = (node, seq)
+            want |= {(t, b, n, q, p) for p, (n, q) in enumerate(held)}
+    got = lsh.reservoir(df, size, draw, slot)
+    assert {tuple(r) for r in got.select("tbl", "bucket", "node", "seq", "place").collect()} == want
+    first = lsh.ring(df.filter("seq % 3 = 0"), 8)
+    both = lsh.ring(df.filter("seq % 3 > 0").withColumn("seq", F.col("seq") + 10_000), 8, first)
+    whole = lsh.ring(df.withColumn("seq", F.when(F.col("seq") % 3 > 0, F.col("seq") + 10_000).otherwise(F.col("seq"))), 8)
+    assert {tuple(r) for r in both.collect()} == {tuple(r) for r in whole.select(*both.columns).collect()}
+    for made in (got, both):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_signatures_shuffle_no_products(spark):
+    """Densified and projected signatures of ids with and without features; products of features and hashes are never shuffled."""
+    from lodestone.functions import hashing
+
+    hashes = 40
+    met = {(r.target, r.bin): r.a for r in hashing.probes(spark, hashes).groupBy("bin", "target").agg(F.min("attempt").alias("a")).collect()}
+    first = hashing.first_attempts(hashes)
+    assert all(first[t, b] == (0 if t == b else met.get((t, b), hashing.PROBES + 1)) for t in range(hashes) for b in range(hashes))
+    r = np.random.default_rng(3)
+    own = {i: {int(b): int(h) for b, h in zip(r.choice(hashes, i % 7, replace=False), r.integers(0, 2**40, 7), strict=False)} for i in range(60)}
+    sig = spark.createDataFrame([(i, b, h) for i, o in own.items() for b, h in o.items()], "id long, bin long, h long")
+    got = {(x.id, x.bin): x.h for x in hashing.densified(sig, hashes, spark.range(60)).collect()}
+    for i, o in own.items():
+        for b in range(hashes):
+            best = min((first[t, b], h) for t, h in o.items()) if o else (hashing.PROBES + 1, 0)
+            assert got[i, b] == (best[1] if best[0] <= hashing.PROBES else 0)
+    x = spark.createDataFrame([(i, int(f), float(r.normal())) for i in range(60) for f in r.choice(90, i % 5, replace=False)], "id long, f long, v double")
+    signs = hashing.srp_layout(spark, 80, hashes)
+    a, b = (how(x, signs, spark.range(60), hashes) for how in (hashing.srp, hashing.srp_merged))
+    assert {tuple(y) for y in a.collect()} == {tuple(y) for y in b.collect()} and a.count() == 60 * hashes
+    assert "hashpartitioning(id" in (plan := a._jdf.queryExecution().executedPlan().toString()) and ", bin#" not in "".join(p.split(")")[0] for p in plan.split("hashpartitioning(")[1:] if p.startswith("id"))
