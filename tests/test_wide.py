@@ -360,3 +360,20 @@ def test_signatures_shuffle_no_products(spark):
     a, b = (how(x, signs, spark.range(60), hashes) for how in (hashing.srp, hashing.srp_merged))
     assert {tuple(y) for y in a.collect()} == {tuple(y) for y in b.collect()} and a.count() == 60 * hashes
     assert "hashpartitioning(id" in (plan := a._jdf.queryExecution().executedPlan().toString()) and ", bin#" not in "".join(p.split(")")[0] for p in plan.split("hashpartitioning(")[1:] if p.startswith("id"))
+
+
+def test_evaluations_read_their_batches_only(spark, monkeypatch):
+    """Evaluations within an epoch get a table of their own batches, not the whole test set."""
+    from lodestone.plans import catalog
+
+    monkeypatch.setattr(model, "EVALUATE", 1)
+    monkeypatch.setattr(model, "AFTER_EPOCH", 2)
+    seen = []
+    real = model.Network.evaluate
+    monkeypatch.setattr(model.Network, "evaluate", lambda net, x, y, b, *a, **k: seen.append((x.select("record_id").distinct().count(), b.count())) or real(net, x, y, b, *a, **k))
+    rows = spark.range(24).select(F.col("id").alias("record_id"))
+    x = rows.select("record_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("f"), F.lit(0.5).alias("v"))
+    y = rows.select("record_id", (F.col("record_id") % 3).alias("label"))
+    c = replace(catalog.TRAIN, batch_size=8, sizes=(4, 3), input_dim=2, step_size=1, rehash=8, rebuild=8)
+    out = model.train(model.Network(spark, c), x, y, rows, test=(x, y, rows))
+    assert seen == [(8, 8)] * 3 + [(24, 24)] and [m["n"] for m in out if m["kind"] == "eval"] == [8, 8, 8, 24]
