@@ -583,6 +583,47 @@ def test_op10_against_brute_force(docs, shared, tokens_a_range):
         assert g.score == pytest.approx(want, rel=1e-9)
 
 
+@pytest.mark.parametrize(("cached", "tokens_a_range"), [(lm.CACHED, lm.RANGE), (2.0**-7, 1 << 10), (1.0, 1 << 12)])
+def test_op10_every_word_has_its_own_pairs(docs, cached, tokens_a_range):
+    """Every score by counts of the words themselves, whatever share of words and pairs is broadcast, and weights as likely as those of a plain EM."""
+    rows = docs.collect()
+    part = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 10 for r in rows}
+    tokens = {r.doc_id: [*words(r.text), None] for r in rows}
+    pairs = {i: list(zip([None, *ts[:-1]], ts, strict=True)) for i, ts in tokens.items()}
+    pair, single = ({k: collections.Counter(x for i in part if part[i] and (k or part[i] > 1) for x in of[i]) for k in (False, True)} for of in (pairs, tokens))
+    n, size = sum(single[True].values()), len(single[True]) + 1
+    bucket = lambda w: int(math.log2(max(1, single[False][w])))
+    m, _, _ = lm.fit(docs.select("doc_id", "text"), tokens_a_range=tokens_a_range, cached=cached)
+    assert (len(m.known) < size / 10) == (cached > lm.CACHED)
+    events = collections.defaultdict(list)
+    for h, w in (x for i in part if part[i] == 1 for x in pairs[i]):
+        events[bucket(h)].append((pair[False][h, w] / max(1, single[False][h]), single[False][w] / sum(single[False].values()), 1 / size))
+    for b, e in events.items():
+        chances = np.array(e).T
+        likely = [np.log(w @ chances).mean() for w in (m.weights[b], lm.learned(chances, np.ones(len(e))))]
+        assert likely[0] == pytest.approx(likely[1], abs=0.01)
+    for g in lm.score(docs, tokens_a_range=tokens_a_range, cached=cached).collect():
+        want = 0.0
+        for h, w in pairs[g.doc_id]:
+            l2, l1, l0 = m.weights[bucket(h)]
+            at, rest = single[True][h], l1 * single[True][w] / n + l0 / size
+            want += math.log10(l2 * pair[True][h, w] / at + rest if at else rest / (l1 + l0))
+        assert g.score == pytest.approx(want, rel=1e-9)
+        assert g.n_known == sum(single[True][w] > 0 for w in tokens[g.doc_id])
+        assert g.base_score == pytest.approx(sum(math.log10((single[True][w] + 0.1) / (n + 0.1 * size)) for w in tokens[g.doc_id]))
+
+
+def test_op10_pairs_of_rare_words(spark):
+    """Words of a share under 2**-21 are told apart as context and as successor."""
+    part = lambda i: zlib.crc32(str(i).encode()) % 10
+    train, held = [i for i in range(300) if part(i) > 1], [i for i in range(300) if part(i) == 0]
+    texts = [(train[0], "a b c d " * 700_000), (train[1], "kappa lambda"), (train[2], "sigma omega"), (held[0], "kappa lambda"), (held[1], "kappa omega"), (held[2], "sigma omega")]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    met, mixed, other = (got[i] for i in held[:3])
+    assert met.train_tokens * 2.0**-21 > 1 and met.base_score == pytest.approx(mixed.base_score)
+    assert met.score > mixed.score + 1 and met.score == pytest.approx(other.score)
+
+
 def test_mixture_weights():
     assert lm.learned(np.array([[0.9, 0.9], [0.1, 0.1]]), np.array([5.0, 5.0]))[0] > 0.99
 
