@@ -372,6 +372,10 @@ def fit(docs: DataFrame, shared: float = SHARED, tokens_a_range: int = RANGE, ca
     return first._replace(count=both, weights=weights, hot=hot, hot_count=hot_count, n=n, m0=m0, m1=m1), pairs, ranges
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    return grouped(h)[0]
+
+
 class Held(NamedTuple):
     """A block of consecutive texts of about HELD_TOKENS tokens: its number, its texts' ids and what the broadcast model says of them, and the
     keys that it has to ask for, by kind: distinct ones in order. Of each kind then text and target of each place, and the number of targets: keys, or
@@ -385,8 +389,8 @@ class Held(NamedTuple):
     links: np.ndarray
 
 
-def held_texts(batches: Iterator[pa.RecordBatch], m: Model, near: bool = True) -> Iterator[Held]:
-    """The blocks of a task's rows (id, text); a block's number is the task's and that of its first row. Without `near`, pairs of known words are left out."""
+def held_texts(batches: Iterator[pa.RecordBatch], m: Model, near: bool = True, places: bool = True) -> Iterator[Held]:
+    """The blocks of a task's rows (id, text); a block's number is the task's and that of its first row. Without `near`, pairs of known words are left out; without `places`, all but number and keys."""
     end, rare = int(classes(np.array([END]), m.known)[0]), len(m.known)
     number = row = TaskContext.get().partitionId() << 33
     ids: list[pa.Array] = []
@@ -396,25 +400,27 @@ def held_texts(batches: Iterator[pa.RecordBatch], m: Model, near: bool = True) -
 
     def block() -> Held:
         got = {k: np.concatenate(v) for k, v in held.items()}
-        keys, places = {}, {}
+        if not places:
+            return Held(number, [], [], {PAIRS: distinct(got["pair"]), WORDS: distinct(np.concatenate([got["word"], got["far"]]))}, {}, np.empty((3, 0), np.uint64))
+        keys, at = {}, {}
 
         def placed(kind: int, texts: np.ndarray, target: np.ndarray, targets: int) -> None:
-            places[kind] = np.sort(texts.astype(np.uint64) * np.uint64(max(1, targets)) + target.astype(np.uint64)), targets
+            at[kind] = np.sort(texts.astype(np.uint64) * np.uint64(max(1, targets)) + target.astype(np.uint64)), targets
 
         keys[PAIRS], target = np.unique(got["pair"], return_inverse=True)
         placed(PAIRS, got["pair_text"], target, len(keys[PAIRS]))
         if m.folded:
             keys[WORDS], target = np.unique(got["word"], return_inverse=True)
             placed(WORDS, got["word_text"], target, len(keys[WORDS]))
-            return Held(number, ids, sums, keys, places, np.empty((3, 0), np.uint64))
+            return Held(number, ids, sums, keys, at, np.empty((3, 0), np.uint64))
         far, first, target = np.unique(got["far"], return_index=True, return_inverse=True)
         placed(WORDS, got["far_text"], target, len(far))
-        keys[WORDS] = np.unique(np.concatenate([far, got["word"]]))
+        keys[WORDS] = distinct(np.concatenate([far, got["word"]]))
         links = [np.searchsorted(keys[WORDS], far)]
         for word in (got["before"][first], got["after"][first]):
             g = classes(word, m.known)
             links.append(np.where(g < rare, g, rare + 1 + np.searchsorted(keys[WORDS], word)))
-        return Held(number, ids, sums, keys, places, np.stack(links).astype(np.uint64))
+        return Held(number, ids, sums, keys, at, np.stack(links).astype(np.uint64))
 
     for b in batches:
         text = common.filled(b.column(1))
@@ -426,21 +432,19 @@ def held_texts(batches: Iterator[pa.RecordBatch], m: Model, near: bool = True) -
             far = np.zeros(len(g), bool) if m.folded else ~own | (h == rare)
             at = np.minimum(np.searchsorted(m.hot, keys), max(0, len(m.hot) - 1))
             hot = (m.hot[at] == keys) & ~far if len(m.hot) else np.zeros(len(keys), bool)
-            value = np.zeros(len(keys))
-            value[hot] = m.value(m.bucket[h[hot]], m.count[h[hot]], m.count[g[hot]], m.hot_count[at[hot]])
-            base = np.where(own, np.log10((m.count[g] + 0.1) / m.floor), 0.0)
-            n = np.diff(np.append(starts, len(tokens)))
-            texts = (row - number + np.repeat(np.arange(e - s), n)).astype(np.uint32)
             asked = ~(hot | far) if near else np.zeros(len(keys), bool)
-            more = {"pair": keys[asked], "pair_text": texts[asked], "word": tokens[~own]}
-            if m.folded:
-                more["word_text"] = texts[~own]
-            else:
-                more |= {"far": far_keys(tokens)[far], "far_text": texts[far], "before": np.concatenate([[END], tokens[:-1]])[far], "after": tokens[far]}
+            more = {"pair": keys[asked], "word": tokens[~own], "far": far_keys(tokens)[far]}
+            if places:
+                value = np.zeros(len(keys))
+                value[hot] = m.value(m.bucket[h[hot]], m.count[h[hot]], m.count[g[hot]], m.hot_count[at[hot]])
+                base = np.where(own, np.log10((m.count[g] + 0.1) / m.floor), 0.0)
+                n = np.diff(np.append(starts, len(tokens)))
+                sums.append([n.astype(np.int64), *[np.add.reduceat(x, starts) for x in ((own & (m.count[g] > 0)).astype(np.int64), base, value)]])
+                texts = (row - number + np.repeat(np.arange(e - s), n)).astype(np.uint32)
+                more |= {"pair_text": texts[asked], "word_text": texts[~own], "far_text": texts[far], "before": np.concatenate([[END], tokens[:-1]])[far], "after": tokens[far]}
             for name, x in more.items():
                 held.setdefault(name, []).append(x)
             ids.append(b.column(0)[s:e])
-            sums.append([n.astype(np.int64), *[np.add.reduceat(x, starts) for x in ((own & (m.count[g] > 0)).astype(np.int64), base, value)]])
             row += e - s
             size += len(tokens)
             if size > HELD_TOKENS:
@@ -479,7 +483,7 @@ def looked_up(docs: DataFrame, counts: DataFrame, fitted: Model, ranges: int, fi
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each block's distinct keys, by range."""
-        for held in held_texts(batches, Model(*model.value), near):
+        for held in held_texts(batches, Model(*model.value), near, places=False):
             rows = [r for kind, known in held.keys.items() for r in blocks(kind, known, ranges)]
             yield pa.RecordBatch.from_arrays([*block_batch(rows).columns, pa.array(np.full(len(rows), held.number))], names=["range", "kind", "n", "blob", "block"])
 
