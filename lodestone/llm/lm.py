@@ -333,6 +333,8 @@ def fit(docs: DataFrame, shared: float = SHARED, tokens_a_range: int = RANGE, ca
     known, kept, both = t["h"].to_numpy().view(np.uint64), t["kept"].to_numpy(), t["kept"].to_numpy() + t["apart"].to_numpy()
     if END not in known:
         known, kept, both = np.append(known, END), np.append(kept, 0), np.append(both, 0)
+    if len(known) >= 1 << CLASS_BITS:
+        raise ValueError("shared or cached is too small for this table")
     order = np.argsort(known)
     known, kept, both = known[order].copy(), kept[order], both[order]
     rare_n, rare_v = n - int(both.sum()), v - int((both > 0).sum())
