@@ -126,7 +126,7 @@ def jobs_of(spark, tmp_path, name):
     return out
 
 
-@pytest.mark.parametrize("name", ["evaluation_schedule", "train_sampled_metrics"])
+@pytest.mark.parametrize("name", ["evaluation_schedule", "train_sampled_metrics", "train_epoch_metrics"])
 def test_jobs_do_not_grow_with_the_batches(spark, tmp_path, name):
     (few, a), (more, b) = jobs_of(spark, tmp_path, name)
     trained = [r for r in b if r[1] == "train" or name != "evaluation_schedule"]
